@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choicerank.settings import setting
+from choicerank.settings import checkpointed, setting
 
 SAMPLES_PER_PART = 16
 MAX_LEVELS = 6
@@ -148,8 +148,8 @@ def _running(df, keys, order, name, weight, total, level):
             w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         whole: F.sum(whole).over(w),
     })
-    # at most hotGroups x parts rows
-    cut = join_on(cut, shifts, [*keys, part], null_keys=True, broadcast=True)
+    # at most hotGroups x parts rows; checkpointed so that a deeper level does not repeat this one
+    cut = join_on(cut, checkpointed(shifts), [*keys, part], null_keys=True, broadcast=True)
     inner, inner_total = scratch("inner"), scratch("total")
     out = _running(cut, [*keys, part], order, inner, weight, inner_total if total else None,
                    level + 1)
@@ -179,7 +179,7 @@ def _cut(df, keys, order, hot, part):
         lambda i: F.get(F.col(bounds), F.floor(i * F.size(bounds) / parts).cast("int"))))
     table = join_on(hot.drop(size), cuts, keys, null_keys=True).withColumn(
         bounds, F.coalesce(F.col(bounds), F.array().cast(cuts.schema[bounds].dataType)))
-    tagged = join_on(df, table, keys, null_keys=True, broadcast=True)
+    tagged = join_on(df, checkpointed(table), keys, null_keys=True, broadcast=True)
     return tagged.withColumn(part, F.when(
         F.col(bounds).isNotNull(),
         F.size(F.filter(F.col(bounds), lambda b: b < place)))).drop(bounds)

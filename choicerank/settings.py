@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "hotRows": 1_000_000,
-    "hotGroups": 10_000,
-    "parts": 64,
+    "hotGroups": 5_000,
+    "parts": 128,
     "broadcastRows": 200_000,
 }
 
