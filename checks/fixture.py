@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runs unchanged in Spark and in DuckDB. The driver tables hold no nulls, so some are made here.
 OPTIONS = """
@@ -47,6 +48,56 @@ JOIN {customer} ON o_custkey = c_custkey
 JOIN {supplier} ON l_suppkey = s_suppkey
 """
 
+def _segment(leg: int, segment: int) -> str:
+    """Columns of one segment. Leg 0 has one or two segments, leg 1 none without a return."""
+    there = {(0, 0): "option_id IS NOT NULL", (0, 1): "cabin % 2 = 0", (1, 0): "return_at IS NOT NULL",
+             (1, 1): "return_at IS NOT NULL AND tariff_code % 2 = 1"}.get((leg, segment), "1 = 0")
+    home, away = ("carrier", "operating_carrier") if leg == 0 else ("operating_carrier", "carrier")
+    values = {
+        "aircraft_code": f"concat('A', cast(profile_id % {3 + leg + segment} AS string))",
+        "arrivalTo_airport_city_iata": away, "arrivalTo_airport_iata": away,
+        "departureFrom_airport_iata": home, "duration": f"duration{leg}",
+        "flightNumber": f"cast((profile_id + {leg} + {segment}) % 9 AS string)",
+        "marketingCarrier_code": home, "operatingCarrier_code": "operating_carrier",
+        "baggageAllowance_quantity": "cast(cabin AS double)",
+        "baggageAllowance_weightMeasurementType": "cast(tariff_code % 2 AS double)",
+        "cabinClass": f"cast(cabin AS double) + {0 if leg == 0 else 1} * cast(profile_id % 2 AS double)",
+        "seatsAvailable": "cast(profile_id % 10 AS double)",
+    }
+    return ",\n  ".join(f"CASE WHEN {there} THEN {v} END AS legs{leg}_segments{segment}_{n}" for n, v in values.items())
+
+
+def _later(text: str, hours: int) -> str:
+    return (f"concat(substr({text}, 1, 11), lpad(cast((cast(substr({text}, 12, 2) AS int) + {hours}) % 24 AS string), "
+            f"2, '0'), substr({text}, 14))")
+
+
+# The same options under the flight column names. Runs in both engines too.
+FLIGHTS = f"""
+SELECT
+  option_id AS Id, cast(session_id AS string) AS ranker_id, profile_id AS profileId,
+  cast(length(company_id) AS bigint) AS companyID, profile_id % 2 = 0 AS sex, profile_id % 7 AS nationality,
+  true AS bySelf, profile_id % 5 = 0 AS isAccess3D, profile_id % 11 = 0 AS isVip, loyalty AS frequentFlyer,
+  tariff_code AS corporateTariffCode, cast(cabin % 2 AS double) AS pricingInfo_isAccessTP,
+  cast(1 AS double) AS pricingInfo_passengerCount, search_route AS searchRoute, request_ts AS requestDate,
+  total_price AS totalPrice, taxes,
+  CASE WHEN cabin = 1 THEN cast(0 AS double) WHEN cabin > 1 THEN taxes END AS miniRules0_monetaryAmount,
+  cast(tariff_code % 2 AS double) AS miniRules0_statusInfos, cast(NULL AS double) AS miniRules0_percentage,
+  CASE WHEN carrier IS NOT NULL THEN total_price / 10 END AS miniRules1_monetaryAmount,
+  cast(cabin % 2 AS double) AS miniRules1_statusInfos, cast(NULL AS double) AS miniRules1_percentage,
+  departure_at AS legs0_departureAt, {_later("departure_at", 5)} AS legs0_arrivalAt, duration0 AS legs0_duration,
+  return_at AS legs1_departureAt, {_later("return_at", 9)} AS legs1_arrivalAt, duration1 AS legs1_duration,
+  {(","+chr(10)+"  ").join(_segment(leg, segment) for leg in (0, 1) for segment in range(4))},
+  cast(selected AS bigint) AS selected, split
+FROM {{options}}
+"""
+
+AIRPORTS = """
+SELECT concat('N', cast(n_nationkey AS string)) AS IATA, cast(n_nationkey % 24 - 12 AS double) AS UTC_Offset_Hours,
+  r_name AS Country_CodeA2
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+"""
+
 TABLES = ("lineitem", "orders", "customer", "supplier")
 
 
@@ -59,6 +110,24 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(OPTIONS, **{t: table(spark, sf_dir, t) for t in TABLES})
 
 
+def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options under the flight column names."""
+    return spark.sql(FLIGHTS, options=options(spark, sf_dir))
+
+
+def airports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as airports, regions as their countries."""
+    return spark.sql(AIRPORTS, nation=table(spark, sf_dir, "nation"), region=table(spark, sf_dir, "region"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the first options of each session, made from the parts."""
+    rows = F.explode(F.sequence(F.lit(1).cast("bigint"), 1 + F.col("p_partkey") % 20))
+    return (table(spark, sf_dir, "part").select("p_partkey", "p_type", rows.alias("row_id"))
+            .select(F.col("p_partkey").cast("string").alias("ranker_id"), "row_id", F.col("p_type").alias("category"),
+                    F.filter(F.array("p_type"), lambda x: F.col("row_id") % 3 != 0).alias("labels")))
+
+
 def with_options(sql: str) -> str:
     """DuckDB text of a query that reads ``options``; it may go on with further CTEs."""
     body = OPTIONS.format(**{t: t for t in TABLES})

@@ -1,0 +1,188 @@
+"""The assembled feature job and the model jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks.fixture import AIRPORTS, FLIGHTS, airports, flights, labels
+from checks.registry import nullable, on_options, query, rounded
+from choicerank.operators import encode, metrics, model, session, tables
+from choicerank.plans.catalogue import FAMILIES
+from choicerank.plans.features import build_features
+from choicerank.settings import checkpointed, shared_folder
+
+S, ROW = "session_id", "option_id"
+
+
+def features(spark, sf_dir, **switches):
+    return build_features(flights(spark, sf_dir), airports(spark, sf_dir), labels(spark, sf_dir), **switches)
+
+
+FLIGHT_SQL = f"""
+f AS ({FLIGHTS.format(options='options')}),
+ap AS ({AIRPORTS.format(nation='nation', region='region')}),
+d AS (SELECT *,
+    cast(split_part(split_part(concat('0.', legs0_duration), '.', -1), ':', 1) AS bigint) * 60
+    + cast(split_part(split_part(concat('0.', legs0_duration), '.', -1), ':', 2) AS bigint)
+    + CASE WHEN contains(legs0_duration, '.') THEN 1440 ELSE 0 END AS m0,
+    CASE WHEN legs1_duration IS NULL THEN 0 ELSE cast(split_part(legs1_duration, ':', 1) AS bigint) * 60
+      + cast(split_part(legs1_duration, ':', 2) AS bigint) END AS m1,
+    ln(1 + totalPrice) AS lp, string_split(searchRoute, '/') AS r,
+    1 + CASE WHEN legs0_segments1_flightNumber IS NULL THEN 0 ELSE 1 END AS n0,
+    CASE WHEN legs1_segments0_flightNumber IS NULL THEN 0 ELSE 1 END
+      + CASE WHEN legs1_segments1_flightNumber IS NULL THEN 0 ELSE 1 END AS n1,
+    coalesce(hour(try_cast(legs0_departureAt AS timestamp)), -1) AS h0,
+    concat_ws('_', legs0_departureAt, legs0_arrivalAt, legs0_segments0_flightNumber,
+      coalesce(legs0_segments1_flightNumber, 'missing')) || '_' ||
+    concat_ws('_', coalesce(legs1_departureAt, 'missing'), coalesce(legs1_arrivalAt, 'missing'),
+      coalesce(legs1_segments0_flightNumber, 'missing'), coalesce(legs1_segments1_flightNumber, 'missing')) AS combo
+  FROM f),
+e AS (SELECT *, m0 + m1 AS total, CASE WHEN n0 = 1 THEN 1 ELSE 0 END AS direct0,
+    CASE WHEN m1 = 0 OR legs1_segments0_departureFrom_airport_iata IS NULL THEN 1 ELSE 0 END AS one_way FROM d),
+g AS (SELECT *, CASE WHEN one_way = 0 AND n1 = 1 THEN 1 ELSE 0 END AS direct1,
+    (totalPrice - min(totalPrice) OVER w) / (max(totalPrice) OVER w - min(totalPrice) OVER w + 0.000000001::double) AS pr,
+    (total - min(total) OVER w) / (max(total) OVER w - min(total) OVER w + 0.000000001::double) AS dr,
+    min(CASE WHEN direct0 = 1 THEN totalPrice END) OVER w AS direct_low,
+    min(n1) OVER w AS low_n1, avg(ln(1 + total)) OVER w AS group_dur_mean, stddev_samp(lp) OVER w AS group_price_std,
+    row_number() OVER (PARTITION BY ranker_id ORDER BY Id) AS pos,
+    row_number() OVER (PARTITION BY ranker_id, combo ORDER BY totalPrice, Id)
+      / count(*) OVER (PARTITION BY ranker_id, combo) AS ratio
+  FROM e WINDOW w AS (PARTITION BY ranker_id)),
+combos AS (SELECT ranker_id, count(DISTINCT combo) AS n_combos FROM d GROUP BY 1),
+past AS (SELECT * FROM g WHERE split = 'train' AND selected = 1),
+all_past AS (SELECT avg(lp) AS lp, stddev_samp(lp) AS lp_sd, avg(pr) AS pr, avg(ln(1 + total)) AS total FROM past),
+co AS (SELECT companyID, count(*) AS n, avg(lp) AS lp, stddev_samp(lp) AS sd, avg(direct1) AS direct1, avg(pr) AS pr
+  FROM past GROUP BY 1),
+ca AS (SELECT legs1_segments0_marketingCarrier_code AS c, avg(pr) AS pr, count(DISTINCT profileId) AS users,
+    sum((cabin2 = 2)::int) / (count(*) + 0.00001::double) AS share
+  FROM (SELECT *, coalesce(legs1_segments0_cabinClass, 0) AS cabin2 FROM past) GROUP BY 1),
+offered0 AS (SELECT legs0_segments0_marketingCarrier_code AS c, count(*) AS n FROM f WHERE split = 'train' GROUP BY 1),
+offered1 AS (SELECT legs1_segments0_marketingCarrier_code AS c, count(*) AS n FROM f WHERE split = 'train' GROUP BY 1),
+us AS (SELECT profileId, count(*) AS n FROM past GROUP BY 1),
+tc AS (SELECT corporateTariffCode AS c, count(*) AS n FROM past GROUP BY 1),
+ro AS (SELECT r[1] AS route, count(*) AS n, avg(ln(1 + total)) AS total, avg(direct0) AS direct FROM past GROUP BY 1),
+re AS (SELECT r[2] AS route, avg(lp) AS lp FROM past GROUP BY 1),
+lab AS (SELECT p_partkey::varchar AS ranker_id, row_id, p_type AS category, (row_id % 3 <> 0)::int AS any_label
+  FROM part, range(1, 21) AS x(row_id) WHERE row_id <= 1 + p_partkey % 20)"""
+
+
+@query("feature_pipeline", f"""
+WITH {FLIGHT_SQL}
+SELECT g.Id AS Id, round(g.lp, 6) AS log_price, round(ln(1 + g.total), 6) AS total_duration,
+  round(totalPrice / nullif(g.total, 0), 4) AS price_duration_rat, round(g.pr, 6) AS price_quantile_rank,
+  round(g.dr, 6) AS duration_quantile_rank, round(g.pr * g.dr, 6) AS rank_interaction_mul,
+  CASE WHEN direct0 = 1 AND totalPrice = direct_low THEN 1 ELSE 0 END AS is_direct_cheapest,
+  direct1 AS is_direct_leg1, CASE WHEN one_way = 0 AND n1 = low_n1 THEN 1 ELSE 0 END AS is_min_segments_leg1,
+  round(group_dur_mean, 6) AS group_dur_mean, round(group_price_std, 6) AS group_price_std,
+  n_combos AS group_n_leg_combos, round(ratio, 6) AS group_option_price_rank_ratio,
+  coalesce(co.n, 0) AS company_ocurrence, round(CASE WHEN co.n > 1 THEN co.lp ELSE t.lp END, 6) AS avg_selected_price,
+  round(coalesce(co.sd, t.lp_sd), 6) AS std_selected_price,
+  round(coalesce(co.direct1, 0), 6) AS selected_legs1_direct_ratio, round(co.pr, 6) AS company_avg_pct,
+  round(coalesce(ca.pr, t.pr), 6) AS legs1_Carrier_code_avg_price_rank,
+  coalesce(ca.users, 0) AS legs1_Carrier_code_user_diversity,
+  round(CASE WHEN share > 0 THEN share END, 6) AS legs1_Carrier_code_cabin2_select_ratio,
+  round(coalesce(ln(1 + offered0.n), 0) + coalesce(ln(1 + offered1.n), 0), 6) AS carrier_pop_prod,
+  coalesce(us.n, 0) AS user_selected_count,
+  coalesce(tc.n, (SELECT n FROM tc WHERE c IS NULL)) AS "corporateTariffCode_hotness",
+  coalesce(ro.n, 0) AS outbound_route_hotness, round(coalesce(ro.total, t.total), 6) AS outbound_route_avg_duration,
+  round(ro.direct, 6) AS outbound_route_direct_ratio, round(coalesce(re.lp, t.lp), 6) AS return_route_avg_price,
+  CASE WHEN a.Country_CodeA2 <> b.Country_CodeA2 THEN 1 ELSE 0 END AS legs0_is_cross_country,
+  h0::int AS "legs0_departureAt_hour", any_label::double AS has_any_label, category
+FROM g CROSS JOIN all_past t JOIN combos USING (ranker_id) LEFT JOIN co ON g.companyID = co.companyID
+LEFT JOIN ca ON g.legs1_segments0_marketingCarrier_code = ca.c
+LEFT JOIN offered0 ON g.legs0_segments0_marketingCarrier_code = offered0.c
+LEFT JOIN offered1 ON g.legs1_segments0_marketingCarrier_code = offered1.c
+LEFT JOIN us ON g.profileId = us.profileId LEFT JOIN tc ON g.corporateTariffCode = tc.c
+LEFT JOIN ro ON g.r[1] = ro.route LEFT JOIN re ON g.r[2] = re.route
+LEFT JOIN ap a ON g.legs0_segments0_departureFrom_airport_iata = a.IATA
+LEFT JOIN ap b ON CASE WHEN n0 = 1 THEN legs0_segments0_arrivalTo_airport_iata
+  ELSE legs0_segments1_arrivalTo_airport_iata END = b.IATA
+LEFT JOIN lab ON g.ranker_id = lab.ranker_id AND g.pos = lab.row_id""")
+def feature_pipeline(spark, sf_dir):
+    out = features(spark, sf_dir)
+    exact = ["is_direct_cheapest", "is_direct_leg1", "is_min_segments_leg1", "group_n_leg_combos", "company_ocurrence",
+             "legs1_Carrier_code_user_diversity", "user_selected_count", "corporateTariffCode_hotness",
+             "outbound_route_hotness", "legs0_is_cross_country", "legs0_departureAt_hour", "has_any_label", "category"]
+    six = ["log_price", "total_duration", "price_quantile_rank", "duration_quantile_rank", "rank_interaction_mul",
+           "group_dur_mean", "group_price_std", "group_option_price_rank_ratio", "avg_selected_price",
+           "std_selected_price", "selected_legs1_direct_ratio", "company_avg_pct", "legs1_Carrier_code_avg_price_rank",
+           "legs1_Carrier_code_cabin2_select_ratio", "carrier_pop_prod", "outbound_route_avg_duration",
+           "outbound_route_direct_ratio", "return_route_avg_price"]
+    out = rounded(out.select("Id", *exact, *six, "price_duration_rat"), *six)
+    return nullable(rounded(out, "price_duration_rat", places=4), "has_any_label")
+
+
+@query("selected_feature_counts")
+def selected_feature_counts(spark, sf_dir):
+    """Non-null and distinct-ish counts of all selected features, after the null fill and encoding."""
+    out = features(spark, sf_dir, aircraft=True, options=True)
+    chosen, categorical, numeric = encode.select_features(tables.fill_all_nulls(out), FAMILIES)
+    stats = [F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), F.count(c).alias("present"),
+                      F.approx_count_distinct(c).alias("values"))
+             for kind, columns in (("categorical", categorical), ("numeric", numeric)) for c in columns]
+    return chosen.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+
+
+FEATURES = ["price_rank", "tax_rank", "carrier", "cabin", "tariff_code", "total_price"]
+
+
+def training_rows(df):
+    """A small feature set, encoded and assembled."""
+    df = session.group_minmax(df, S, {"total_price": "price_rank", "taxes": "tax_rank"})
+    df = encode.dense_encode(tables.fill_all_nulls(df), ["carrier", "cabin", "tariff_code"])
+    return encode.assemble(df, FEATURES, "selected", S, keep=[ROW, "split", "price_rank", "carrier", "cabin"])
+
+
+def fitted(df):
+    rows = checkpointed(training_rows(df))
+    small = {"maxIter": 4, "maxDepth": 3, "maxBins": 64}
+    train = rows.where("split = 'train'")
+    return rows, train, model.train_ranker(train, "selected", S, small, centred=True)
+
+
+@on_options("train_ranker")
+def train_ranker(df):
+    """NDCG at 3 on validation rows of the ranker and of the price alone; the model is saved and read."""
+    rows, _, ranker = fitted(df)
+    path = f"{shared_folder(df.sparkSession)}/ranker-{uuid.uuid4().hex}"
+    model.save_ranker(ranker, path)
+    scored = model.score(rows.where("split = 'val'"), model.load_ranker(path))
+    by_model = metrics.ndcg_at_k(scored, S, "pred_score", "selected", [ROW]).withColumn("scorer", F.lit("ranker"))
+    cheap = scored.withColumn("cheap", -F.col("price_rank"))
+    by_price = metrics.ndcg_at_k(cheap, S, "cheap", "selected", [ROW]).withColumn("scorer", F.lit("price"))
+    return by_model.unionByName(by_price)
+
+
+@on_options("search_params")
+def search_params(df):
+    train = checkpointed(training_rows(df).where("split = 'train'"))
+    _, trials = model.search_params(train, {"maxDepth": [2, 3], "stepSize": [0.1]}, "selected", S, [ROW], folds=2,
+                                    params={"maxIter": 2, "maxBins": 64})
+    return trials
+
+
+@on_options("score_options")
+def score_options(df):
+    rows, _, ranker = fitted(df)
+    return model.score(rows, ranker).select(ROW, S, "pred_score")
+
+
+@on_options("feature_importance")
+def feature_importance(df):
+    _, _, ranker = fitted(df)
+    return model.feature_importance(ranker, FEATURES, df.sparkSession)
+
+
+@on_options("learning_curve")
+def learning_curve(df):
+    rows, _, ranker = fitted(df)
+    return model.learning_curve(ranker, rows.where("split = 'val'"), "selected", S, centred=True)
+
+
+@on_options("evaluate_ranker")
+def evaluate_ranker(df):
+    rows, _, ranker = fitted(df)
+    return model.evaluate(rows.where("split = 'val'"), ranker, S, ROW, "selected", key=["carrier", "cabin"],
+                          rerank=True, more_than=4)

@@ -42,27 +42,48 @@ def as_list(names: str | Iterable[str]) -> list[str]:
 
 def join_on(df: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str = "left",
             null_keys: bool = False, broadcast: bool = False) -> DataFrame:
-    """Equi-join with ``table``, dropping its key columns; ``null_keys`` lets null match null."""
-    renamed = {key: scratch("key") for key in keys}
-    table = table.withColumnsRenamed(renamed)
-    pairs = [F.col(key).eqNullSafe(F.col(other)) if null_keys else F.col(key) == F.col(other)
-             for key, other in renamed.items()]
+    """Equi-join on equally named keys; ``null_keys`` lets null match null."""
     if broadcast:
         table = F.broadcast(table)
-    joined = df.join(table, reduce(lambda a, b: a & b, pairs), how)
+    if not null_keys:
+        return df.join(table, list(keys), how)
+    renamed = {key: scratch("key") for key in keys}
+    matches = [F.col(key).eqNullSafe(F.col(other)) for key, other in renamed.items()]
+    joined = df.join(table.withColumnsRenamed(renamed), reduce(lambda a, b: a & b, matches), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], *,
-           null_keys: bool = False) -> DataFrame:
-    """Left join of a table with unique keys; broadcast only if its counted rows are few.
+class Side:
+    """A table with unique keys that is to be joined, under column names nothing else uses.
 
-    A larger table is joined by shuffle, where adaptive execution may still change the strategy
-    by measured sizes and split a hot key.
+    ``on`` maps its key columns to expressions over the other side. It is broadcast only if its
+    counted rows are few (``rows`` where the caller has counted them already). A larger table is
+    joined by shuffle, where adaptive execution may change the strategy by measured sizes and split
+    a hot key.
     """
-    limit = setting(df.sparkSession, "broadcastRows")
-    small = table.limit(limit + 1).count() <= limit
-    return join_on(df, table, keys, null_keys=null_keys, broadcast=small)
+
+    def __init__(self, table: DataFrame, on: Mapping[str, Column], rows: int | None = None):
+        limit = setting(table.sparkSession, "broadcastRows")
+        if rows is None:
+            rows = table.limit(limit + 1).count()
+        named = {name: scratch(name) for name in table.columns}
+        table = table.withColumnsRenamed(named)
+        self.table = F.broadcast(table) if rows <= limit else table
+        self.match = reduce(lambda a, b: a & b, [e == F.col(named[k]) for k, e in on.items()])
+        self.columns = {name: F.col(unique) for name, unique in named.items()}
+
+
+def join_sides(df: DataFrame, sides: Iterable[Side], outputs: Mapping[str, Column]) -> DataFrame:
+    """Left-join tables and add the outputs in one projection, which keeps wide plans short."""
+    joined = reduce(lambda left, side: left.join(side.table, side.match, "left"), sides, df)
+    kept = [F.col(c) for c in df.columns if c not in outputs]
+    return joined.select(*kept, *[e.alias(n) for n, e in outputs.items()])
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of a table with unique keys."""
+    side = Side(table, {k: F.col(k) for k in keys})
+    return join_sides(df, [side], {n: c for n, c in side.columns.items() if n not in keys})
 
 
 def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Column], *,

@@ -6,7 +6,7 @@ split, so a training row's own outcome is inside its statistics. Pass another co
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choicerank.operators.groups import as_list, lookup, scratch
+from choicerank.operators.groups import Side, as_list, join_sides, scratch
 from choicerank.operators.session import distinct_count
 from choicerank.settings import checkpointed
 
@@ -27,14 +27,14 @@ class Stat:
     """One statistic: its aggregate and what a row without it gets.
 
     ``default`` is None (stays null), a number, ``GLOBAL`` (the aggregate over all history) or
-    ``NULL_KEY`` (the aggregate of the history rows without a key). ``trust`` is a condition on the
-    table's columns; where it is false the statistic counts as missing.
+    ``NULL_KEY`` (the aggregate of the history rows without a key). ``trust`` makes a condition of the
+    key's statistics; where it is false the statistic counts as missing.
     """
 
     name: str
     aggregate: Column
     default: float | str | None = None
-    trust: Column | None = None
+    trust: Callable[[dict[str, Column]], Column] | None = None
 
 
 def chosen(split: str = "split", label: str = "selected") -> Column:
@@ -43,12 +43,13 @@ def chosen(split: str = "split", label: str = "selected") -> Column:
 
 
 @dataclass
-class HistoryTable:
-    """Statistics per key, over all history, and of the history rows without a key."""
+class HistorySpec:
+    """Statistics of one key; ``outputs`` makes the final columns from them, by default all of them."""
 
-    per_key: DataFrame
-    overall: dict
-    no_key: dict
+    keys: Sequence[str]
+    stats: Sequence[Stat]
+    outputs: Callable[[dict[str, Column]], dict[str, Column]] = dict
+    history: Column | DataFrame | None = None
 
 
 def history_rows(df: DataFrame, history: Column | DataFrame | None) -> DataFrame:
@@ -58,48 +59,52 @@ def history_rows(df: DataFrame, history: Column | DataFrame | None) -> DataFrame
     return df.where(chosen() if history is None else history)
 
 
-def history_table(past: DataFrame, keys: Sequence[str], stats: Sequence[Stat]) -> HistoryTable:
-    """Aggregate history once, per key and overall (grouping sets), and checkpoint the result."""
-    level = scratch("level")
-    sets = [[F.col(k) for k in keys], []]
-    table = checkpointed(past.groupingSets(sets, *keys).agg(
-        F.grouping_id().alias(level), *[s.aggregate.alias(s.name) for s in stats]))
-
-    def values(condition: Column) -> dict:
-        row = table.where(condition).first()
-        return row.asDict() if row else {}
+def _statistics(past: DataFrame, spec: HistorySpec) -> tuple[Side, dict[str, Column]]:
+    """The table to join and the filled statistics.
 
+    One aggregation (grouping sets) gives the rows per key and the row over all history. It is
+    checkpointed, so history is read once and the number of keys is known before the join.
+    """
+    keys, level = list(spec.keys), scratch("level")
+    table = checkpointed(past.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
+        F.grouping_id().alias(level), *[s.aggregate.alias(s.name) for s in spec.stats]))
+    names = [F.col(s.name) for s in spec.stats]
     keyed = F.col(level) == 0
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return HistoryTable(
-        per_key=table.where(keyed).drop(level).dropna(subset=list(keys)),
-        overall=values(~keyed),
-        no_key=values(keyed & any_null) if any(s.default == NULL_KEY for s in stats) else {})
+    unkeyed = keyed & reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    found = table.agg(F.count(F.when(keyed, F.lit(1))).alias("rows"),
+                      F.first(F.when(~keyed, F.struct(*names)), True).alias(GLOBAL),
+                      F.first(F.when(unkeyed, F.struct(*names)), True).alias(NULL_KEY)).first()
+    side = Side(table.where(keyed).drop(level).dropna(subset=keys), {k: F.col(k) for k in keys}, found["rows"])
+    filled = {}
+    for s in spec.stats:
+        value, kind = side.columns[s.name], table.schema[s.name].dataType
+        if s.trust:
+            value = F.when(s.trust(side.columns), value)
+        if s.default in (GLOBAL, NULL_KEY):
+            row = found[s.default]
+            fallback = row[s.name] if row else None
+            if fallback is None and s.default == NULL_KEY and isinstance(kind, T.LongType):
+                fallback = 0
+        else:
+            fallback = s.default
+        filled[s.name] = value if fallback is None else F.coalesce(value, F.lit(fallback).cast(kind))
+    return side, filled
+
+
+def with_history(df: DataFrame, *specs: HistorySpec) -> DataFrame:
+    """Add the outputs of all specs; every table is joined once and one projection is added."""
+    sides, outputs = [], {}
+    for spec in specs:
+        side, filled = _statistics(history_rows(df, spec.history), spec)
+        sides.append(side)
+        outputs |= spec.outputs(filled)
+    return join_sides(df, sides, outputs)
 
 
 def history_stats(df: DataFrame, keys: str | Sequence[str], stats: Sequence[Stat],
                   history: Column | DataFrame | None = None) -> DataFrame:
-    """Add per-key statistics of the history to every row.
-
-    The table is checkpointed, so history is read once and the size of the table is known before
-    it is joined.
-    """
-    keys = as_list(keys)
-    found = history_table(history_rows(df, history), keys, stats)
-    trusted = {s.name: F.when(s.trust, F.col(s.name)) for s in stats if s.trust is not None}
-    out = lookup(df, found.per_key.withColumns(trusted), keys)
-    filled = {}
-    for s in stats:
-        kind = found.per_key.schema[s.name].dataType
-        if s.default == GLOBAL:
-            value = found.overall.get(s.name)
-        elif s.default == NULL_KEY:
-            value = found.no_key.get(s.name, 0 if isinstance(kind, T.LongType) else None)
-        else:
-            value = s.default
-        if value is not None:
-            filled[s.name] = F.coalesce(F.col(s.name), F.lit(value).cast(kind))
-    return out.withColumns(filled)
+    """Add per-key statistics of the history to every row."""
+    return with_history(df, HistorySpec(as_list(keys), stats, history=history))
 
 
 def rate(condition: Column) -> Column:
@@ -107,100 +112,123 @@ def rate(condition: Column) -> Column:
     return F.avg(condition.cast("int"))
 
 
-def company_stats(df: DataFrame, key: str, price: str, log_price: str, *,
-                  shares: dict[str, Column], means: dict[str, str],
-                  history: Column | DataFrame | None = None) -> DataFrame:
+def company(key: str, price: str, log_price: str, *, shares: dict[str, Column], means: dict[str, str],
+            history: Column | DataFrame | None = None) -> HistorySpec:
     """What a company chose: count, mean and deviation of the log price, shares and plain means.
 
     The mean of a company with one choice is replaced by the overall mean. Shares default to 0,
     plain means have no default. ``z_price_vs_company_selected`` compares the raw price with the
     statistics of the log price, as the ranking features it reproduces do.
     """
-    several = F.col("company_ocurrence") > 1
-    stats = [
+    def outputs(c: dict[str, Column]) -> dict[str, Column]:
+        spread = c["std_selected_price"] + F.lit(1e-6)
+        return c | {"z_price_vs_company_selected":
+                    F.try_divide(F.col(price) - c["avg_selected_price"], spread)}
+
+    return HistorySpec([key], [
         Stat("company_ocurrence", F.count(F.lit(1)), 0),
-        Stat("avg_selected_price", F.avg(log_price), GLOBAL, trust=several),
+        Stat("avg_selected_price", F.avg(log_price), GLOBAL, trust=lambda c: c["company_ocurrence"] > 1),
         Stat("std_selected_price", F.stddev_samp(log_price), GLOBAL),
         *[Stat(name, F.avg(expr), 0.0) for name, expr in shares.items()],
         *[Stat(name, F.avg(column)) for name, column in means.items()],
-    ]
-    out = history_stats(df, key, stats, history)
-    return out.withColumn("z_price_vs_company_selected",
-                          F.try_divide(F.col(price) - F.col("avg_selected_price"),
-                                       F.col("std_selected_price") + F.lit(1e-6)))
+    ], outputs, history)
+
+
+def company_stats(df: DataFrame, key: str, price: str, log_price: str, **options) -> DataFrame:
+    """Add the ``company`` columns."""
+    return with_history(df, company(key, price, log_price, **options))
+
+
+def selection_rate(key: str, prefix: str, label: str = "selected",
+                   train: Column | DataFrame | None = None) -> HistorySpec:
+    """Chosen over offered per key among all training rows, and the logs of both counts."""
+    def outputs(c: dict[str, Column]) -> dict[str, Column]:
+        n, k = c["offered"], c["taken"]
+        return {f"{prefix}_selection_rate": F.coalesce(k / n, F.lit(0.0)),
+                f"{prefix}_log_total_count": F.coalesce(F.log1p(n.cast("double")), F.lit(0.0)),
+                f"{prefix}_log_selected_count": F.coalesce(F.log1p(k.cast("double")), F.lit(0.0))}
+
+    return HistorySpec([key], [Stat("offered", F.count(F.lit(1))), Stat("taken", F.sum(label))], outputs,
+                       F.col("split") == "train" if train is None else train)
 
 
 def carrier_selection_rate(df: DataFrame, key: str, prefix: str, label: str = "selected",
                            train: Column | DataFrame | None = None) -> DataFrame:
-    """Chosen over offered per key among all training rows, and the logs of both counts."""
-    offered, taken = scratch("offered"), scratch("taken")
-    out = history_stats(df, key, [Stat(offered, F.count(F.lit(1))), Stat(taken, F.sum(label))],
-                        F.col("split") == "train" if train is None else train)
-    n, k = F.col(offered), F.col(taken)
-    return out.withColumns({
-        f"{prefix}_selection_rate": F.coalesce(k / n, F.lit(0.0)),
-        f"{prefix}_log_total_count": F.coalesce(F.log1p(n.cast("double")), F.lit(0.0)),
-        f"{prefix}_log_selected_count": F.coalesce(F.log1p(k.cast("double")), F.lit(0.0)),
-    }).drop(offered, taken)
-
-
-def cabin_share_pivot(df: DataFrame, key: str, cabin: str, prefix: str,
-                      levels: Sequence[int] = (1, 2, 3, 4), history: Column | DataFrame | None = None) -> DataFrame:
+    """Add the ``selection_rate`` columns."""
+    return with_history(df, selection_rate(key, prefix, label, train))
+
+
+def cabin_shares(key: str, cabin: str, prefix: str, levels: Sequence[int] = (1, 2, 3, 4),
+                 history: Column | DataFrame | None = None) -> HistorySpec:
     """Share of each cabin among the choices of a key, one column a cabin.
 
-    A cabin no history row has is 0.0 for every row. A cabin that only this key never had, and
+    A cabin that no history row has is 0.0 for every row. A cabin that only this key never had, and
     every cabin of an unseen key, is null.
     """
-    total = scratch("n")
-    counts = {level: scratch("cabin") for level in levels}
-    stats = [Stat(total, F.count(F.lit(1))),
-             *[Stat(counts[level], F.count(F.when(F.col(cabin) == level, F.lit(1)))) for level in levels]]
-    found = history_table(history_rows(df, history), [key], stats)
-    shares = {}
-    for level in levels:
-        k = F.col(counts[level])
-        share = F.when(k > 0, k / (F.col(total) + F.lit(1e-5)))
-        ever = found.overall.get(counts[level], 0) > 0
-        shares[f"{prefix}_cabin{level}_select_ratio"] = share if ever else F.lit(0.0)
-    return lookup(df, found.per_key, [key]).withColumns(shares).drop(total, *counts.values())
-
-
-def carrier_behaviour(df: DataFrame, key: str, prefix: str, *, price_rank: str, duration_rank: str,
-                      hour: str, company: str, user: str, history: Column | DataFrame | None = None) -> DataFrame:
+    def outputs(c: dict[str, Column]) -> dict[str, Column]:
+        n = c["n"] + F.lit(1e-5)
+        return {f"{prefix}_cabin{lv}_select_ratio":
+                F.when(c[f"ever{lv}"] == 0, F.lit(0.0)).otherwise(F.when(c[f"k{lv}"] > 0, c[f"k{lv}"] / n))
+                for lv in levels}
+
+    def hits(level: int) -> Column:
+        return F.count(F.when(F.col(cabin) == level, F.lit(1)))
+
+    return HistorySpec([key], [
+        Stat("n", F.count(F.lit(1))), *[Stat(f"k{lv}", hits(lv)) for lv in levels],
+        *[Stat(f"ever{lv}", hits(lv), GLOBAL, trust=lambda c: F.lit(False)) for lv in levels],
+    ], outputs, history)
+
+
+def cabin_share_pivot(df: DataFrame, key: str, cabin: str, prefix: str, **options) -> DataFrame:
+    """Add the ``cabin_shares`` columns."""
+    return with_history(df, cabin_shares(key, cabin, prefix, **options))
+
+
+def behaviour(key: str, prefix: str, *, price_rank: str, duration_rank: str, hour: str, company: str, user: str,
+              history: Column | DataFrame | None = None) -> HistorySpec:
     """Choices of a carrier: mean ranks, mean hour, night share, distinct companies and users."""
-    return history_stats(df, key, [
+    return HistorySpec([key], [
         Stat(f"{prefix}_avg_price_rank", F.avg(price_rank), GLOBAL),
         Stat(f"{prefix}_avg_duration_rank", F.avg(duration_rank), GLOBAL),
         Stat(f"{prefix}_avg_dep_hour", F.avg(hour), 12.0),
         Stat(f"{prefix}_night_ratio", rate(F.col(hour) < 6), 0.0),
         Stat(f"{prefix}_company_diversity", distinct_count(company), 0),
         Stat(f"{prefix}_user_diversity", distinct_count(user), 0),
-    ], history)
+    ], history=history)
+
+
+def carrier_behaviour(df: DataFrame, key: str, prefix: str, **options) -> DataFrame:
+    """Add the ``behaviour`` columns."""
+    return with_history(df, behaviour(key, prefix, **options))
+
+
+def profile(key: str, *, price_rank: str, duration_rank: str, cabin: str, fallbacks: dict[str, float],
+            history: Column | DataFrame | None = None) -> HistorySpec:
+    """Choices of a user: count, mean cabin, and the row's ranks less the user's mean ranks."""
+    def outputs(c: dict[str, Column]) -> dict[str, Column]:
+        n = c["user_selected_count"]
+        return {"user_selected_count": n, "user_avg_cabin": c["user_avg_cabin"],
+                "user_total_count": F.when(n > 0, n),
+                "price_rank_diff": F.col(price_rank) - c["price"],
+                "duration_rank_diff": F.col(duration_rank) - c["duration"]}
+
+    return HistorySpec([key], [
+        Stat("user_selected_count", F.count(F.lit(1)), 0),
+        Stat("price", F.avg(price_rank), fallbacks[price_rank]),
+        Stat("duration", F.avg(duration_rank), fallbacks[duration_rank]),
+        Stat("user_avg_cabin", F.avg(cabin), fallbacks[cabin]),
+    ], outputs, history)
 
 
 def profile_stats(df: DataFrame, key: str, *, price_rank: str, duration_rank: str, cabin: str,
                   fallbacks: dict[str, float] | None = None,
                   history: Column | DataFrame | None = None) -> DataFrame:
-    """Choices of a user: count, mean cabin, and the row's ranks less the user's mean ranks.
-
-    Users without history get the most likely value of the history's distribution
-    (``density_mode``), or the given ``fallbacks`` per column.
-    """
-    past = history_rows(df, history)
-    columns = [price_rank, duration_rank, cabin]
-    fill = fallbacks or {c: density_mode(past, c) for c in columns}
-    price_mean, duration_mean = scratch("price"), scratch("duration")
-    out = history_stats(df, key, [
-        Stat("user_selected_count", F.count(F.lit(1)), 0),
-        Stat(price_mean, F.avg(price_rank), fill[price_rank]),
-        Stat(duration_mean, F.avg(duration_rank), fill[duration_rank]),
-        Stat("user_avg_cabin", F.avg(cabin), fill[cabin]),
-    ], history)
-    return out.withColumns({
-        "user_total_count": F.when(F.col("user_selected_count") > 0, F.col("user_selected_count")),
-        "price_rank_diff": F.col(price_rank) - F.col(price_mean),
-        "duration_rank_diff": F.col(duration_rank) - F.col(duration_mean),
-    }).drop(price_mean, duration_mean)
+    """Add the ``profile`` columns. Users without history get the given ``fallbacks`` per column, or
+    the most likely value of the history's distribution (``density_mode``)."""
+    fill = fallbacks or density_modes(history_rows(df, history), [price_rank, duration_rank, cabin])
+    return with_history(df, profile(key, price_rank=price_rank, duration_rank=duration_rank, cabin=cabin,
+                                    fallbacks=fill, history=history))
 
 
 def density_curve(df: DataFrame, column: str, points: int = 1000) -> DataFrame | None:
@@ -237,36 +265,50 @@ def density_mode(df: DataFrame, column: str, points: int = 1000) -> float | None
     return curve.agg(F.max_by("x", F.struct("density", -F.col("i")))).first()[0]
 
 
-def tariff_code_stats(df: DataFrame, key: str, *, price_rank: str, duration_rank: str,
-                      history: Column | DataFrame | None = None) -> DataFrame:
+def density_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    return {c: density_mode(df, c) for c in columns}
+
+
+def tariff_code(key: str, *, price_rank: str, duration_rank: str,
+                history: Column | DataFrame | None = None) -> HistorySpec:
     """Choices per tariff code; unseen and missing codes get the statistics of no-code choices."""
-    return history_stats(df, key, [
+    return HistorySpec([key], [
         Stat(f"{key}_hotness", F.count(F.lit(1)), NULL_KEY),
         Stat(f"{key}_price_rank_mean", F.avg(price_rank), NULL_KEY),
         Stat(f"{key}_duration_rank_mean", F.avg(duration_rank), NULL_KEY),
-    ], history)
+    ], history=history)
+
+
+def tariff_code_stats(df: DataFrame, key: str, **options) -> DataFrame:
+    """Add the ``tariff_code`` columns."""
+    return with_history(df, tariff_code(key, **options))
 
 
-def route_stats(df: DataFrame, route: str, *, log_price: str, duration: str, policy: str, direct: str,
-                history: Column | DataFrame | None = None) -> DataFrame:
+def route(key: str, *, log_price: str, duration: str, policy: str, direct: str,
+          history: Column | DataFrame | None = None) -> HistorySpec:
     """Choices per route: count, mean log price and duration, policy rate, direct share."""
-    return history_stats(df, route, [
-        Stat(f"{route}_hotness", F.count(F.lit(1)), 0),
-        Stat(f"{route}_avg_price", F.avg(log_price), GLOBAL),
-        Stat(f"{route}_avg_duration", F.avg(duration), GLOBAL),
-        Stat(f"{route}_policy_rate", F.avg(policy), 0.0),
-        Stat(f"{route}_direct_ratio", F.avg(direct)),
-    ], history)
+    return HistorySpec([key], [
+        Stat(f"{key}_hotness", F.count(F.lit(1)), 0),
+        Stat(f"{key}_avg_price", F.avg(log_price), GLOBAL),
+        Stat(f"{key}_avg_duration", F.avg(duration), GLOBAL),
+        Stat(f"{key}_policy_rate", F.avg(policy), 0.0),
+        Stat(f"{key}_direct_ratio", F.avg(direct)),
+    ], history=history)
+
+
+def route_stats(df: DataFrame, key: str, **options) -> DataFrame:
+    """Add the ``route`` columns."""
+    return with_history(df, route(key, **options))
 
 
 def route_aircraft_stats(df: DataFrame, route: str, aircraft: str, *, price_rank: str,
                          duration_rank: str, history: Column | DataFrame | None = None) -> DataFrame:
     """Share of each aircraft among the choices on a route, and mean ranks of the pair."""
     pair, whole = scratch("pair"), scratch("whole")
-    out = history_stats(df, [route, aircraft], [
-        Stat(pair, F.count(F.lit(1))),
-        Stat("aircraft_avg_pct", F.avg(price_rank)),
-        Stat("aircraft_avg_dct", F.avg(duration_rank)),
-    ], history)
-    out = history_stats(out, route, [Stat(whole, F.count(F.lit(1)))], history)
+    out = with_history(
+        df,
+        HistorySpec([route, aircraft], [
+            Stat(pair, F.count(F.lit(1))), Stat("aircraft_avg_pct", F.avg(price_rank)),
+            Stat("aircraft_avg_dct", F.avg(duration_rank))], history=history),
+        HistorySpec([route], [Stat(whole, F.count(F.lit(1)))], history=history))
     return out.withColumn("route_aircraft_ratio", F.col(pair) / F.col(whole)).drop(pair, whole)

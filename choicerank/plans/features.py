@@ -124,11 +124,11 @@ def itinerary_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(legs).withColumn("leg_combo", F.concat_ws("_", *legs))
 
 
-def position_features(df: DataFrame, group: str, row: str) -> DataFrame:
+def position_features(df: DataFrame, group: str, row: str, counts: bool) -> DataFrame:
     """Place in the session, price place among equal itineraries, counts of carriers and legs."""
     df = session.ordinal_rank_ratio(itinerary_keys(df), [group, "leg_combo"], "totalPrice", [row],
                                     "group_option_price_rank_ratio")
-    for leg in LEGS:
+    for leg in LEGS if counts else ():
         df = session.count_in_group(df, group, f"legs{leg}_segments0_marketingCarrier_code",
                                     f"legs{leg}_carrier_count_in_group")
         df = session.count_in_group(df, group, f"legs{leg}_segment_id", f"legs{leg}_segment_count_in_group")
@@ -196,29 +196,32 @@ def history_features(df: DataFrame, past: DataFrame, offered: DataFrame) -> Data
     ``past`` holds the chosen training rows, ``offered`` all training rows (carrier and label).
     """
     ranks = {"price_rank": "price_quantile_rank", "duration_rank": "duration_quantile_rank"}
-    df = history.company_stats(
-        df, "companyID", "totalPrice", "log_price", history=past,
+    cabin = "legs0_segments0_cabinClass"
+    specs = [history.company(
+        "companyID", "totalPrice", "log_price", history=past,
         shares={"selected_legs0_direct_ratio": F.col("is_direct_leg0"),
                 "selected_legs1_direct_ratio": F.col("is_direct_leg1"),
                 "selected_direct_ratio": F.col("both_direct"),
                 "selected_legs0_night_ratio": (F.col("legs0_departureAt_hour") < 6).cast("int"),
                 "selected_legs1_night_ratio": (F.col("legs1_departureAt_hour") < 6).cast("int")},
         means={"company_avg_pct": "price_quantile_rank", "company_avg_dct": "duration_quantile_rank",
-               "company_policy_rate": "corporate_policy_compliant"})
+               "company_policy_rate": "corporate_policy_compliant"})]
     for leg in LEGS:
         carrier, prefix = f"legs{leg}_segments0_marketingCarrier_code", f"legs{leg}_Carrier_code"
-        df = history.carrier_selection_rate(df, carrier, prefix, train=offered)
-        df = history.carrier_behaviour(df, carrier, prefix, **ranks, hour=f"legs{leg}_departureAt_hour",
-                                       company="companyID", user="profileId", history=past)
-        df = history.cabin_share_pivot(df, carrier, f"legs{leg}_segments0_cabinClass", prefix, history=past)
-    df = df.withColumn("carrier_pop_prod", numbers.log_sum(
-        *[f"legs{leg}_Carrier_code_log_total_count" for leg in LEGS]))
-    df = history.profile_stats(df, "profileId", **ranks, cabin="legs0_segments0_cabinClass", history=past)
-    df = history.tariff_code_stats(df, "corporateTariffCode", **ranks, history=past)
+        specs += [history.selection_rate(carrier, prefix, train=offered),
+                  history.behaviour(carrier, prefix, **ranks, hour=f"legs{leg}_departureAt_hour",
+                                    company="companyID", user="profileId", history=past),
+                  history.cabin_shares(carrier, f"legs{leg}_segments0_cabinClass", prefix, history=past)]
+    modes = history.density_modes(past, [*ranks.values(), cabin])
+    specs.append(history.profile("profileId", **ranks, cabin=cabin, fallbacks=modes, history=past))
+    specs.append(history.tariff_code("corporateTariffCode", **ranks, history=past))
     for route, leg in (("outbound_route", 0), ("return_route", 1)):
-        df = history.route_stats(df, route, log_price="log_price", duration="total_duration",
-                                 policy="has_corporate_tariff", direct=f"is_direct_leg{leg}", history=past)
-    return df.withColumnRenamed("user_avg_cabin", "user_avg_cabinClass_leg0_seg0")
+        specs.append(history.route(route, log_price="log_price", duration="total_duration",
+                                   policy="has_corporate_tariff", direct=f"is_direct_leg{leg}", history=past))
+    return history.with_history(df, *specs).withColumns({
+        "carrier_pop_prod": numbers.log_sum(*[f"legs{leg}_Carrier_code_log_total_count" for leg in LEGS]),
+        "user_avg_cabinClass_leg0_seg0": F.col("user_avg_cabin"),
+    }).drop("user_avg_cabin")
 
 
 def airport_features(df: DataFrame, airports: DataFrame) -> DataFrame:
@@ -249,12 +252,13 @@ def option_features(df: DataFrame, group: str) -> DataFrame:
 def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, group: str = "ranker_id",
                    row: str = "Id", train: Column | None = None, label: str = "selected",
                    summary: DataFrame | None = None, aircraft: bool = False,
-                   options: bool = False) -> DataFrame:
+                   options: bool = False, counts: bool = False) -> DataFrame:
     """All features of labelled and unlabelled options together.
 
     ``row`` orders the options of a session and must be unique in it. ``train`` marks the rows whose
     choices count as history, by default ``split = 'train'``. ``summary``, ``aircraft`` and ``options``
-    switch on the families that are off by default.
+    switch on the families that are off by default; ``counts`` adds the counts of equal carriers and
+    legs in the session, which no family selects.
     """
     train = F.col("split") == "train" if train is None else train
     raw = df
@@ -270,7 +274,7 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
     df = time_features(df)
     df = flyer_features(cabin_features(df))
     df = df.withColumns(text.split_route("searchRoute"))
-    df = session_features(position_features(df, group, row), group, row)
+    df = session_features(position_features(df, group, row, counts), group, row)
     past = checkpointed(df.where(train & (F.col(label) == 1)).select(*HISTORY_COLUMNS))
     df = history_features(df, past, raw.where(train))
     df = airport_features(df, airports)
