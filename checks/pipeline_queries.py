@@ -11,12 +11,13 @@ from checks.registry import nullable, on_options, query, rounded
 from choicerank.operators import encode, metrics, model, session, tables
 from choicerank.plans.catalogue import FAMILIES
 from choicerank.plans.features import build_features
-from choicerank.settings import checkpointed, shared_folder
+from choicerank.settings import checkpointed, shared_folder, tuned
 
 S, ROW = "session_id", "option_id"
 
 
 def features(spark, sf_dir, **switches):
+    tuned(spark)
     return build_features(flights(spark, sf_dir), airports(spark, sf_dir), labels(spark, sf_dir), **switches)
 
 
@@ -71,10 +72,10 @@ lab AS (SELECT p_partkey::varchar AS ranker_id, row_id, p_type AS category, (row
 @query("feature_pipeline", f"""
 WITH {FLIGHT_SQL}
 SELECT g.Id AS Id, round(g.lp, 6) AS log_price, round(ln(1 + g.total), 6) AS total_duration,
-  round(totalPrice / nullif(g.total, 0), 4) AS price_duration_rat, round(g.pr, 6) AS price_quantile_rank,
+  totalPrice / nullif(g.total, 0) AS price_duration_rat, round(g.pr, 6) AS price_quantile_rank,
   round(g.dr, 6) AS duration_quantile_rank, round(g.pr * g.dr, 6) AS rank_interaction_mul,
   CASE WHEN direct0 = 1 AND totalPrice = direct_low THEN 1 ELSE 0 END AS is_direct_cheapest,
-  direct1 AS is_direct_leg1, CASE WHEN one_way = 0 AND n1 = low_n1 THEN 1 ELSE 0 END AS is_min_segments_leg1,
+  g.direct1 AS is_direct_leg1, CASE WHEN one_way = 0 AND n1 = low_n1 THEN 1 ELSE 0 END AS is_min_segments_leg1,
   round(group_dur_mean, 6) AS group_dur_mean, round(group_price_std, 6) AS group_price_std,
   n_combos AS group_n_leg_combos, round(ratio, 6) AS group_option_price_rank_ratio,
   coalesce(co.n, 0) AS company_ocurrence, round(CASE WHEN co.n > 1 THEN co.lp ELSE t.lp END, 6) AS avg_selected_price,
@@ -111,7 +112,7 @@ def feature_pipeline(spark, sf_dir):
            "legs1_Carrier_code_cabin2_select_ratio", "carrier_pop_prod", "outbound_route_avg_duration",
            "outbound_route_direct_ratio", "return_route_avg_price"]
     out = rounded(out.select("Id", *exact, *six, "price_duration_rat"), *six)
-    return nullable(rounded(out, "price_duration_rat", places=4), "has_any_label")
+    return nullable(out, "has_any_label")
 
 
 @query("selected_feature_counts")

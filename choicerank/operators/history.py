@@ -59,45 +59,60 @@ def history_rows(df: DataFrame, history: Column | DataFrame | None) -> DataFrame
     return df.where(chosen() if history is None else history)
 
 
-def _statistics(past: DataFrame, spec: HistorySpec) -> tuple[Side, dict[str, Column]]:
-    """The table to join and the filled statistics.
+def _statistics(past: DataFrame, keys: list[str],
+                stats: Sequence[Sequence[Stat]]) -> tuple[Side, list[dict[str, Column]]]:
+    """The table of one key to join, and the filled statistics of each list of them.
 
     One aggregation (grouping sets) gives the rows per key and the row over all history. It is
     checkpointed, so history is read once and the number of keys is known before the join.
     """
-    keys, level = list(spec.keys), scratch("level")
+    named = [{s.name: scratch(s.name) for s in some} for some in stats]
+    level = scratch("level")
+    aggregates = [s.aggregate.alias(names[s.name]) for some, names in zip(stats, named) for s in some]
     table = checkpointed(past.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
-        F.grouping_id().alias(level), *[s.aggregate.alias(s.name) for s in spec.stats]))
-    names = [F.col(s.name) for s in spec.stats]
+        F.grouping_id().alias(level), *aggregates))
+    whole_row = F.struct(*[name for names in named for name in names.values()])
     keyed = F.col(level) == 0
     unkeyed = keyed & reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     found = table.agg(F.count(F.when(keyed, F.lit(1))).alias("rows"),
-                      F.first(F.when(~keyed, F.struct(*names)), True).alias(GLOBAL),
-                      F.first(F.when(unkeyed, F.struct(*names)), True).alias(NULL_KEY)).first()
+                      F.first(F.when(~keyed, whole_row), True).alias(GLOBAL),
+                      F.first(F.when(unkeyed, whole_row), True).alias(NULL_KEY)).first()
     side = Side(table.where(keyed).drop(level).dropna(subset=keys), {k: F.col(k) for k in keys}, found["rows"])
-    filled = {}
-    for s in spec.stats:
-        value, kind = side.columns[s.name], table.schema[s.name].dataType
-        if s.trust:
-            value = F.when(s.trust(side.columns), value)
-        if s.default in (GLOBAL, NULL_KEY):
-            row = found[s.default]
-            fallback = row[s.name] if row else None
-            if fallback is None and s.default == NULL_KEY and isinstance(kind, T.LongType):
-                fallback = 0
-        else:
-            fallback = s.default
-        filled[s.name] = value if fallback is None else F.coalesce(value, F.lit(fallback).cast(kind))
+
+    filled = []
+    for some, names in zip(stats, named):
+        values = {name: side.columns[unique] for name, unique in names.items()}
+        for s in some:
+            value, kind, fallback = values[s.name], table.schema[names[s.name]].dataType, s.default
+            if s.default in (GLOBAL, NULL_KEY):
+                row = found[s.default]
+                fallback = row[names[s.name]] if row else None
+                if fallback is None and s.default == NULL_KEY and isinstance(kind, T.LongType):
+                    fallback = 0
+            if s.trust:
+                value = F.when(s.trust(values), value)
+            if fallback is not None:
+                value = F.coalesce(value, F.lit(fallback).cast(kind))
+            values[s.name] = value
+        filled.append(values)
     return side, filled
 
 
 def with_history(df: DataFrame, *specs: HistorySpec) -> DataFrame:
-    """Add the outputs of all specs; every table is joined once and one projection is added."""
-    sides, outputs = [], {}
+    """Add the outputs of all specs.
+
+    Specs with the same key and history share one table. Every table is joined once, and one
+    projection adds all columns.
+    """
+    together: dict[tuple, list[HistorySpec]] = {}
     for spec in specs:
-        side, filled = _statistics(history_rows(df, spec.history), spec)
+        together.setdefault((tuple(spec.keys), id(spec.history)), []).append(spec)
+    sides, outputs = [], {}
+    for (keys, _), group in together.items():
+        side, filled = _statistics(history_rows(df, group[0].history), list(keys), [g.stats for g in group])
         sides.append(side)
-        outputs |= spec.outputs(filled)
+        for spec, columns in zip(group, filled):
+            outputs |= spec.outputs(columns)
     return join_sides(df, sides, outputs)
 
 

@@ -22,6 +22,23 @@ DEFAULTS = {
 }
 
 
+# Spark SQL settings the wide feature job wants: whole-stage code for rows of several hundred columns,
+# and joins with a hot key split at run time even where that costs another shuffle.
+RECOMMENDED = {
+    "spark.sql.codegen.maxFields": "2000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Apply the recommended settings to the session."""
+    for name, value in RECOMMENDED.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def setting(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(f"spark.choicerank.{name}", str(DEFAULTS[name])))
 
