@@ -69,7 +69,7 @@ lab AS (SELECT p_partkey::varchar AS ranker_id, row_id, p_type AS category, (row
   FROM part, range(1, 21) AS x(row_id) WHERE row_id <= 1 + p_partkey % 20)"""
 
 
-@query("feature_pipeline", f"""
+@query("build_features", f"""
 WITH {FLIGHT_SQL}
 SELECT g.Id AS Id, round(g.lp, 6) AS log_price, round(ln(1 + g.total), 6) AS total_duration,
   totalPrice / nullif(g.total, 0) AS price_duration_rat, round(g.pr, 6) AS price_quantile_rank,
@@ -101,7 +101,7 @@ LEFT JOIN ap a ON g.legs0_segments0_departureFrom_airport_iata = a.IATA
 LEFT JOIN ap b ON CASE WHEN n0 = 1 THEN legs0_segments0_arrivalTo_airport_iata
   ELSE legs0_segments1_arrivalTo_airport_iata END = b.IATA
 LEFT JOIN lab ON g.ranker_id = lab.ranker_id AND g.pos = lab.row_id""")
-def feature_pipeline(spark, sf_dir):
+def all_features(spark, sf_dir):
     out = features(spark, sf_dir)
     exact = ["is_direct_cheapest", "is_direct_leg1", "is_min_segments_leg1", "group_n_leg_combos", "company_ocurrence",
              "legs1_Carrier_code_user_diversity", "user_selected_count", "corporateTariffCode_hotness",
@@ -115,13 +115,12 @@ def feature_pipeline(spark, sf_dir):
     return nullable(out, "has_any_label")
 
 
-@query("selected_feature_counts")
-def selected_feature_counts(spark, sf_dir):
-    """Non-null and distinct-ish counts of all selected features, after the null fill and encoding."""
-    out = features(spark, sf_dir, aircraft=True, options=True)
+@query("selected_features")
+def selected_features(spark, sf_dir):
+    """How many values each selected feature has after the null fill, over all options."""
+    out = features(spark, sf_dir, aircraft=True, options=True, counts=True)
     chosen, categorical, numeric = encode.select_features(tables.fill_all_nulls(out), FAMILIES)
-    stats = [F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), F.count(c).alias("present"),
-                      F.approx_count_distinct(c).alias("values"))
+    stats = [F.struct(F.lit(c).alias("feature"), F.lit(kind).alias("kind"), F.count(c).alias("present"))
              for kind, columns in (("categorical", categorical), ("numeric", numeric)) for c in columns]
     return chosen.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 

@@ -183,11 +183,27 @@ def density_curve(df):
     return rounded(curve.select("i", "x", "density"), "x", "density")
 
 
-@on_options("profile_mode_fallback")
+def mode_ctes(name: str, column: str) -> str:
+    return f"""
+{name}m AS (SELECT min({column}) AS lo, max({column}) AS hi, stddev_samp({column}) * pow(count(*), -0.2) AS w FROM past),
+{name}k AS (SELECT {column} AS x, count(*) AS c FROM past GROUP BY 1),
+{name}d AS (SELECT i, lo + i * ((hi - lo) / 999) AS gx, sum(c * exp(-0.5 * pow((lo + i * ((hi - lo) / 999) - x) / w, 2))) AS density
+  FROM {name}m, range(1000) AS r(i), {name}k GROUP BY i, lo, hi),
+{name}mode AS (SELECT arg_max(gx, density) AS mode FROM {name}d)"""
+
+
+@on_options("profile_mode_fallback", f"""
+WITH {VALUES}, {mode_ctes('p', 'price_rank')}, {mode_ctes('t', 'tax_rank')},
+t AS (SELECT profile_id, count(*) AS n, avg(price_rank) AS p, avg(tax_rank) AS d FROM past GROUP BY profile_id)
+SELECT option_id, coalesce(n, 0) AS user_selected_count,
+  round(price_rank - coalesce(p, pmode.mode), 6) + 0.0 AS price_rank_diff,
+  round(tax_rank - coalesce(d, tmode.mode), 6) + 0.0 AS duration_rank_diff
+FROM v CROSS JOIN pmode CROSS JOIN tmode LEFT JOIN t USING (profile_id)""")
 def profile_mode_fallback(df):
     out = history.profile_stats(with_values(df), "profile_id", price_rank="price_rank", duration_rank="tax_rank",
                                 cabin="cabin")
-    return out.select("option_id", "user_selected_count", "price_rank_diff", "duration_rank_diff")
+    names = ["price_rank_diff", "duration_rank_diff"]
+    return rounded(out.select("option_id", "user_selected_count", *names), *names)
 
 
 @on_options("code_stats_null_fallback", f"""

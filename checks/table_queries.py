@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.fixture import options, table
@@ -154,8 +155,10 @@ def group_sizes(df):
     return encode.group_sizes(df, S, ROW)
 
 
-@on_options("assemble")
+@on_options("assemble", """
+SELECT option_id, session_id, selected, total_price AS f0, taxes AS f1, coalesce(cabin, -1)::double AS f2 FROM options""")
 def assemble(df):
-    columns = ["total_price", "taxes", "cabin"]
-    return encode.assemble(df, columns, "selected", S, keep=[ROW]).withColumn(
-        "features", F.col("features").cast("string"))
+    out = encode.assemble(df, ["total_price", "taxes", "cabin"], "selected", S, keep=[ROW])
+    parts = vector_to_array("features")
+    return out.select(ROW, S, "selected", parts[0].alias("f0"), parts[1].alias("f1"),
+                      F.nanvl(parts[2], F.lit(-1.0)).alias("f2"))

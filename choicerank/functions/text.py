@@ -15,8 +15,10 @@ def duration_to_minutes(text) -> Column:
     x = col(text)
 
     def piece(pattern: str, minutes: int) -> Column:
-        digits = F.regexp_extract(x, pattern, 1).try_cast("bigint")
-        return F.coalesce(digits, F.lit(0).cast("bigint")) * minutes
+        digits = F.regexp_extract(x, pattern, 1)
+        # a failed cast costs an exception a row, so empty matches are not cast
+        number = F.when(digits != "", digits.try_cast("bigint"))
+        return F.coalesce(number, F.lit(0).cast("bigint")) * minutes
 
     return piece(r"^(\d+)\.", 1440) + piece(r"^(?:\d+\.)?(\d+):", 60) + piece(r":(\d+):", 1)
 

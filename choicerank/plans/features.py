@@ -126,13 +126,14 @@ def itinerary_keys(df: DataFrame) -> DataFrame:
 
 def position_features(df: DataFrame, group: str, row: str, counts: bool) -> DataFrame:
     """Place in the session, price place among equal itineraries, counts of carriers and legs."""
-    df = session.ordinal_rank_ratio(itinerary_keys(df), [group, "leg_combo"], "totalPrice", [row],
+    df = session.group_position(itinerary_keys(df), group, [F.col(row)])
+    df = session.ordinal_rank_ratio(df, [group, "leg_combo"], "totalPrice", [row],
                                     "group_option_price_rank_ratio")
     for leg in LEGS if counts else ():
         df = session.count_in_group(df, group, f"legs{leg}_segments0_marketingCarrier_code",
                                     f"legs{leg}_carrier_count_in_group")
         df = session.count_in_group(df, group, f"legs{leg}_segment_id", f"legs{leg}_segment_count_in_group")
-    return session.group_position(df, group, [F.col(row)])
+    return df
 
 
 LOGGED = ["legs0_duration", "legs1_duration", *column_names("legs{leg}_segments{segment}_duration", (0, 1)),
@@ -274,6 +275,9 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
     df = time_features(df)
     df = flyer_features(cabin_features(df))
     df = df.withColumns(text.split_route("searchRoute"))
+    # steps that number rows look for hot groups first, so they stand before the joins
+    if options:
+        df = option_features(df, group)
     df = session_features(position_features(df, group, row, counts), group, row)
     past = checkpointed(df.where(train & (F.col(label) == 1)).select(*HISTORY_COLUMNS))
     df = history_features(df, past, raw.where(train))
@@ -285,4 +289,4 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
         df = history.route_aircraft_stats(df, "searchRoute", "legs0_segments0_aircraft_code",
                                           price_rank="price_quantile_rank",
                                           duration_rank="duration_quantile_rank", history=past)
-    return option_features(df, group) if options else df
+    return df
