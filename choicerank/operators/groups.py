@@ -87,13 +87,16 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Column], *,
-           null_keys: bool = True) -> DataFrame:
+           null_keys: bool = True, source: DataFrame | None = None) -> DataFrame:
     """Add group aggregates to every row of the group.
 
-    ``null_keys=False`` leaves the aggregates of rows with a null key null.
+    ``null_keys=False`` leaves the aggregates of rows with a null key null. ``source`` is an earlier
+    frame with the same rows to aggregate instead of ``df``. A chain of several attachments should
+    name one, as each of them otherwise reads the whole chain before it twice.
     """
     keys = as_list(keys)
-    source = df if null_keys else df.dropna(subset=keys)
+    source = df if source is None else source
+    source = source if null_keys else source.dropna(subset=keys)
     stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
     return join_on(df, stats, keys, null_keys=null_keys)
 

@@ -26,9 +26,11 @@ class GroupSpec:
 
 
 def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
-               null_keys: bool = True) -> DataFrame:
+               null_keys: bool = True, source: DataFrame | None = None) -> DataFrame:
     """Add the outputs of all specs with one aggregation and one join on the group key.
 
+    ``source`` is an earlier frame with the same rows to aggregate instead of ``df``.
+
     Rows with a null key form a group, unless ``null_keys=False``: then their statistics are null
     and the join can share the partitioning of windows on the same key.
     """
@@ -38,14 +40,14 @@ def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
     for spec in specs:
         for value, picks in spec.quantiles.items():
             quantiles.setdefault(value, {}).update(picks)
-    stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
-    helpers = list(aggregates)
+    source = df if source is None else source
+    stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
     for value, picks in quantiles.items():
-        stats = join_on(stats, group_quantiles(df, keys, value, picks), keys, null_keys=True)
-        helpers += list(picks)
+        stats = join_on(stats, group_quantiles(source, keys, value, picks), keys, null_keys=True)
     out = join_on(df, stats, keys, null_keys=null_keys)
     outputs = {n: e for s in specs for n, e in s.outputs.items()}
-    return out.withColumns(outputs).drop(*[h for h in helpers if h not in outputs])
+    kept = [F.col(c) for c in df.columns if c not in outputs]
+    return out.select(*kept, *[e.alias(n) for n, e in outputs.items()])
 
 
 def flag(condition: Column) -> Column:
@@ -123,9 +125,10 @@ def group_position(df: DataFrame, group: str | Sequence[str], order: Sequence[Co
 
 
 def count_in_group(df: DataFrame, group: str | Sequence[str], key: str | Sequence[str],
-                   output: str) -> DataFrame:
+                   output: str, source: DataFrame | None = None) -> DataFrame:
     """Rows of the group that share the key; a null key has no count."""
-    return attach(df, [*as_list(group), *as_list(key)], {output: F.count(F.lit(1))}, null_keys=False)
+    return attach(df, [*as_list(group), *as_list(key)], {output: F.count(F.lit(1))}, null_keys=False,
+                  source=source)
 
 
 def distinct_count(key: str) -> Column:
@@ -219,15 +222,17 @@ def filtered_group_min(df: DataFrame, group: str | Sequence[str], predicate: Col
     return with_group(df, group, filtered_minimum(predicate, columns))
 
 
-def same_offer_features(df: DataFrame, group: str | Sequence[str], key: str, value: str) -> DataFrame:
+def same_offer_features(df: DataFrame, group: str | Sequence[str], key: str, value: str,
+                        source: DataFrame | None = None) -> DataFrame:
     """Offers of the same item in a group: count, cheapest, ratio to the least, dense percentile.
 
     ``key`` may be null; rows with a null key form one item, as rows of a null window key do.
     """
     keys = [*as_list(group), key]
     low, rank = scratch("low"), scratch("rank")
-    out = attach(df, keys, {"flight_option_count": F.count(F.lit(1)), low: F.min(value)})
-    ranks = dense_positions(df, keys, value, rank)
+    source = df if source is None else source
+    out = attach(df, keys, {"flight_option_count": F.count(F.lit(1)), low: F.min(value)}, source=source)
+    ranks = dense_positions(source, keys, value, rank)
     out = join_on(out, ranks, [*keys, value], null_keys=True)
     n = F.col("flight_option_count")
     return out.withColumns({

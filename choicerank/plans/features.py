@@ -124,15 +124,20 @@ def itinerary_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(legs).withColumn("leg_combo", F.concat_ws("_", *legs))
 
 
-def position_features(df: DataFrame, group: str, row: str, counts: bool) -> DataFrame:
-    """Place in the session, price place among equal itineraries, counts of carriers and legs."""
-    df = session.group_position(itinerary_keys(df), group, [F.col(row)])
-    df = session.ordinal_rank_ratio(df, [group, "leg_combo"], "totalPrice", [row],
-                                    "group_option_price_rank_ratio")
-    for leg in LEGS if counts else ():
+def position_features(df: DataFrame, group: str, row: str) -> DataFrame:
+    """Place in the session and price place among equal itineraries."""
+    df = session.group_position(df, group, [F.col(row)])
+    return session.ordinal_rank_ratio(df, [group, "leg_combo"], "totalPrice", [row],
+                                      "group_option_price_rank_ratio")
+
+
+def count_features(df: DataFrame, group: str, source: DataFrame) -> DataFrame:
+    """Options of the session with the same carrier and with the same flights, per leg."""
+    for leg in LEGS:
         df = session.count_in_group(df, group, f"legs{leg}_segments0_marketingCarrier_code",
-                                    f"legs{leg}_carrier_count_in_group")
-        df = session.count_in_group(df, group, f"legs{leg}_segment_id", f"legs{leg}_segment_count_in_group")
+                                    f"legs{leg}_carrier_count_in_group", source)
+        df = session.count_in_group(df, group, f"legs{leg}_segment_id", f"legs{leg}_segment_count_in_group",
+                                    source)
     return df
 
 
@@ -140,7 +145,7 @@ LOGGED = ["legs0_duration", "legs1_duration", *column_names("legs{leg}_segments{
           "total_duration", "hours_to_departure"]
 
 
-def session_features(df: DataFrame, group: str, row: str) -> DataFrame:
+def session_features(df: DataFrame, group: str, row: str, source: DataFrame) -> DataFrame:
     """All statistics of the session in one pass. Durations leave it as ``log1p`` of minutes.
 
     Scaled ranks and shortest flags use minutes, the group's duration statistics use logs.
@@ -148,7 +153,7 @@ def session_features(df: DataFrame, group: str, row: str) -> DataFrame:
     logged_total = scratch("log_duration")
     direct = F.col("is_direct_leg0") == 1
     one_way = F.col("is_one_way") == 1
-    df = df.withColumn(logged_total, F.log1p("total_duration"))
+    source = source.withColumn(logged_total, F.log1p("total_duration"))
     out = session.with_group(
         df, group,
         session.size(row, "group_size"),
@@ -168,8 +173,8 @@ def session_features(df: DataFrame, group: str, row: str) -> DataFrame:
         session.moments({"log_price": "group_price", logged_total: "group_dur"}),
         session.nunique({"legs0_segment_id": "group_legs0_n_segments",
                          "legs1_segment_id": "group_legs1_n_segments",
-                         "leg_combo": "group_n_leg_combos"}), null_keys=False)
-    helpers = [logged_total, "legs0_segment_id", "legs1_segment_id", "leg_combo"]
+                         "leg_combo": "group_n_leg_combos"}), null_keys=False, source=source)
+    helpers = ["legs0_segment_id", "legs1_segment_id", "leg_combo"]
     return out.drop(*helpers).withColumns({
         "group_size_log": F.log1p("group_size"),
         "group_total_options": F.col("group_size"),
@@ -241,13 +246,17 @@ def summary_features(df: DataFrame, summary: DataFrame, group: str) -> DataFrame
     return df.withColumns({"age": age["age"], "age_bin_fixed": age["age_bin"]}).drop("yearOfBirth")
 
 
-def option_features(df: DataFrame, group: str) -> DataFrame:
-    """Offers of the same flights in the session; the key is null where a part is."""
+def offer_key(df: DataFrame, output: str) -> DataFrame:
+    """Key of the flights of an option, null where a part is."""
+    parts = [f"legs{leg}_{what}" for what in (*ENDS, "segments0_flightNumber") for leg in LEGS]
+    return df.withColumn(output, text.composite_key(parts, null_as=None))
+
+
+def option_features(df: DataFrame, group: str, source: DataFrame) -> DataFrame:
+    """Offers of the same flights in the session."""
     key = scratch("flight")
-    parts = [*column_names("legs{leg}_departureAt", (0,)), *column_names("legs{leg}_arrivalAt", (0,)),
-             *column_names("legs{leg}_segments0_flightNumber", (0,))]
-    df = df.withColumn(key, text.composite_key(parts, null_as=None))
-    return session.same_offer_features(df, group, key, "totalPrice").drop(key)
+    return session.same_offer_features(offer_key(df, key), group, key, "totalPrice",
+                                       offer_key(source, key)).drop(key)
 
 
 def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, group: str = "ranker_id",
@@ -275,10 +284,15 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
     df = time_features(df)
     df = flyer_features(cabin_features(df))
     df = df.withColumns(text.split_route("searchRoute"))
-    # steps that number rows look for hot groups first, so they stand before the joins
+    # Numbering looks for hot groups first, so it stands before the joins. All statistics are read
+    # from the same rows, so the plan grows by one branch a join.
+    rows = itinerary_keys(df)
+    df = position_features(rows, group, row)
     if options:
-        df = option_features(df, group)
-    df = session_features(position_features(df, group, row, counts), group, row)
+        df = option_features(df, group, rows)
+    if counts:
+        df = count_features(df, group, rows)
+    df = session_features(df, group, row, rows)
     past = checkpointed(df.where(train & (F.col(label) == 1)).select(*HISTORY_COLUMNS))
     df = history_features(df, past, raw.where(train))
     df = airport_features(df, airports)
