@@ -59,13 +59,14 @@ def extract_labels(spark: SparkSession, path: str, session: str = "ranker_id") -
     The session key is the file name without its ending. A broken file gives no rows and does not
     stop the job.
     """
-    schema = T.StructType([*SESSION_DOCUMENT.fields, T.StructField("_corrupt_record", T.StringType())])
-    files = (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json")
-             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    broken = "_corrupt_record"
+    schema = T.StructType([*SESSION_DOCUMENT.fields, T.StructField(broken, T.StringType())])
+    files = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
              .select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias(session),
-                     "data", "_corrupt_record"))
-    good = files.where(F.col("_corrupt_record").isNull())
-    bad = files.where(F.col("_corrupt_record").isNotNull()).select(session, "_corrupt_record")
+                     F.from_json("value", schema, {"columnNameOfCorruptRecord": broken}).alias("document"))
+             .select(session, "document.data", F.col("document").getField(broken).alias(broken)))
+    good = files.where(F.col(broken).isNull())
+    bad = files.where(F.col(broken).isNotNull()).select(session, broken)
     return explode_pricings(good, session), bad
 
 
