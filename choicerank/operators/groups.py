@@ -53,22 +53,32 @@ def join_on(df: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
+def measures(table: DataFrame) -> list[Column]:
+    """Aggregates that measure a table: its rows and the bytes of its texts."""
+    texts = [F.octet_length(f.name) for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+    volume = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in texts], F.lit(0))
+    return [F.count(F.lit(1)).alias("rows"), F.sum(long(volume)).alias("text_bytes")]
+
+
 class Side:
     """A table with unique keys that is to be joined, under column names nothing else uses.
 
     ``on`` maps its key columns to expressions over the other side. It is broadcast only if its
-    counted rows are few (``rows`` where the caller has counted them already). A larger table is
-    joined by shuffle, where adaptive execution may change the strategy by measured sizes and split
-    a hot key.
+    measured rows and bytes are few (``rows`` and ``text_bytes`` where the caller has measured them
+    already). A larger table is joined by shuffle, where adaptive execution may change the strategy by
+    measured sizes and split a hot key.
     """
 
-    def __init__(self, table: DataFrame, on: Mapping[str, Column], rows: int | None = None):
+    def __init__(self, table: DataFrame, on: Mapping[str, Column], rows: int | None = None,
+                 text_bytes: int = 0):
         limit = setting(table.sparkSession, "broadcastRows")
         if rows is None:
-            rows = table.limit(limit + 1).count()
+            rows, text_bytes = table.limit(limit + 1).agg(*measures(table)).first()
+        volume = rows * 8 * len(table.columns) + (text_bytes or 0)
+        small = rows <= limit and volume <= setting(table.sparkSession, "broadcastBytes")
         named = {name: scratch(name) for name in table.columns}
         table = table.withColumnsRenamed(named)
-        self.table = F.broadcast(table) if rows <= limit else table
+        self.table = F.broadcast(table) if small else table
         self.match = reduce(lambda a, b: a & b, [e == F.col(named[k]) for k, e in on.items()])
         self.columns = {name: F.col(unique) for name, unique in named.items()}
 
@@ -127,12 +137,13 @@ def ascending(order: Sequence[Column]) -> list[Column]:
 
 
 def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], name: str, *,
-            weight: Column | None = None, total: str | None = None) -> DataFrame:
+            weight: Column | None = None, total: str | None = None, none_hot: bool = False) -> DataFrame:
     """Add the position of each row in its group (or the running sum of ``weight``).
 
     ``order`` is ascending, nulls last, and must be unique in the group: pass ``-score`` for a
     descending number. ``total`` also adds the row count (or weight sum) of the group. No keys
-    means one group over everything.
+    means one group over everything. ``none_hot`` says that the caller has looked for hot groups of
+    these keys, or of some of them, and found none.
     """
     keys = as_list(keys)
     made_key = None
@@ -140,7 +151,7 @@ def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], n
         made_key = scratch("all")
         df = df.withColumn(made_key, F.lit(0))
         keys = [made_key]
-    out = _running(df, keys, list(order), name, weight, total, 0)
+    out = _running(df, keys, list(order), name, weight, total, MAX_LEVELS if none_hot else 0)
     return out.drop(made_key) if made_key else out
 
 
@@ -221,7 +232,7 @@ def top_rows(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column],
 
 
 def group_quantiles(df: DataFrame, keys: str | Sequence[str], value: str,
-                    picks: Mapping[str, float | str]) -> DataFrame:
+                    picks: Mapping[str, float | str], none_hot: bool = False) -> DataFrame:
     """Exact quantiles of ``value`` per group, one row a group that has a value.
 
     A pick is a fraction, taken at the nearest row ``round(q*(n-1))`` (halves up), or ``"median"``.
@@ -231,7 +242,8 @@ def group_quantiles(df: DataFrame, keys: str | Sequence[str], value: str,
     n, upto, total = scratch("n"), scratch("upto"), scratch("total")
     counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
                .agg(F.count(F.lit(1)).alias(n)))
-    placed = running(counted, keys, [F.col(value)], upto, weight=F.col(n), total=total)
+    placed = running(counted, keys, [F.col(value)], upto, weight=F.col(n), total=total,
+                     none_hot=none_hot)
 
     def at(position):
         here = (F.col(upto) - F.col(n) <= position) & (position < F.col(upto))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choicerank.operators.groups import Side, as_list, join_sides, scratch
+from choicerank.operators.groups import Side, as_list, join_sides, measures, scratch
 from choicerank.operators.session import distinct_count
 from choicerank.settings import checkpointed
 
@@ -74,10 +74,11 @@ def _statistics(past: DataFrame, keys: list[str],
     whole_row = F.struct(*[name for names in named for name in names.values()])
     keyed = F.col(level) == 0
     unkeyed = keyed & reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    found = table.agg(F.count(F.when(keyed, F.lit(1))).alias("rows"),
+    found = table.agg(*measures(table),
                       F.first(F.when(~keyed, whole_row), True).alias(GLOBAL),
                       F.first(F.when(unkeyed, whole_row), True).alias(NULL_KEY)).first()
-    side = Side(table.where(keyed).drop(level).dropna(subset=keys), {k: F.col(k) for k in keys}, found["rows"])
+    side = Side(table.where(keyed).drop(level).dropna(subset=keys), {k: F.col(k) for k in keys},
+                found["rows"], found["text_bytes"])
 
     filled = []
     for some, names in zip(stats, named):
@@ -264,7 +265,9 @@ def density_curve(df: DataFrame, column: str, points: int = 1000) -> DataFrame |
     step = (m["high"] - m["low"]) / (points - 1)
     first = F.greatest(F.lit(0), F.ceil((F.col("x") - m["low"] - 39 * width) / step))
     last = F.least(F.lit(points - 1), F.floor((F.col("x") - m["low"] + 39 * width) / step))
-    near = counts.select("x", "n", F.explode(F.sequence(first, last)).alias("i"))
+    # few rows, much arithmetic: keep the tasks that adaptive execution would merge for their size
+    spread = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = spread.select("x", "n", F.explode(F.sequence(first, last)).alias("i"))
     grid = F.lit(m["low"]) + F.col("i") * F.lit(step)
     term = F.col("n") * F.exp(-0.5 * F.pow((grid - F.col("x")) / F.lit(width), F.lit(2.0)))
     scale = m["n"] * width * 2.5066282746310002  # sqrt(2 pi)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from choicerank.operators.groups import as_list, group_quantiles, join_on, scratch, top_rows
 from choicerank.operators.rerank import best_first
+from choicerank.settings import checkpointed
 
 
 def group_hits(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], label: str, k: int,
@@ -76,7 +77,7 @@ def hitrate_by_size_quantile(df: DataFrame, group: str, score: str, label: str,
                              ks: Iterable[int] = range(1, 21), more_than: int = 10) -> DataFrame:
     """Curves of small, medium and large groups, cut at the quartiles of the group sizes."""
     ks = list(ks)
-    hits = group_hits(df, group, best_first(score, ties), label, max(ks), more_than)
+    hits = checkpointed(group_hits(df, group, best_first(score, ties), label, max(ks), more_than))
     cuts = group_quantiles(hits, [], "group_size", {"q25": 0.25, "q75": 0.75}).first()
     size = F.col("group_size")
     band = (F.when(size <= F.lit(cuts["q25"]), F.lit("small"))
@@ -95,7 +96,7 @@ def hitrate_by_log_bin(df: DataFrame, group: str, score: str, label: str, ties:
                        k: int = 3, bins: int = 50, min_groups: int = 3,
                        more_than: int = 10) -> DataFrame:
     """Hit rate and number of groups per log-spaced group size, bins with enough groups only."""
-    hits = group_hits(df, group, best_first(score, ties), label, k, more_than)
+    hits = checkpointed(group_hits(df, group, best_first(score, ties), label, k, more_than))
     ends = hits.agg(F.min("group_size"), F.max("group_size")).first()
     if ends[0] is None:
         edges = [1.0] * (bins + 1)

@@ -26,10 +26,12 @@ class GroupSpec:
 
 
 def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
-               null_keys: bool = True, source: DataFrame | None = None) -> DataFrame:
+               null_keys: bool = True, source: DataFrame | None = None,
+               none_hot: bool = False) -> DataFrame:
     """Add the outputs of all specs with one aggregation and one join on the group key.
 
-    ``source`` is an earlier frame with the same rows to aggregate instead of ``df``.
+    ``source`` is an earlier frame with the same rows to aggregate instead of ``df``; ``none_hot``
+    says that no group is hot.
 
     Rows with a null key form a group, unless ``null_keys=False``: then their statistics are null
     and the join can share the partitioning of windows on the same key.
@@ -43,7 +45,7 @@ def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
     source = df if source is None else source
     stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
     for value, picks in quantiles.items():
-        stats = join_on(stats, group_quantiles(source, keys, value, picks), keys, null_keys=True)
+        stats = join_on(stats, group_quantiles(source, keys, value, picks, none_hot), keys, null_keys=True)
     out = join_on(df, stats, keys, null_keys=null_keys)
     outputs = {n: e for s in specs for n, e in s.outputs.items()}
     kept = [F.col(c) for c in df.columns if c not in outputs]
@@ -119,9 +121,9 @@ def group_moments(df: DataFrame, group: str | Sequence[str], columns: Mapping[st
 
 
 def group_position(df: DataFrame, group: str | Sequence[str], order: Sequence[Column],
-                   output: str = "group_position") -> DataFrame:
+                   output: str = "group_position", none_hot: bool = False) -> DataFrame:
     """1-based place of the row in its group; ``order`` must be unique in the group."""
-    return running(df, group, order, output)
+    return running(df, group, order, output, none_hot=none_hot)
 
 
 def count_in_group(df: DataFrame, group: str | Sequence[str], key: str | Sequence[str],
@@ -151,14 +153,14 @@ def nunique_in_group(df: DataFrame, group: str | Sequence[str], keys: Mapping[st
 
 
 def ordinal_rank_ratio(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str],
-                       output: str) -> DataFrame:
+                       output: str, none_hot: bool = False) -> DataFrame:
     """Ordinal rank of ``value`` among rows with the same keys, over their number.
 
     A null value has no rank; it still counts in the number.
     """
     place, n = scratch("place"), scratch("n")
     order = [F.col(value), *[F.col(t) for t in ties]]
-    out = running(df, keys, order, place, total=n)
+    out = running(df, keys, order, place, total=n, none_hot=none_hot)
     return out.withColumn(output, F.when(F.col(value).isNotNull(), F.col(place) / F.col(n))).drop(place, n)
 
 

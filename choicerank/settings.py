@@ -6,6 +6,7 @@ Set them with ``spark.conf.set`` or ``--conf``:
 ``spark.choicerank.hotGroups``      how many of the largest groups are split at most
 ``spark.choicerank.parts``          pieces a hot group is cut into, per level
 ``spark.choicerank.broadcastRows``  a lookup table above this many rows is not broadcast
+``spark.choicerank.broadcastBytes``  nor one above this many bytes
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ DEFAULTS = {
     "hotGroups": 5_000,
     "parts": 128,
     "broadcastRows": 200_000,
+    "broadcastBytes": 64 * 1024 * 1024,
 }
 
 
