@@ -105,18 +105,18 @@ def carrier_stats(df):
 
 
 @on_options("cabin_share_pivot", """
-WITH past AS (SELECT * FROM options WHERE split = 'train' AND selected = 1 AND coalesce(cabin, 0) <> 4),
+WITH past AS (SELECT * FROM options WHERE split = 'train' AND selected = 1),
 n AS (SELECT carrier, cabin, count(*) AS k FROM past GROUP BY carrier, cabin),
 t AS (SELECT carrier, sum(k) AS n FROM n GROUP BY carrier),
 s AS (SELECT carrier, cabin, k / (n + 0.00001::double) AS share FROM n JOIN t USING (carrier)),
 w AS (SELECT carrier, max(CASE WHEN cabin = 1 THEN share END) AS c1, max(CASE WHEN cabin = 2 THEN share END) AS c2,
-    max(CASE WHEN cabin = 3 THEN share END) AS c3 FROM s GROUP BY carrier)
+    max(CASE WHEN cabin = 3 THEN share END) AS c3, max(CASE WHEN cabin = 4 THEN share END) AS c4
+  FROM s GROUP BY carrier)
 SELECT option_id, round(c1, 6) AS c_cabin1_select_ratio, round(c2, 6) AS c_cabin2_select_ratio,
-  round(c3, 6) AS c_cabin3_select_ratio, 0.0::double AS c_cabin4_select_ratio
+  round(c3, 6) AS c_cabin3_select_ratio, round(c4, 6) AS c_cabin4_select_ratio
 FROM options LEFT JOIN w USING (carrier)""")
 def cabin_share_pivot(df):
-    past = df.where((F.col("split") == "train") & (F.col("selected") == 1) & (F.coalesce("cabin", F.lit(0)) != 4))
-    out = history.cabin_share_pivot(df, "carrier", "cabin", "c", history=past)
+    out = history.cabin_share_pivot(df, "carrier", "cabin", "c")
     names = [f"c_cabin{i}_select_ratio" for i in (1, 2, 3, 4)]
     return rounded(out.select("option_id", *names), *names)
 
@@ -208,17 +208,13 @@ def profile_mode_fallback(df):
 
 @on_options("code_stats_null_fallback", f"""
 WITH {VALUES},
-t AS (SELECT tariff_code, count(*) AS n, avg(price_rank) AS p, avg(tax_rank) AS d FROM past
-  WHERE tariff_code BETWEEN 0 AND 6 OR tariff_code IS NULL GROUP BY tariff_code),
+t AS (SELECT tariff_code, count(*) AS n, avg(price_rank) AS p, avg(tax_rank) AS d FROM past GROUP BY tariff_code),
 z AS (SELECT * FROM t WHERE tariff_code IS NULL)
 SELECT option_id, coalesce(t.n, z.n) AS tariff_code_hotness, round(coalesce(t.p, z.p), 6) AS tariff_code_price_rank_mean,
   round(coalesce(t.d, z.d), 6) AS tariff_code_duration_rank_mean
 FROM v CROSS JOIN z LEFT JOIN t ON v.tariff_code = t.tariff_code""")
 def code_stats_null_fallback(df):
-    values = with_values(df)
-    past = history.history_rows(values, None).where("tariff_code BETWEEN 0 AND 6 OR tariff_code IS NULL")
-    out = history.tariff_code_stats(values, "tariff_code", price_rank="price_rank", duration_rank="tax_rank",
-                                    history=past)
+    out = history.tariff_code_stats(with_values(df), "tariff_code", price_rank="price_rank", duration_rank="tax_rank")
     names = ["tariff_code_price_rank_mean", "tariff_code_duration_rank_mean"]
     return rounded(out.select("option_id", "tariff_code_hotness", *names), *names)
 
@@ -305,9 +301,8 @@ def label_join(spark, sf_dir):
 
 @query("summary_join", """
 SELECT option_id, p_size::double AS p_size, p_brand FROM options
-LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON session_id = p_partkey""")
+LEFT JOIN part ON session_id = p_partkey""")
 def summary_join(spark, sf_dir):
-    summary = table(spark, sf_dir, "part").where("p_size > 10").select(
-        F.col("p_partkey").alias("session_id"), "p_size", "p_brand")
+    summary = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("session_id"), "p_size", "p_brand")
     out = enrich.summary_enrichment(options(spark, sf_dir), summary, "session_id")
     return nullable(out.select("option_id", "p_size", "p_brand"), "p_size")

@@ -42,7 +42,12 @@ def as_list(names: str | Iterable[str]) -> list[str]:
 
 def join_on(df: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str = "left",
             null_keys: bool = False, broadcast: bool = False) -> DataFrame:
-    """Equi-join on equally named keys; ``null_keys`` lets null match null."""
+    """Equi-join on equally named keys; ``null_keys`` lets null match null.
+
+    Adaptive execution splits a hot key only where both sides are shuffled for the join. A table that
+    was aggregated by the same keys is not, unless it is joined with ``null_keys``: the null-safe
+    match hashes other expressions, so the small table is shuffled once more.
+    """
     if broadcast:
         table = F.broadcast(table)
     if not null_keys:
@@ -108,7 +113,7 @@ def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Co
     source = df if source is None else source
     source = source if null_keys else source.dropna(subset=keys)
     stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
-    return join_on(df, stats, keys, null_keys=null_keys)
+    return join_on(df, stats, keys, null_keys=True)
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:

@@ -51,7 +51,8 @@ def missed_groups(df: DataFrame, group: str, score: str, label: str, ties: Seque
                   more_than: int = 10) -> DataFrame:
     """All rows of the large groups without a hit; empty when there is none."""
     hits = group_hits(df, group, best_first(score, ties), label, k, more_than)
-    return join_on(df, hits.where(hit(k) == 0).select(group), [group], how="left_semi")
+    return join_on(df, hits.where(hit(k) == 0).select(group), [group], how="left_semi",
+                   null_keys=True)
 
 
 def _curve(hits: DataFrame, ks: Sequence[int], by: Sequence[str] = ()) -> DataFrame:

@@ -33,8 +33,8 @@ def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
     ``source`` is an earlier frame with the same rows to aggregate instead of ``df``; ``none_hot``
     says that no group is hot.
 
-    Rows with a null key form a group, unless ``null_keys=False``: then their statistics are null
-    and the join can share the partitioning of windows on the same key.
+    Rows with a null key form a group, unless ``null_keys=False``: then their statistics are null, and
+    without hot groups the join shares the partitioning of windows on the same key.
     """
     keys = as_list(keys)
     aggregates = {n: e for s in specs for n, e in s.aggregates.items()}
@@ -43,10 +43,11 @@ def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
         for value, picks in spec.quantiles.items():
             quantiles.setdefault(value, {}).update(picks)
     source = df if source is None else source
+    source = source if null_keys else source.dropna(subset=keys)
     stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
     for value, picks in quantiles.items():
         stats = join_on(stats, group_quantiles(source, keys, value, picks, none_hot), keys, null_keys=True)
-    out = join_on(df, stats, keys, null_keys=null_keys)
+    out = join_on(df, stats, keys, null_keys=null_keys or not none_hot)
     outputs = {n: e for s in specs for n, e in s.outputs.items()}
     kept = [F.col(c) for c in df.columns if c not in outputs]
     return out.select(*kept, *[e.alias(n) for n, e in outputs.items()])
@@ -251,4 +252,4 @@ def filter_groups_by_size(df: DataFrame, group: str | Sequence[str], more_than:
     n = scratch("n")
     large = (df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
              .where(F.col(n) > more_than).drop(n))
-    return join_on(df, large, keys, how="left_semi")
+    return join_on(df, large, keys, how="left_semi", null_keys=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks.feature_queries import features
 from checks.fixture import options, table
-from choicerank.operators import metrics, session
+from choicerank.operators import history, session
 from choicerank.plans.catalogue import FAMILIES, feature_lists
 from choicerank.operators.encode import select_features
 from choicerank.operators.rerank import top_k_per_group
@@ -37,10 +37,39 @@ def test_top_rows_are_limited_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") >= 2
 
 
-def test_unused_attachments_vanish(spark):
-    df = table(spark, DATA, "lineitem")
-    out = session.count_in_group(df, "l_partkey", "l_suppkey", "n").select("l_orderkey")
-    assert "Join" not in plan(out)
+SKEW = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+ATTACHED = {
+    "attach": lambda df: session.count_in_group(df, "k", "one", "n"),
+    "with_group": lambda df: session.group_size(df, "k", "l_tax"),
+    "history": lambda df: history.history_stats(
+        df, "k", [history.Stat("n", F.count(F.lit(1)), 0)], F.col("l_tax") >= 0),
+    "filter": lambda df: session.filter_groups_by_size(df, "k", 3),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ATTACHED))
+def test_hot_keys_are_split_when_statistics_join_back(spark, settings, name):
+    """Half of the rows share a key; the join of rows and statistics is marked as a skewed one."""
+    key = F.when(F.col("l_orderkey") % 2 == 0, F.lit(1)).otherwise(F.col("l_orderkey"))
+    df = (table(spark, DATA, "lineitem").repartition(8)
+          .select("*", key.alias("k"), F.lit(1).alias("one")))
+    settings(broadcastRows=0)
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    try:
+        for k, v in SKEW.items():
+            spark.conf.set(k, v)
+        out = ATTACHED[name](df)
+        expected = df.count() if name != "filter" else out.select("k").count()
+        assert len(out.collect()) == expected
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 QUICK = [n for n in entry.queries() if n not in

@@ -143,6 +143,12 @@ def test_enrichment_keeps_rows_with_duplicate_airports(spark):
     assert found == {1: (0, True), 2: (0, False), 3: (0, False)}
 
 
+def test_summary_keeps_sessions_without_one(small, spark):
+    summary = spark.createDataFrame([(1, 1980)], "g int, yearOfBirth int")
+    found = by_id(enrich.summary_enrichment(small, summary, "g"), "yearOfBirth")
+    assert len(found) == 7 and found["a"] == (1980,) and found["d"] == (None,) and found["f"] == (None,)
+
+
 PAST = [(1, 5, 10.0, 1, "train"), (1, 5, 20.0, 1, "train"), (2, 6, 40.0, 1, "train"), (None, 7, 80.0, 1, "train"),
         (3, 8, 5.0, 0, "train"), (4, 9, 7.0, 1, "test")]
 
