@@ -11,6 +11,7 @@ from checks.registry import nullable, on_options, query, rounded
 from choicerank.operators import encode, metrics, model, session, tables
 from choicerank.plans.catalogue import FAMILIES
 from choicerank.plans.features import build_features
+from choicerank.plans.ranking import rank_options
 from choicerank.settings import checkpointed, shared_folder, tuned
 
 S, ROW = "session_id", "option_id"
@@ -125,6 +126,13 @@ def selected_features(spark, sf_dir):
     return chosen.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
+@query("ranked_options")
+def ranked_options(spark, sf_dir):
+    """All features, all categories encoded, a small ranker, and the re-ranked test options."""
+    small = {"maxIter": 2, "maxDepth": 3, "maxBins": 32}
+    return rank_options(features(spark, sf_dir), params=small, more_than=4).submission
+
+
 FEATURES = ["price_rank", "tax_rank", "carrier", "cabin", "tariff_code", "total_price"]
 
 

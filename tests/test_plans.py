@@ -74,7 +74,7 @@ def test_hot_keys_are_split_when_statistics_join_back(spark, settings, name):
 
 QUICK = [n for n in entry.queries() if n not in
          ("train_ranker", "search_params", "score_options", "feature_importance", "learning_curve", "evaluate_ranker",
-          "selected_features", "build_features")]
+          "selected_features", "build_features", "ranked_options")]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks.feature_queries import FEATURES, fitted
+from checks.feature_queries import FEATURES, features, fitted
 from checks.fixture import options
 from choicerank.operators import metrics, model, rerank
+from choicerank.plans.ranking import rank_options
 from tests.conftest import DATA
 
 S, ROW = "session_id", "option_id"
@@ -96,3 +97,17 @@ def test_ranker_learns_a_signal(spark):
     assert abs(sum(r["importance"] for r in used) - 1) < 1e-6
     losses = [r["loss"] for r in model.learning_curve(ranker, rows, "selected", S, centred=True).collect()]
     assert losses == sorted(losses, reverse=True)
+
+
+def test_options_are_ranked_end_to_end(spark):
+    df = features(spark, DATA).withColumn("selected", (F.col("price_quantile_rank") < 0.1).cast("bigint"))
+    run = rank_options(df, params={"maxIter": 2, "maxDepth": 3, "maxBins": 32}, more_than=4)
+    assert len(run.features) == 162
+    wrong = run.submission.groupBy("ranker_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("selected").alias("d"), F.max("selected").alias("top")
+    ).where("n <> d OR n <> top")
+    assert wrong.count() == 0
+    assert run.submission.count() == df.where("split = 'test'").count()
+    possible = run.scored.where("split = 'val'").groupBy("ranker_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("selected").alias("any")).where("n > 4").agg(F.avg("any")).first()[0]
+    assert {r["k"]: r["hitrate"] for r in run.hits.collect()}[3] >= 0.95 * possible
