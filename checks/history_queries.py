@@ -10,6 +10,7 @@ from checks.registry import nullable, on_options, query, rounded
 from choicerank.functions.text import split_route
 from choicerank.operators import enrich, history
 from choicerank.operators.history import GLOBAL, Stat
+from choicerank.settings import checkpointed
 
 
 def with_values(df):
@@ -237,11 +238,13 @@ SELECT option_id, coalesce(o.n, 0) AS outbound_route_hotness, round(coalesce(o.p
 FROM rv CROSS JOIN g LEFT JOIN o ON r[1] = o.route LEFT JOIN b ON r[2] = b.route""")
 def route_stats(df):
     out = with_values(df).withColumns(split_route("search_route"))
-    names = []
-    for route in ("outbound_route", "return_route"):
-        out = history.route_stats(out, route, log_price="log_price", duration="tax_rank", policy="has_tariff",
-                                  direct="is_direct")
-        names += [f"{route}_{x}" for x in ("avg_price", "avg_duration", "policy_rate", "direct_ratio")]
+    routes = ["outbound_route", "return_route"]
+    past = checkpointed(history.history_rows(out, None).select(
+        *routes, "log_price", "tax_rank", "has_tariff", "is_direct"))
+    out = history.with_history(out, *[history.route(route, log_price="log_price", duration="tax_rank",
+                                                    policy="has_tariff", direct="is_direct", history=past)
+                                      for route in routes])
+    names = [f"{route}_{x}" for route in routes for x in ("avg_price", "avg_duration", "policy_rate", "direct_ratio")]
     return rounded(out.select("option_id", "outbound_route_hotness", "return_route_hotness", *names), *names)
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.fixture import options, table
-from checks.registry import nullable, on_options, query, rounded
+from checks.registry import nullable, on_options, query
 from choicerank.operators import encode, tables
 from choicerank.plans.catalogue import FeatureFamily
 from choicerank.settings import shared_folder

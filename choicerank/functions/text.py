@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from choicerank.functions.numbers import col, either_or, flag
+from choicerank.functions.numbers import col, flag
 
 
 def duration_to_minutes(text) -> Column:
@@ -83,6 +83,3 @@ def composite_key(columns: Sequence[str | Column], null_as: str | None = "missin
     spaced = [p for t in texts for p in (F.lit(separator), t)][1:]
     return F.concat(*spaced)
 
-
-__all__ = ["composite_key", "duration_to_minutes", "either_or", "has_text", "in_set", "list_count",
-           "list_membership", "matches", "split_route"]

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicerank.functions.calendar import as_time
-from choicerank.operators.groups import (as_list, ascending, attach, by_size, join_on, running, scratch,
-                                         top_rows)
+from choicerank.operators.groups import as_list, attach, by_size, join_on, running, scratch, top_rows
 from choicerank.settings import checkpointed
 
 
@@ -163,6 +162,3 @@ def _mmr_rounds(df, group, row, names, top_k, lam, output):
     return chosen.select(F.col(f"winner.{row}").alias(row), group, output,
                          F.col("winner.pred_score").alias("pred_score"))
 
-
-__all__ = ["ascending", "best_first", "duplicate_penalty_rerank", "make_submission", "mmr_rerank",
-           "option_similarity", "penalty_score", "rank_within_group", "top_k_per_group"]
