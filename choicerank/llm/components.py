@@ -42,4 +42,5 @@ def components(links: DataFrame, work: Work, name: str, a: str = "a", b: str = "
 
 def _state(edges: DataFrame) -> tuple:
     """Equal for equal sets of links."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.sum("lo")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")),
+                           F.sum(F.xxhash64("lo").cast("decimal(38,0)"))).first())
