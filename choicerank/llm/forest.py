@@ -5,8 +5,8 @@
 2. A signature is ``TREES * DEPTH`` minimum hashes. Each tree is one sorted order of the signatures by its own ``DEPTH`` of
    them: rows are range-partitioned and sorted, and a task walks over its rows once. Candidates are neighbours with the
    longest common prefixes: of each row those ``NEIGHBOURS`` before it that share at least the first hash. Depth so adapts
-   to the region: where few documents share a prefix the neighbours reach down to depth 1, in a crowded region they are
-   those with which most hashes agree.
+   to the region: where few documents share a prefix the neighbours reach down to depth 1. In a crowded region, where the
+   whole window shares it, a row's candidates are the one next to it and the one that agrees with it most.
 3. Links are confirmed on the full sets. As only classes are asked for, a candidate inside a component that is
    already linked needs no look: in every round each component confirms its likeliest candidate to another one, the
    components are formed anew, and when few candidates are left all of them are confirmed. No candidate between different
@@ -31,8 +31,8 @@ from choicerank.llm.components import components
 WORDS = 5
 TREES, DEPTH = 16, 6
 NEIGHBOURS = 8
-#: Candidates whose signatures agree in a smaller share of places are no candidates: 4.5 standard deviations below 0.75.
-LEAST_AGREEMENT = 0.55
+#: Pairs whose signatures agree in a smaller share of places are no candidates: 3.4 standard deviations below 0.75.
+LEAST_AGREEMENT = 0.6
 KEEP = 400_000
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,19 +83,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``key``, ``n_shingles``, ``digest`` of the set, ``signature`` (null without shingles)."""
+    """``key``, ``n_shingles``, ``digest`` of the set, ``signature`` and ``sketch`` (nulls without shingles)."""
     import hashlib
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         def run(batch: list[str]) -> dict[str, list]:
             sets = [shingle_hashes(t, words) for t in batch]
+            signed = [signature(s) if len(s) else None for s in sets]
             return {"n_shingles": [len(s) for s in sets],
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                    "signature": [signature(s).tobytes() if len(s) else None for s in sets]}
+                    "signature": [s.tobytes() if s is not None else None for s in signed],
+                    "sketch": [(s & 255).astype(np.uint8).tobytes() if s is not None else None for s in signed]}
 
         return run
 
-    return map_texts(texts(docs, key, text), make, "n_shingles bigint, digest binary, signature binary", key)
+    return map_texts(texts(docs, key, text), make, "n_shingles bigint, digest binary, signature binary, sketch binary", key)
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -110,6 +112,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk over sorted rows; gives pairs, and a task's first and last rows for the seams between tasks."""
     held: tuple | None = None
+    tail: pa.RecordBatch | None = None
     began = False
     for batch in rows:
         n = batch.num_rows
@@ -117,57 +120,69 @@ def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         node = np.array(batch.column("node"), np.int64)
         tree = np.array(batch.column("tree"), np.int32)
-        signed = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u4").reshape(n, -1).astype(np.uint32)
+        first = _matrix(batch.column("prefix"), ">u4")[:, 0].astype(np.int64)
+        bytes_ = _matrix(batch.column("sketch"), np.uint8)
         if not began:
             began = True
-            yield _seam(node[:NEIGHBOURS], tree[:NEIGHBOURS], signed[:NEIGHBOURS])
+            yield _seam(batch.slice(0, NEIGHBOURS))
+        last = batch if tail is None else pa.concat_batches([tail, batch])
+        tail = last.slice(max(0, last.num_rows - NEIGHBOURS))
         if held is not None:
-            node, tree, signed = (np.concatenate(x) for x in zip(held, (node, tree, signed)))
+            node, tree, first, bytes_ = (np.concatenate(x) for x in zip(held, (node, tree, first, bytes_)))
         fresh = len(node) - n
-        first = np.take_along_axis(signed, (tree * DEPTH)[:, None], 1)[:, 0]
+        agreed = np.zeros((NEIGHBOURS, len(node)))
+        together = np.zeros((NEIGHBOURS, len(node)), bool)
         for lag in range(1, min(NEIGHBOURS, len(node) - 1) + 1):
             at = np.arange(max(lag, fresh), len(node))
             at = at[(tree[at] == tree[at - lag]) & (first[at] == first[at - lag])]
-            agree = (signed[at] == signed[at - lag]).mean(axis=1)
-            at, agree = at[agree >= LEAST_AGREEMENT], agree[agree >= LEAST_AGREEMENT]
-            low, high = np.minimum(node[at], node[at - lag]), np.maximum(node[at], node[at - lag])
-            good = low != high
-            yield _pairs(low[good], high[good], agree[good])
-        held = tuple(x[-NEIGHBOURS:] for x in (node, tree, signed))
-    if held is not None:
-        yield _seam(*held)
+            together[lag - 1, at] = True
+            same = (bytes_[at] == bytes_[at - lag]).mean(axis=1)
+            agreed[lag - 1, at] = (same - 1 / 256) / (255 / 256)  # bytes of different hashes are equal now and then
+        chosen = agreed >= LEAST_AGREEMENT
+        crowded = together[-1]
+        chosen[1:, crowded] &= (agreed == agreed.max(axis=0))[1:, crowded]
+        lag, at = np.nonzero(chosen)
+        low, high = np.minimum(node[at], node[at - lag - 1]), np.maximum(node[at], node[at - lag - 1])
+        good = low != high
+        yield _pairs(low[good], high[good], agreed[lag, at][good])
+        held = tuple(x[-NEIGHBOURS:] for x in (node, tree, first, bytes_))
+    if tail is not None:
+        yield _seam(tail)
 
 
-_PAIR = "a bigint, b bigint, agree double, node bigint, tree int, signature binary"
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+_PAIR = "a bigint, b bigint, agree double, node bigint, tree int, prefix binary, sketch binary"
+_NAMES = ["a", "b", "agree", "node", "tree", "prefix", "sketch"]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
+    empty = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64()), pa.nulls(n, pa.int64()),
-         pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["a", "b", "agree", "node", "tree", "signature"])
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.float64()), *empty], _NAMES)
 
 
-def _seam(node: np.ndarray, tree: np.ndarray, signed: np.ndarray) -> pa.RecordBatch:
-    n = len(node)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(node, pa.int64()),
-         pa.array(tree, pa.int32()), pa.array([row.astype(">u4").tobytes() for row in signed], pa.binary())],
-        ["a", "b", "agree", "node", "tree", "signature"])
+def _seam(rows: pa.RecordBatch) -> pa.RecordBatch:
+    empty = [pa.nulls(rows.num_rows, t) for t in (pa.int64(), pa.int64(), pa.float64())]
+    return pa.RecordBatch.from_arrays([*empty, *(rows.column(n) for n in _NAMES[3:])], _NAMES)
 
 
 def candidates(nodes: DataFrame, work: Work) -> DataFrame:
-    """``a``, ``b``, ``agree`` of ``nodes`` (``node``, ``signature``): pairs that are neighbours in some tree."""
+    """``a``, ``b``, ``agree`` of ``nodes`` (``node``, ``signature``, ``sketch``): neighbours in some tree.
+
+    A sketch has one byte of each hash, enough to tell how many agree.
+    """
     prefix = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
-    rows = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = nodes.select("node", "sketch", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     order = ["tree", "prefix", "node"]
-    # The ranges are found by the narrow columns; sorted rows then carry the signature once.
-    rows = rows.withColumn("prefix", prefix).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = work.store(rows.select("node", "tree", "signature").mapInArrow(_neighbours, _PAIR), "neighbours")
+    rows = rows.select("node", "tree", prefix.alias("prefix"), "sketch")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = work.store(rows.mapInArrow(_neighbours, _PAIR), "neighbours")
     # A few rows a task: what lies on either side of a seam.
-    seams = (found.filter("node is not null").select("node", "tree", "signature").distinct()
-             .withColumn("prefix", prefix).coalesce(1).sortWithinPartitions(*order).select("node", "tree", "signature")
-             .mapInArrow(_neighbours, _PAIR))
+    seams = (found.filter("node is not null").select("node", "tree", "prefix", "sketch").distinct()
+             .coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _PAIR))
     pairs = found.select("a", "b", "agree").union(seams.select("a", "b", "agree")).filter("a is not null")
     return work.store(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
@@ -204,9 +219,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("text"))
     signed = work.store(signatures(rows, "node"), "signatures")
     classes = signed.filter("node is not null and digest is not null").groupBy("digest").agg(
-        F.min("node").alias("class"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+        F.min("node").alias("class"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
+        F.count("*").alias("copies"))
     classes = work.store(classes, "classes")
-    pairs = candidates(classes.select(F.col("class").alias("node"), "signature"), work)
+    pairs = candidates(classes.select(F.col("class").alias("node"), "signature", "sketch"), work)
+    work.release("neighbours")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = work.store(shingle_sets(rows.join(wanted, "node", "left_semi"), "node", words=words), "sets")
     links, groups = _linked(pairs, sets, work, percent)
@@ -255,7 +272,7 @@ def _bridged(pairs: DataFrame, links: DataFrame, groups: DataFrame, sets: DataFr
 
     In a crowd more nodes share a prefix than a window has places, and a node may be like a few of them only. Such a
     node shows by a candidate that was not confirmed. It is joined with the whole crowd by the shingles that are rarest in
-    the crowd: two sets that are alike by p share one of the first n - ceil(p n) + 1 of either. Crowds are the components
+    the crowd: two sets that are alike by p share one of the first n - ceil(p n) + 1 of both. Crowds are the components
     that do not fit a window, with their borders.
     """
     open_pairs = _between(pairs, groups)
@@ -272,13 +289,16 @@ def _bridged(pairs: DataFrame, links: DataFrame, groups: DataFrame, sets: DataFr
     shingles = crowd.join(sets, "node").select("crowd", "node", F.explode("hashes").alias("h"))
     frequent = shingles.groupBy("crowd", "h").agg(F.count("*").alias("f"))
     size = F.size("order")
-    rare = (border.join(sets, "node").select("crowd", "node", F.explode("hashes").alias("h"))
-            .join(frequent, ["crowd", "h"]).groupBy("crowd", "node")
-            .agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order"))
+    rare = (shingles.join(frequent, ["crowd", "h"]).groupBy("crowd", "node")
+            .agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order")).withColumn("n", size)
             .withColumn("first", F.slice("order", 1, size - F.ceil(size * percent / 100).cast("int") + 1))
-            .select("crowd", F.col("node").alias("x"), F.explode("first").alias("at"))
-            .filter("at.f > 1").select("crowd", "x", F.col("at.h").alias("h")))
-    met = (rare.join(shingles, ["crowd", "h"]).filter("x != node")
+            .select("crowd", "node", "n", F.explode("first").alias("at"))
+            .filter("at.f > 1").select("crowd", "node", "n", F.col("at.h").alias("h")))
+    rare = work.store(rare, "rare")
+    own = rare.join(border, ["crowd", "node"], "left_semi").select(
+        "crowd", "h", F.col("node").alias("x"), F.col("n").alias("m"))
+    met = (own.join(rare, ["crowd", "h"])
+           .filter(f"x != node and m * 100 >= n * {percent} and n * 100 >= m * {percent}")
            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
     met = work.store(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "met")
     fresh = work.store(confirmed(met, sets, percent), "bridged")
