@@ -19,16 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicerank.llm.common import SPACES, map_texts, texts
-
-#: Units of text (words with what adheres to them) a Python worker remembers at most.
-KEEP = 400_000
+from choicerank.llm.common import KEEP, SPACES, held, map_texts, texts
 
 #: Runs that no match of the tokenizers' pattern leaves: a word with the space before it, or white space.
 UNITS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-_WORKER: dict = {}
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -216,9 +211,10 @@ class Encoder:
 
 def worker_encoder(path: str, pattern: str) -> Encoder:
     """One encoder a Python worker, which outlives tasks."""
-    if ("bpe", path, pattern) not in _WORKER:
-        _WORKER["bpe", path, pattern] = Encoder(path, pattern)
-    return _WORKER["bpe", path, pattern]
+    memory = held("bpe")
+    if (path, pattern) not in memory:
+        memory[path, pattern] = Encoder(path, pattern)
+    return memory[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,13 +234,14 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, ``ids``, ``bytes``: what the ids stand for. Null ids give no bytes."""
     def make() -> Callable[[list[bytes]], dict[str, list]]:
-        if ("bytes", path) not in _WORKER:
+        memory = held("bpe")
+        if ("bytes", path) not in memory:
             ranks = read_ranks(path)
             table = [b""] * (max(ranks.values()) + 1)
             for word, i in ranks.items():
                 table[i] = word
-            _WORKER["bytes", path] = table
-        look = _WORKER["bytes", path].__getitem__
+            memory["bytes", path] = table
+        look = memory["bytes", path].__getitem__
 
         def run(batch: list[bytes]) -> dict[str, list]:
             return {"ids": batch, "bytes": [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in batch]}

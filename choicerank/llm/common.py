@@ -17,6 +17,20 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 SLICE_CHARS = 4_000_000
 
 
+#: Words (or the like) that a Python worker remembers at most; the bound costs time, never results.
+KEEP = 250_000
+
+_HELD: dict = {}
+
+
+def held(operator: str) -> dict:
+    """What a Python worker, which outlives tasks, remembers for an operator. Another operator's memory goes first."""
+    if _HELD.get("operator") != operator:
+        _HELD.clear()
+        _HELD["operator"] = operator
+    return _HELD
+
+
 class Work:
     """A folder of intermediate Parquet tables, which all executors share.
 

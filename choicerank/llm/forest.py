@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicerank.llm.common import Work, map_texts, texts
+from choicerank.llm.common import KEEP, Work, held, map_texts, texts
 from choicerank.llm.components import components
 
 WORDS = 5
@@ -33,10 +33,8 @@ TREES, DEPTH = 16, 6
 NEIGHBOURS = 8
 #: Pairs whose signatures agree in a smaller share of places are no candidates: 3.4 standard deviations below 0.75.
 LEAST_AGREEMENT = 0.6
-KEEP = 400_000
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,13 +53,14 @@ def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     found = text.encode().lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > KEEP:
-        _WORDS.clear()
+    known: dict[bytes, int] = held("forest").setdefault("words", {})
+    if len(known) > KEEP:
+        known.clear()
     codes = []
     for word in found:
-        code = _WORDS.get(word)
+        code = known.get(word)
         if code is None:
-            code = _WORDS[word] = xxhash.xxh3_64_intdigest(word)
+            code = known[word] = xxhash.xxh3_64_intdigest(word)
         codes.append(code)
     hashes = np.array(codes, np.uint64)
     width = min(words, len(hashes))

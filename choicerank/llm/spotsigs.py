@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from choicerank.llm.common import Work, map_texts, slices, texts
+from choicerank.llm.common import KEEP, Work, held, map_texts, slices, texts
 
 CHAIN = 3
-KEEP = 400_000
 #: Bits of a signature, as ten hexadecimal digits in a fingerprint.
 BITS = 40
 
@@ -32,7 +31,6 @@ ANCHORS = frozenset((
     "al con del el en es la las lo los para por que se su un una y").split())
 
 _WORD = re.compile(r"[^\W_]+")
-_KNOWN: dict[str, tuple[int, bool]] = {}
 
 
 def signatures(text: str) -> np.ndarray:
@@ -45,13 +43,14 @@ def signatures(text: str) -> np.ndarray:
 
     if not text:
         return np.empty(0, np.int64)
-    if len(_KNOWN) > KEEP:
-        _KNOWN.clear()
+    memory: dict[str, tuple[int, bool]] = held("spots").setdefault("words", {})
+    if len(memory) > KEEP:
+        memory.clear()
     codes, marks = [], []
     for word in _WORD.findall(text.lower()):
-        known = _KNOWN.get(word)
+        known = memory.get(word)
         if known is None:
-            known = _KNOWN[word] = (xxhash.xxh3_64_intdigest(word), word in ANCHORS)
+            known = memory[word] = (xxhash.xxh3_64_intdigest(word), word in ANCHORS)
         codes.append(known[0])
         marks.append(known[1])
     words, anchor = np.array(codes, np.uint64), np.array(marks, bool)

@@ -14,10 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from choicerank.llm.bpe import KEEP, UNITS, pieces_pattern
-from choicerank.llm.common import map_texts, texts
-
-_WORKER: dict = {}
+from choicerank.llm.bpe import UNITS, pieces_pattern
+from choicerank.llm.common import KEEP, held, map_texts, texts
 
 
 class PieceCounter:
@@ -80,9 +78,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, key
     """
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        if (path, pattern) not in _WORKER:
-            _WORKER[path, pattern] = PieceCounter(path, pattern)
-        counter = _WORKER[path, pattern]
+        memory = held("counts")
+        if (path, pattern) not in memory:
+            memory[path, pattern] = PieceCounter(path, pattern)
+        counter = memory[path, pattern]
         return lambda batch: {"n_bytes": [len(t.encode()) for t in batch], "n_tokens": counter(batch)}
 
     rows = map_texts(texts(docs, key, text), make, "n_bytes bigint, n_tokens bigint", key)

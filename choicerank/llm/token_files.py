@@ -23,17 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from choicerank.llm.common import slices, texts
+from choicerank.llm.common import KEEP, held, slices, texts
 from choicerank.llm.elias_fano import EliasFano
 
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1_000_000
 
-#: Chunks between white space whose ids a Python worker remembers at most.
-KEEP = 400_000
-
-_WORKER: dict = {}
-
 LAYOUT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
                     ("width", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("low_bits", pa.int32()),
                     ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
@@ -83,9 +78,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _WORKER:
-            _WORKER[path] = ChunkEncoder(path)
-        encoder, shard = _WORKER[path], TaskContext.get().partitionId()
+        memory = held("files")
+        if path not in memory:
+            memory[path] = ChunkEncoder(path)
+        encoder, shard = memory[path], TaskContext.get().partitionId()
         block, keys, ids, starts, total = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
