@@ -39,7 +39,7 @@ FIELDS = ("shard int, block int, doc_ids array<bigint>, width int, n_ids bigint,
 class ChunkEncoder:
     """Encodes texts by a tokenizer whose pre-tokens never cross ASCII white space, chunk by chunk.
 
-    A chunk met before is not encoded again; ``KEEP`` bounds what is remembered and changes no result.
+    A chunk or word met before is not encoded again; ``KEEP`` bounds what is remembered and changes no result.
     """
 
     def __init__(self, path: str):
@@ -51,18 +51,45 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+
+    @staticmethod
+    def parts(chunk: bytes) -> list[str]:
+        """A word and the marks after it are pre-tokens of their own; other chunks stay whole.
+
+        ASCII words are one in either case, as the tokenizer lower-cases them.
+        """
+        core = chunk.rstrip(b".,;:!?")
+        word = core.decode()
+        if not word.isalpha():
+            return [chunk.decode()]
+        if word.isascii():
+            word = word.lower()
+        return [word] if len(core) == len(chunk) else [word, chunk[len(core):].decode()]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        cut = {c: self.parts(c) for c in chunks}
+        new = list({p for parts in cut.values() for p in parts if p not in self.words})
+        self.words.update(zip(new, self._encode(new)))
+        look = self.words.__getitem__
+        self.known.update((c, b"".join(map(look, parts))) for c, parts in cut.items())
 
     def __call__(self, batch: list[str], end: int) -> list[bytes]:
         cut = [text.encode().split() for text in batch]
         distinct = set().union(*cut)
         fresh = distinct.difference(self.known)
         if len(self.known) + len(fresh) > KEEP:
+            # The most that is kept of words is as much as of chunks; what the next slices share with this one stays.
             self.known.clear()
+            if len(self.words) > KEEP:
+                self.words.clear()
             fresh = distinct
         if fresh:
-            new = list(fresh)
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, f"<u{self.width}").tobytes()) for c, e in zip(new, found))
+            self.learn(fresh)
         look, last = self.known.__getitem__, end.to_bytes(self.width, "little")
         return [b"".join([*map(look, chunks), last]) for chunks in cut]
 
