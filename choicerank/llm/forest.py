@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     found = (signed.select("node", "n_shingles", "digest").join(copies, "digest", "left")
              .withColumn("class", F.coalesce("class", "node"))
              .join(groups.select(F.col("node").alias("class"), "component"), "class", "left"))
-    component = F.coalesce("component", "class")
+    component = F.when(F.col("node").isNotNull(), F.coalesce("component", "class"))
     return found.select(F.col("node").alias(key), "n_shingles", component.alias("component_id"),
                         F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
 

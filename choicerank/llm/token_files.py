@@ -83,9 +83,9 @@ class ChunkEncoder:
         distinct = set().union(*cut)
         fresh = distinct.difference(self.known)
         if len(self.known) + len(fresh) > KEEP:
-            # The most that is kept of words is as much as of chunks; what the next slices share with this one stays.
+            # Words stay longer, as most of the next chunks are made of them.
             self.known.clear()
-            if len(self.words) > KEEP:
+            if len(self.words) > 2 * KEEP:
                 self.words.clear()
             fresh = distinct
         if fresh:
