@@ -8,9 +8,9 @@ Two shapes cover every grouped operator of the package:
              ``spark.choicerank.hotRows`` is cut by value ranges into parts that are numbered apart and
              shifted by the rows of the parts before, so no task sorts a hot group alone.
 
-The hot groups are found by one counting job that reads the key columns only. It keeps the
-``spark.choicerank.hotGroups`` (H) largest groups above the row limit. A group left out has at most
-1/H of the rows, and the list itself has at most H entries, which is what makes it safe to broadcast.
+The hot groups are found by one counting job that reads the key columns only. All of them are cut, level
+by level, until no part is above the limit. Their list, bounds and shifts are ordinary tables in the shared
+folder: they are broadcast if they measure small and joined by shuffle otherwise.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from choicerank.settings import checkpointed, setting
 
 SAMPLES_PER_PART = 16
-MAX_LEVELS = 6
 
 _serial = counter()
 
@@ -44,11 +43,13 @@ def join_on(df: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str =
             null_keys: bool = False, broadcast: bool = False) -> DataFrame:
     """Equi-join on equally named keys; ``null_keys`` lets null match null.
 
+    ``broadcast`` is for tables that are usually small: they are measured, and broadcast if they are.
+
     Adaptive execution splits a hot key only where both sides are shuffled for the join. A table that
     was aggregated by the same keys is not, unless it is joined with ``null_keys``: the null-safe
     match hashes other expressions, so the small table is shuffled once more.
     """
-    if broadcast:
+    if broadcast and is_small(table):
         table = F.broadcast(table)
     if not null_keys:
         return df.join(table, list(keys), how)
@@ -59,12 +60,26 @@ def join_on(df: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str =
 
 
 def measures(table: DataFrame) -> list[Column]:
-    """Aggregates that measure a table: its rows and the bytes of its texts."""
-    texts = [F.octet_length(f.name) for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
-    volume = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in texts], F.lit(0))
+    """Aggregates that measure a table: its rows and the bytes of its columns without a fixed width."""
+    sizes = []
+    for f in table.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.octet_length(f.name))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.octet_length(F.to_json(F.struct(f.name))) * 2)
+    volume = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0)) for s in sizes], F.lit(0))
     return [F.count(F.lit(1)).alias("rows"), F.sum(long(volume)).alias("text_bytes")]
 
 
+def is_small(table: DataFrame, rows: int | None = None, text_bytes: int | None = 0) -> bool:
+    """Is a table within the limits for a broadcast? It is measured unless its size is given."""
+    limit = setting(table.sparkSession, "broadcastRows")
+    if rows is None:
+        rows, text_bytes = table.limit(limit + 1).agg(*measures(table)).first()
+    volume = rows * 8 * len(table.columns) + (text_bytes or 0)
+    return rows <= limit and volume <= setting(table.sparkSession, "broadcastBytes")
+
+
 class Side:
     """A table with unique keys that is to be joined, under column names nothing else uses.
 
@@ -76,11 +91,7 @@ class Side:
 
     def __init__(self, table: DataFrame, on: Mapping[str, Column], rows: int | None = None,
                  text_bytes: int = 0):
-        limit = setting(table.sparkSession, "broadcastRows")
-        if rows is None:
-            rows, text_bytes = table.limit(limit + 1).agg(*measures(table)).first()
-        volume = rows * 8 * len(table.columns) + (text_bytes or 0)
-        small = rows <= limit and volume <= setting(table.sparkSession, "broadcastBytes")
+        small = is_small(table, rows, text_bytes)
         named = {name: scratch(name) for name in table.columns}
         table = table.withColumnsRenamed(named)
         self.table = F.broadcast(table) if small else table
@@ -95,12 +106,6 @@ def join_sides(df: DataFrame, sides: Iterable[Side], outputs: Mapping[str, Colum
     return joined.select(*kept, *[e.alias(n) for n, e in outputs.items()])
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the columns of a table with unique keys."""
-    side = Side(table, {k: F.col(k) for k in keys})
-    return join_sides(df, [side], {n: c for n, c in side.columns.items() if n not in keys})
-
-
 def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Column], *,
            null_keys: bool = True, source: DataFrame | None = None) -> DataFrame:
     """Add group aggregates to every row of the group.
@@ -117,14 +122,11 @@ def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Co
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The largest groups above the row limit with their row counts, or None if there is none."""
-    spark = df.sparkSession
+    """All groups above the row limit with their row counts ``n``, or None if there is none."""
     size = scratch("size")
-    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-               .where(F.col(size) > setting(spark, "hotRows"))
-               .orderBy(F.desc(size)).limit(setting(spark, "hotGroups")))
-    found = largest.collect()
-    return spark.createDataFrame(found, largest.schema).withColumnRenamed(size, "n") if found else None
+    found = checkpointed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+                         .where(F.col(size) > setting(df.sparkSession, "hotRows")))
+    return None if found.isEmpty() else found.withColumnRenamed(size, "n")
 
 
 def by_size(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -156,7 +158,7 @@ def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], n
         made_key = scratch("all")
         df = df.withColumn(made_key, F.lit(0))
         keys = [made_key]
-    out = _running(df, keys, list(order), name, weight, total, MAX_LEVELS if none_hot else 0)
+    out = _running(df, keys, list(order), name, weight, total, 0 if none_hot else None)
     return out.drop(made_key) if made_key else out
 
 
@@ -164,9 +166,15 @@ def amount(weight: Column | None) -> Column:
     return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
 
-def _running(df, keys, order, name, weight, total, level):
-    hot = hot_groups(df, keys) if level < MAX_LEVELS else None
-    if hot is None:
+def _running(df, keys, order, name, weight, total, above):
+    """``above`` is the largest group of the level above: 0 if none is hot, None at the top.
+
+    Order values are unique, so cutting makes groups smaller at every level. Where it does not, as they are
+    not unique after all, there is nothing left to cut by.
+    """
+    hot = None if above == 0 else hot_groups(df, keys)
+    largest = hot.agg(F.max("n")).first()[0] if hot is not None else 0
+    if hot is None or (above is not None and largest >= above):
         w = Window.partitionBy(*keys)
         ordered = w.orderBy(*ascending(order))
         if weight is None:
@@ -188,11 +196,10 @@ def _running(df, keys, order, name, weight, total, level):
             w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         whole: F.sum(whole).over(w),
     })
-    # at most hotGroups x parts rows; checkpointed so that a deeper level does not repeat this one
+    # checkpointed so that a deeper level does not repeat this one
     cut = join_on(cut, checkpointed(shifts), [*keys, part], null_keys=True, broadcast=True)
     inner, inner_total = scratch("inner"), scratch("total")
-    out = _running(cut, [*keys, part], order, inner, weight, inner_total if total else None,
-                   level + 1)
+    out = _running(cut, [*keys, part], order, inner, weight, inner_total if total else None, largest)
     added = {name: F.col(inner) + F.coalesce(F.col(before), F.lit(0))}
     if total:
         added[total] = F.coalesce(F.col(whole), F.col(inner_total))

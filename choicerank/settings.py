@@ -3,7 +3,6 @@
 Set them with ``spark.conf.set`` or ``--conf``:
 
 ``spark.choicerank.hotRows``        a group above this many rows is never sorted in one task
-``spark.choicerank.hotGroups``      how many of the largest groups are split at most
 ``spark.choicerank.parts``          pieces a hot group is cut into, per level
 ``spark.choicerank.broadcastRows``  a lookup table above this many rows is not broadcast
 ``spark.choicerank.broadcastBytes``  nor one above this many bytes
@@ -11,13 +10,10 @@ Set them with ``spark.conf.set`` or ``--conf``:
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "hotRows": 1_000_000,
-    "hotGroups": 5_000,
     "parts": 128,
     "broadcastRows": 200_000,
     "broadcastBytes": 64 * 1024 * 1024,
@@ -46,15 +42,11 @@ def setting(spark: SparkSession, name: str) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode, where none is set."""
+    """The cluster's checkpoint folder; where none is set, one in the session's warehouse, which is shared too."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="choicerank-")
-        context.setCheckpointDir(folder)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/checkpoints"))
     return context.getCheckpointDir()
 
 

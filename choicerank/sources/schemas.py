@@ -1,4 +1,7 @@
-"""Declared input schemas."""
+"""Declared input schemas.
+
+Fixed values: the column and field names below are those of the published data.
+"""
 
 from __future__ import annotations
 

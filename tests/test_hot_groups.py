@@ -68,10 +68,23 @@ def test_hot_rank_is_a_permutation(spark, settings, skewed):
     assert wrong.count() == 0
 
 
-def test_hot_list_is_bounded(spark, settings, skewed):
-    settings(hotRows=5, hotGroups=3)
-    found = groups.hot_groups(skewed, ["session_id"])
-    assert found.count() == 3 and found.where("session_id = 7").count() == 1
+def test_all_hot_groups_are_found(spark, settings):
+    settings(hotRows=1)
+    rows = spark.range(12_000).select((F.col("id") % 6_000).alias("g"), "id")
+    assert groups.hot_groups(rows, ["g"]).count() == 6_000
+
+
+def test_groups_are_cut_until_none_is_hot(spark, settings):
+    settings(hotRows=30, parts=2)
+    rows = spark.range(100).select(F.lit(1).alias("g"), ((F.col("id") * 79) % 100).alias("v"))
+    placed = groups.running(rows, "g", [F.col("v")], "place", total="n")
+    assert placed.where("place <> v + 1 OR n <> 100").count() == 0
+
+
+def test_order_that_cannot_be_cut_ends(spark, settings):
+    settings(hotRows=5, parts=2)
+    rows = spark.range(40).select(F.lit(1).alias("g"), F.lit(3).alias("v"))
+    assert sorted(r.place for r in groups.running(rows, "g", [F.col("v")], "place").collect()) == list(range(1, 41))
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 50])
