@@ -85,7 +85,9 @@ def plain_repeats(rows, percent=80, least=5):
     return out
 
 
-def test_lines_against_plain_search(spark):
+@pytest.mark.parametrize("crowd", [lines.CROWD, 1])
+def test_lines_against_plain_search(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     draw = random.Random(4)
     base = [[f"w{draw.randrange(60)}" for _ in range(draw.choice([5, 8, 20]))] for _ in range(12)]
     rows = []
