@@ -272,33 +272,43 @@ def _bridged(pairs: DataFrame, links: DataFrame, groups: DataFrame, sets: DataFr
     In a crowd more nodes share a prefix than a window has places, and a node may be like a few of them only. Such a
     node shows by a candidate that was not confirmed. It is joined with the whole crowd by the shingles that are rarest in
     the crowd: two sets that are alike by p share one of the first n - ceil(p n) + 1 of both. Crowds are the components
-    that do not fit a window, with their borders.
+    that do not fit a window, with their borders. What is linked so makes larger crowds, until nothing new is linked.
     """
-    open_pairs = _between(pairs, groups)
-    crowds = groups.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > NEIGHBOURS)
-    border = (open_pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("node"), F.col("gb").alias("crowd")),
-        F.struct(F.col("b").alias("node"), F.col("ga").alias("crowd")))).alias("at")).select("at.*").distinct()
-        .join(crowds.select(F.col("component").alias("crowd")), "crowd"))
-    border = work.store(border, "border")
-    if border.isEmpty():
-        return groups
-    inside = groups.join(border.select(F.col("crowd").alias("component")).distinct(), "component", "left_semi")
-    crowd = inside.select("node", F.col("component").alias("crowd")).union(border.select("node", "crowd"))
-    shingles = crowd.join(sets, "node").select("crowd", "node", F.explode("hashes").alias("h"))
-    frequent = shingles.groupBy("crowd", "h").agg(F.count("*").alias("f"))
-    size = F.size("order")
-    rare = (shingles.join(frequent, ["crowd", "h"]).groupBy("crowd", "node")
-            .agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order")).withColumn("n", size)
-            .withColumn("first", F.slice("order", 1, size - F.ceil(size * percent / 100).cast("int") + 1))
-            .select("crowd", "node", "n", F.explode("first").alias("at"))
-            .filter("at.f > 1").select("crowd", "node", "n", F.col("at.h").alias("h")))
-    rare = work.store(rare, "rare")
-    own = rare.join(border, ["crowd", "node"], "left_semi").select(
-        "crowd", "h", F.col("node").alias("x"), F.col("n").alias("m"))
-    met = (own.join(rare, ["crowd", "h"])
-           .filter(f"x != node and m * 100 >= n * {percent} and n * 100 >= m * {percent}")
-           .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-    met = work.store(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "met")
-    fresh = work.store(confirmed(met, sets, percent), "bridged")
-    return components(links.union(fresh), work, "bridged-groups")
+    tried, turn = pairs.select("a", "b"), 0
+    while True:
+        # components() names a component by its smallest node without listing that node.
+        members = groups.select("node", "component").union(
+            groups.select(F.col("component").alias("node"), "component").distinct())
+        open_pairs = _between(pairs, groups)
+        crowds = members.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > NEIGHBOURS)
+        border = (open_pairs.select(F.explode(F.array(
+            F.struct(F.col("a").alias("node"), F.col("gb").alias("crowd")),
+            F.struct(F.col("b").alias("node"), F.col("ga").alias("crowd")))).alias("at")).select("at.*").distinct()
+            .join(crowds.select(F.col("component").alias("crowd")), "crowd"))
+        border = work.store(border, f"border-{turn}")
+        if border.isEmpty():
+            return groups
+        inside = members.join(border.select(F.col("crowd").alias("component")).distinct(), "component", "left_semi")
+        crowd = inside.select("node", F.col("component").alias("crowd")).union(border.select("node", "crowd"))
+        shingles = crowd.join(sets, "node").select("crowd", "node", F.explode("hashes").alias("h"))
+        frequent = shingles.groupBy("crowd", "h").agg(F.count("*").alias("f"))
+        size = F.size("order")
+        rare = (shingles.join(frequent, ["crowd", "h"]).groupBy("crowd", "node")
+                .agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order")).withColumn("n", size)
+                .withColumn("first", F.slice("order", 1, size - F.ceil(size * percent / 100).cast("int") + 1))
+                .select("crowd", "node", "n", F.explode("first").alias("at"))
+                .filter("at.f > 1").select("crowd", "node", "n", F.col("at.h").alias("h")))
+        rare = work.store(rare, f"rare-{turn}")
+        own = rare.join(border, ["crowd", "node"], "left_semi").select(
+            "crowd", "h", F.col("node").alias("x"), F.col("n").alias("m"))
+        met = (own.join(rare, ["crowd", "h"])
+               .filter(f"x != node and m * 100 >= n * {percent} and n * 100 >= m * {percent}")
+               .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+        met = work.store(met.join(tried, ["a", "b"], "left_anti"), f"met-{turn}")
+        fresh = work.store(confirmed(met, sets, percent), f"bridged-{turn}")
+        work.release(f"rare-{turn}")
+        if fresh.isEmpty():
+            return groups
+        tried, links = tried.union(met), links.union(fresh)
+        groups = components(links, work, f"bridged-groups-{turn}")
+        turn += 1

@@ -54,6 +54,26 @@ def test_near_duplicates_with_a_crowd(spark):
     assert found == plain_components(texts)
 
 
+def star(first, copies, draw):
+    """Texts by id: a base of 160 shingles, then copies with 20 of them changed, like the base (0.78), not each other (0.62)."""
+    base = [f"w{draw.randrange(10**6)}" for _ in range(164)]
+    texts = {first: " ".join(base)}
+    for i in range(copies):
+        own = list(base)
+        at = draw.randrange(4, 32)
+        for k in range(4):
+            own[at + 32 * k] = f"n{draw.randrange(10**9)}"
+        texts[first + 1 + i] = " ".join(own)
+    return texts
+
+
+def test_near_duplicates_of_a_star_with_the_smallest_id(spark):
+    texts = star(5, 600, random.Random(3))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in forest.near_duplicates(frame).collect()}
+    assert {i for i, c in found.items() if c != 5} == set()
+
+
 def test_near_duplicates_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")],
                                   "doc_id long, text string")
