@@ -6,12 +6,14 @@
    them: rows are range-partitioned and sorted, and a task walks over its rows once. Candidates are neighbours with the
    longest common prefixes: of each row those ``NEIGHBOURS`` before it that share at least the first hash. Depth so adapts
    to the region: where few documents share a prefix the neighbours reach down to depth 1. In a crowded region, where the
-   whole window shares it, a row's candidates are the one next to it and the one that agrees with it most.
+   whole window shares it, a row's candidates are the one next to it and the one that agrees with it most, and the rows
+   of the whole region are crowded.
 3. Links are confirmed on the full sets. As only classes are asked for, a candidate inside a component that is
    already linked needs no look: in every round each component confirms its likeliest candidate to another one, the
    components are formed anew, and when few candidates are left all of them are confirmed. No candidate between different
    components is dropped.
-4. Where a component does not fit a window, the nodes at its border are joined with all of it by their rarest shingles.
+4. All crowded documents, and those of components that do not fit a window with their borders, are joined with each other
+   by their rarest shingles, so that the windows only save work there.
 
 Nothing collects a group: a group of copies is one class, a group of near copies lies along the sorted orders.
 """
@@ -144,6 +146,8 @@ def _neighbours(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = np.minimum(node[at], node[at - lag - 1]), np.maximum(node[at], node[at - lag - 1])
         good = low != high
         yield _pairs(low[good], high[good], agreed[lag, at][good])
+        region = np.unique(node[np.add.outer(np.nonzero(crowded)[0], -np.arange(NEIGHBOURS + 1))])
+        yield _pairs(region, region, np.zeros(len(region)))  # a row with itself: crowded
         held = tuple(x[-NEIGHBOURS:] for x in (node, tree, first, bytes_))
     if tail is not None:
         yield _seam(tail)
@@ -168,10 +172,11 @@ def _seam(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*empty, *(rows.column(n) for n in _NAMES[3:])], _NAMES)
 
 
-def candidates(nodes: DataFrame, work: Work) -> DataFrame:
+def candidates(nodes: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """``a``, ``b``, ``agree`` of ``nodes`` (``node``, ``signature``, ``sketch``): neighbours in some tree.
 
-    A sketch has one byte of each hash, enough to tell how many agree.
+    Also the ``node`` of those that share a first hash with more rows than a window has. A sketch has one byte of each
+    hash, enough to tell how many agree.
     """
     prefix = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
     rows = nodes.select("node", "sketch", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -183,7 +188,8 @@ def candidates(nodes: DataFrame, work: Work) -> DataFrame:
     seams = (found.filter("node is not null").select("node", "tree", "prefix", "sketch").distinct()
              .coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, _PAIR))
     pairs = found.select("a", "b", "agree").union(seams.select("a", "b", "agree")).filter("a is not null")
-    return work.store(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    crowded = work.store(pairs.filter("a = b").select(F.col("a").alias("node")).distinct(), "crowded")
+    return work.store(pairs.filter("a < b").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs"), crowded
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,12 +227,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         F.min("node").alias("class"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
         F.count("*").alias("copies"))
     classes = work.store(classes, "classes")
-    pairs = candidates(classes.select(F.col("class").alias("node"), "signature", "sketch"), work)
+    pairs, crowded = candidates(classes.select(F.col("class").alias("node"), "signature", "sketch"), work)
     work.release("neighbours")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded).distinct()
     sets = work.store(shingle_sets(rows.join(wanted, "node", "left_semi"), "node", words=words), "sets")
     links, groups = _linked(pairs, sets, work, percent)
-    groups = _bridged(pairs, links, groups, sets, work, percent)
+    groups = _bridged(pairs, crowded, links, groups, sets, work, percent)
     copies = classes.filter("copies > 1").select("digest", "class")
     found = (signed.select("node", "n_shingles", "digest").join(copies, "digest", "left")
              .withColumn("class", F.coalesce("class", "node"))
@@ -265,50 +271,60 @@ def _linked(pairs: DataFrame, sets: DataFrame, work: Work, percent: int) -> tupl
         turn += 1
 
 
-def _bridged(pairs: DataFrame, links: DataFrame, groups: DataFrame, sets: DataFrame, work: Work,
+def _bridged(pairs: DataFrame, crowded: DataFrame, links: DataFrame, groups: DataFrame, sets: DataFrame, work: Work,
              percent: int) -> DataFrame:
-    """Components once the nodes at the border of a crowd were held against all of it.
-
-    In a crowd more nodes share a prefix than a window has places, and a node may be like a few of them only. Such a
-    node shows by a candidate that was not confirmed. It is joined with the whole crowd by the shingles that are rarest in
-    the crowd: two sets that are alike by p share one of the first n - ceil(p n) + 1 of both. Crowds are the components
-    that do not fit a window, with their borders. What is linked so makes larger crowds, until nothing new is linked.
+    """Components once all crowded nodes were held against each other.
+
+    In a crowd more nodes share a prefix than a window has places, and a node may be like a few of them only. Crowded are
+    the regions that do not fit a window, and the components that do not with the nodes at their borders (those with a
+    candidate into them that was not confirmed). Their nodes are joined by their rarest shingles: two sets that are alike
+    by p share one of the first n - ceil(p n) + 1 of both, and as many more behind the first they share as p asks for. As
+    only components are asked for, shingles of a single component come first and join nothing, and nodes of the component
+    with most nodes at a shingle are not joined with each other; all others are joined with it first, as this leaves less.
     """
-    tried, turn = pairs.select("a", "b"), 0
-    while True:
-        # components() names a component by its smallest node without listing that node.
-        members = groups.select("node", "component").union(
-            groups.select(F.col("component").alias("node"), "component").distinct())
-        open_pairs = _between(pairs, groups)
-        crowds = members.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > NEIGHBOURS)
-        border = (open_pairs.select(F.explode(F.array(
-            F.struct(F.col("a").alias("node"), F.col("gb").alias("crowd")),
-            F.struct(F.col("b").alias("node"), F.col("ga").alias("crowd")))).alias("at")).select("at.*").distinct()
-            .join(crowds.select(F.col("component").alias("crowd")), "crowd"))
-        border = work.store(border, f"border-{turn}")
-        if border.isEmpty():
-            return groups
-        inside = members.join(border.select(F.col("crowd").alias("component")).distinct(), "component", "left_semi")
-        crowd = inside.select("node", F.col("component").alias("crowd")).union(border.select("node", "crowd"))
-        shingles = crowd.join(sets, "node").select("crowd", "node", F.explode("hashes").alias("h"))
-        frequent = shingles.groupBy("crowd", "h").agg(F.count("*").alias("f"))
-        size = F.size("order")
-        rare = (shingles.join(frequent, ["crowd", "h"]).groupBy("crowd", "node")
-                .agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order")).withColumn("n", size)
-                .withColumn("first", F.slice("order", 1, size - F.ceil(size * percent / 100).cast("int") + 1))
-                .select("crowd", "node", "n", F.explode("first").alias("at"))
-                .filter("at.f > 1").select("crowd", "node", "n", F.col("at.h").alias("h")))
-        rare = work.store(rare, f"rare-{turn}")
-        own = rare.join(border, ["crowd", "node"], "left_semi").select(
-            "crowd", "h", F.col("node").alias("x"), F.col("n").alias("m"))
-        met = (own.join(rare, ["crowd", "h"])
-               .filter(f"x != node and m * 100 >= n * {percent} and n * 100 >= m * {percent}")
+    # components() names a component by its smallest node without listing that node.
+    members = groups.select("node", "component").union(
+        groups.select(F.col("component").alias("node"), "component").distinct())
+    large = members.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > NEIGHBOURS)
+    border = _between(pairs, groups).select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.col("gb").alias("component")),
+        F.struct(F.col("b").alias("node"), F.col("ga").alias("component")))).alias("at")).select("at.*")
+    border = border.join(large, "component", "left_semi")
+    inside = members.join(border, "component", "left_semi")
+    crowded = crowded.union(border.select("node")).union(inside.select("node")).distinct()
+
+    shingles = (_grouped(crowded, groups).join(sets, "node")
+                .select("node", "g", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
+    spread = (shingles.groupBy("h").agg(F.count("*").alias("f"), F.min("g").alias("low"), F.max("g").alias("high"))
+              .filter("low != high").select("h", "f"))
+    rare = (shingles.join(spread, "h").groupBy("node", "n")
+            .agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order"))
+            .select("node", "n", F.size("order").alias("k"), F.posexplode("order").alias("i", "at"))
+            .select("node", "n", (F.col("n") - F.col("k") + F.col("i")).alias("i"), F.col("at.h").alias("h"))
+            .filter(f"i <= n - (n * {percent} + 99) div 100"))
+    rare = work.store(rare, "rare")
+    tried = pairs.select("a", "b")
+    for whole in (False, True):
+        rows = _grouped(rare, groups)
+        most = (rows.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h")
+                .agg(F.max(F.struct("c", "g")).alias("most"), F.count("*").alias("different"))
+                .filter("different > 1").select("h", F.col("most.g").alias("most")))
+        rows = work.store(rows.join(most, "h").withColumn("own", F.col("g") != F.col("most")).drop("most"), f"rows-{whole}")
+        left = rows.filter("own").select("h", F.col("node").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"),
+                                         F.col("g").alias("gx"))
+        right = rows if whole else rows.filter("not own")
+        met = (left.join(right, "h").filter(f"gx != g and (not own or x < node) and "
+                                            f"least(n - i, m - j) * {100 + percent} >= {percent} * (n + m)")
                .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-        met = work.store(met.join(tried, ["a", "b"], "left_anti"), f"met-{turn}")
-        fresh = work.store(confirmed(met, sets, percent), f"bridged-{turn}")
-        work.release(f"rare-{turn}")
-        if fresh.isEmpty():
-            return groups
-        tried, links = tried.union(met), links.union(fresh)
-        groups = components(links, work, f"bridged-groups-{turn}")
-        turn += 1
+        met = work.store(met.join(tried, ["a", "b"], "left_anti"), f"met-{whole}")
+        work.release(f"rows-{whole}")
+        fresh = work.store(confirmed(met, sets, percent), f"bridged-{whole}")
+        if not fresh.isEmpty():
+            tried, links = tried.union(met), links.union(fresh)
+            groups = components(links, work, f"bridged-groups-{whole}")
+    return groups
+
+
+def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``nodes`` with their component as ``g``; a node without a link is its own."""
+    return nodes.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")

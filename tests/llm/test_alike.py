@@ -74,6 +74,21 @@ def test_near_duplicates_of_a_star_with_the_smallest_id(spark):
     assert {i for i, c in found.items() if c != 5} == set()
 
 
+def test_near_duplicates_of_small_families_in_a_crowd(spark):
+    draw = random.Random(11)
+    passage = [f"w{draw.randrange(10**6)}" for _ in range(133)]
+    texts = {}
+    for family in range(400):  # 0.68 between families, 0.76 to 0.87 inside of one
+        first = passage + [f"n{draw.randrange(10**9)}" for _ in range(31)]
+        second = first[:-draw.randint(12, 22)]
+        second += [f"n{draw.randrange(10**9)}" for _ in range(164 - len(second))]
+        texts[2 * family], texts[2 * family + 1] = " ".join(first), " ".join(second)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in forest.near_duplicates(frame).collect()}
+    assert found == plain_components(texts)
+    assert len({c for _, c in found.values()}) == 400
+
+
 def test_near_duplicates_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")],
                                   "doc_id long, text string")
