@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction: simple tree matching of the pages of a host.
 
 A page becomes a tree of its blocks. Elements that say what they are (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments) are left out, and where a page has an article, the article is the page. The trees of a host's
-pages are aligned by simple tree matching and folded into one wrapper: a tree of slots, each with the pages it was seen
-on and either one text or the mark that its text varies. Varying slots are content; slots that have the same text
-on most pages of the host are template and are cut out, unless nothing of the host's pages varies at all.
-
-Wrappers are folded in each task, and folds of the same host are merged in two steps, so no task sees more of a host than
+forms, scripts, comments) are left out, and where a page has an article, the article is the page. First the pages of a
+host are counted on which a text stands below the same path of elements; only texts that reach the share of the pages go
+on, all others are content. The trees of these texts are aligned by simple tree matching, child by child, and folded into
+one wrapper: a tree of slots, each with its text and the pages it was seen on. Texts are only aligned with equal ones, so
+that constant texts hold their places however much text that varies lies between them. Slots seen on most pages of the
+host are template and are cut out, unless nothing of the host's pages varies at all.
+
+Texts are counted with a shuffle of their hashes. Wrappers are folded in each task, and folds of the same host are merged in two steps, so no task sees more of a host than
 its share of pages or a bounded number of folds. Pages are not shuffled unless the table of wrappers that have template
 slots is too large to broadcast.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +34,8 @@ SUPPORT, SHARE = 5, 0.5
 SLOTS = 64
 #: Hosts a task folds at a time, and parts into which the folds of a host are merged first.
 HOSTS, PARTS = 2_000, 32
+#: Texts a task counts at a time.
+COUNTED = 200_000
 
 # Elements by their role in a page.
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby "
@@ -179,74 +183,108 @@ def _has_text(node: Node) -> bool:
     return any(isinstance(c, str) or _has_text(c) for c in node[1])
 
 
-def _runs(node: Node) -> list[tuple[str, list]]:
-    """Children by label; neighbours with the same label are one run, as a wrapper has one slot for them."""
-    out: list[tuple[str, list]] = []
-    for child in node[1]:
-        label = "#text" if isinstance(child, str) else child[0]
-        if out and out[-1][0] == label:
-            out[-1][1].append(child)
-        else:
-            out.append((label, [child]))
-    return out
-
-
-# A slot is [label, pages, repeated, text, slots]; text is a string, or None where it varies.
+# A slot is [label, pages, text, slots, place]; of an element, text tells whether other texts were left out below it.
+# The place is the one among the children of the slot's first page.
 Slot = list
 
 
-def wrapper_of(node: Node) -> Slot:
-    return [node[0], 1, False, None, [_run_slot(label, items) for label, items in _runs(node)]]
+def _code(path: str, text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def _run_slot(label: str, items: list) -> Slot:
-    if label == "#text":
-        return [label, 1, len(items) > 1, items[0] if len(items) == 1 else None, []]
-    slot = wrapper_of(items[0])
-    for item in items[1:]:
-        slot = merged(slot, wrapper_of(item))
-        slot[1] = 1
-    slot[2] = len(items) > 1
-    return slot
+def text_codes(node: Node, path: str = "") -> Iterator[int]:
+    """A hash of each text with the path of elements it lies below."""
+    path = f"{path}/{node[0]}"
+    for child in node[1]:
+        if isinstance(child, str):
+            yield _code(path, child)
+        else:
+            yield from text_codes(child, path)
+
+
+def wrapper_of(node: Node, wanted: Callable[[str, str], bool] = lambda path, text: True, path: str = "",
+               place: int = 0) -> Slot:
+    """The tree of the texts that are wanted, by path and text."""
+    path = f"{path}/{node[0]}"
+    slots, left_out = [], False
+    for i, child in enumerate(node[1]):
+        if not isinstance(child, str):
+            slot = wrapper_of(child, wanted, path, i)
+            if slot[3]:
+                slots.append(slot)
+            else:
+                left_out |= slot[2]
+        elif wanted(path, child):
+            slots.append(["#text", 1, child, [], i])
+        else:
+            left_out = True
+    return [node[0], 1, left_out, slots, place]
 
 
 def _weight(a: Slot, b: Slot) -> int:
-    """Simple tree matching: how many slots of two trees can be aligned in order."""
+    """Simple tree matching: how many slots of two trees can be aligned in order. Trees without a common text cannot."""
     if a[0] != b[0]:
         return 0
-    return 1 + sum(w for _, _, w in _aligned(a[4], b[4], True))
+    if a[0] == "#text":
+        return int(a[2] == b[2])
+    below = sum(w for _, _, w in _aligned(a[3], b[3]))
+    return below and 1 + below
 
 
-def _aligned(a: list[Slot], b: list[Slot], deep: bool = True) -> list[tuple[int, int, int]]:
+def _size(a: Slot, b: Slot) -> int:
+    """The weight of two equal trees, 0 if they are not equal."""
+    if a[0] != b[0] or len(a[3]) != len(b[3]):
+        return 0
+    if a[0] == "#text":
+        return int(a[2] == b[2])
+    total = 1
+    for x, y in zip(a[3], b[3]):
+        size = _size(x, y)
+        if not size:
+            return 0
+        total += size
+    return total
+
+
+def _aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, int, int]]:
     """Pairs of places of the heaviest alignment in order, with their weights."""
-    if [x[0] for x in a] == [x[0] for x in b] and len({x[0] for x in a}) == len(a):
-        return [(k, k, _weight(x, y)) for k, (x, y) in enumerate(zip(a, b))]
-    n, m = len(a), len(b)
-    weights = [[_weight(x, y) for y in b] for x in a]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + weights[i][j])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if weights[i][j] and best[i][j] == best[i + 1][j + 1] + weights[i][j]:
-            out.append((i, j, weights[i][j]))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
+    out, tail, begin, n, m = [], [], 0, len(a), len(b)
+    # Nothing is heavier than equal trees at either end.
+    while begin < min(n, m) and (size := _size(a[begin], b[begin])):
+        out.append((begin, begin, size))
+        begin += 1
+    while min(n, m) > begin and (size := _size(a[n - 1], b[m - 1])):
+        n, m = n - 1, m - 1
+        tail.append((n, m, size))
+    if begin < min(n, m):
+        weights = [[_weight(x, y) for y in b[begin:m]] for x in a[begin:n]]
+        rows, columns = n - begin, m - begin
+        best = [[0] * (columns + 1) for _ in range(rows + 1)]
+        for i in range(rows - 1, -1, -1):
+            for j in range(columns - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + weights[i][j])
+        i, j = 0, 0
+        while i < rows and j < columns:
+            if weights[i][j] and best[i][j] == best[i + 1][j + 1] + weights[i][j]:
+                out.append((begin + i, begin + j, weights[i][j]))
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+    return out + tail[::-1]
 
 
 def merged(a: Slot, b: Slot) -> Slot:
     """One wrapper out of two with the same label; slots that only one has keep their pages."""
     slots, i, j = [], 0, 0
-    for p, q, _ in _aligned(a[4], b[4]):
-        slots += a[4][i:p] + b[4][j:q]
-        slots.append(merged(a[4][p], b[4][q]))
+    for p, q, _ in _aligned(a[3], b[3]):
+        slots += a[3][i:p] + b[3][j:q]
+        slots.append(merged(a[3][p], b[3][q]))
         i, j = p + 1, q + 1
-    slots += a[4][i:] + b[4][j:]
+    slots += a[3][i:] + b[3][j:]
     if len(slots) > SLOTS:
         least = sorted((s[1] for s in slots), reverse=True)[SLOTS - 1]
         over = sum(s[1] >= least for s in slots) - SLOTS
@@ -259,57 +297,63 @@ def merged(a: Slot, b: Slot) -> Slot:
                 continue
             kept.append(slot)
         slots = kept[::-1]
-    return [a[0], a[1] + b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, slots]
+    return [a[0], a[1] + b[1], a[2] if a[0] == "#text" else a[2] or b[2], slots, a[4]]
 
 
 def _is_template(slot: Slot, pages: int) -> bool:
-    return (slot[0] == "#text" and slot[3] is not None and not slot[2] and slot[1] >= SUPPORT
-            and slot[1] >= SHARE * pages)
+    return slot[0] == "#text" and slot[1] >= SUPPORT and slot[1] >= SHARE * pages
+
+
+def _is_title(label: str) -> bool:
+    """A heading of the first level names the page, also where all pages have the same name."""
+    return label.split(".")[0] == "h1"
 
 
 def has_template(wrapper: Slot) -> bool:
-    """Does it have a template slot beside slots that vary?"""
+    """Does it have a template slot beside texts that vary?"""
     state = {"template": False, "varies": False}
 
-    def walk(slot: Slot) -> None:
-        if slot[0] == "#text":
-            state["template" if _is_template(slot, wrapper[1]) else "varies"] |= True
-        for child in slot[4]:
-            # A heading of the first level names the page, also where all pages have the same name.
-            if child[0].split(".")[0] != "h1" and not child[2]:
-                walk(child)
-            else:
-                state["varies"] |= _varies(child)
-
-    walk(wrapper)
+    def walk(slot: Slot, title: bool) -> None:
+        if slot[0] != "#text":
+            state["varies"] |= slot[2]
+        elif not _is_template(slot, wrapper[1]):
+            state["varies"] = True
+        elif not title:
+            state["template"] = True
+        for child in slot[3]:
+            walk(child, title or _is_title(child[0]))
+
+    walk(wrapper, False)
     return state["template"] and state["varies"]
 
 
-def _varies(slot: Slot) -> bool:
-    return (slot[0] == "#text" and slot[3] is None) or any(_varies(c) for c in slot[4])
+def _texts(slot: Slot) -> Iterator[str]:
+    if slot[0] == "#text":
+        yield slot[2]
+    for child in slot[3]:
+        yield from _texts(child)
 
 
 def blocks(node: Node, wrapper: Slot | None = None) -> list[str]:
     """Texts of the blocks in page order, without those that lie in template slots of the wrapper."""
     out: list[str] = []
 
-    def walk(node: Node, slot: Slot | None) -> None:
-        runs = _runs(node)
-        partner: dict[int, Slot] = {}
+    def walk(node: Node, own: Slot | None, slot: Slot | None) -> None:
+        partner: dict[int, tuple[Slot, Slot]] = {}
         if slot is not None:
-            partner = {i: slot[4][j] for i, j, _ in _aligned([_run_slot(*r) for r in runs], slot[4])}
-        for i, (label, items) in enumerate(runs):
-            mate = partner.get(i)
-            if mate is not None and (mate[2] or label.split(".")[0] == "h1"):
-                mate = None
-            for item in items:
-                if isinstance(item, str):
-                    if mate is None or not _is_template(mate, wrapper[1]) or mate[3] != item:
-                        out.append(item)
-                else:
-                    walk(item, mate)
-
-    walk(node, wrapper)
+            partner = {own[3][i][4]: (own[3][i], slot[3][j]) for i, j, _ in _aligned(own[3], slot[3])}
+        for i, child in enumerate(node[1]):
+            inside, mate = partner.get(i, (None, None))
+            if not isinstance(child, str):
+                walk(child, *((None, None) if _is_title(child[0]) else (inside, mate)))
+            elif mate is None or not _is_template(mate, wrapper[1]):
+                out.append(child)
+
+    if wrapper is None:
+        walk(node, None, None)
+    else:
+        known = set(_texts(wrapper))
+        walk(node, wrapper_of(node, lambda path, text: text in known), wrapper)
     return out
 
 
@@ -317,6 +361,38 @@ def main_text(source: str, wrapper: Slot | None = None) -> str:
     return "\n".join(blocks(parse(source or ""), wrapper))
 
 
+def frequent_texts(rows: DataFrame, work: Work) -> DataFrame:
+    """``host``, ``codes`` of the texts that stand on enough pages of the host to be template; hosts with such texts.
+
+    ``rows`` has ``host`` and ``html``. The codes of a host are about twice as many as its pages have texts, at most.
+    """
+    schema = "host string, code bigint, pages bigint"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int | None], int] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = {"host": [k[0] for k in held], "code": [k[1] for k in held], "pages": list(held.values())}
+            held.clear()
+            return pa.RecordBatch.from_pydict(rows, pa.schema([("host", pa.string()), ("code", pa.int64()),
+                                                               ("pages", pa.int64())]))
+
+        for batch in batches:
+            for piece in slices(batch, "html"):
+                for name, source in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
+                    for code in (None, *set(text_codes(parse(source)))):  # None counts the pages
+                        held[name, code] = held.get((name, code), 0) + 1
+                    if len(held) >= COUNTED:
+                        yield out()
+        yield out()
+
+    found = rows.select("host", "html").mapInArrow(count, schema).groupBy("host", "code").agg(F.sum("pages").alias("pages"))
+    found = work.store(found.filter(F.col("pages") >= SUPPORT), "texts")
+    every = found.filter("code is null").select("host", F.col("pages").alias("every"))
+    return (found.filter("code is not null").join(every, "host").filter(F.col("pages") >= SHARE * F.col("every"))
+            .groupBy("host").agg(F.collect_list("code").alias("codes")))
+
+
 def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> DataFrame:
     """``host``, ``wrapper`` (as JSON) of all hosts whose pages share template slots."""
 
@@ -325,6 +401,7 @@ def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> D
 
         part = TaskContext.get().partitionId() % PARTS
         held: dict[str, Slot] = {}
+        codes: dict[str, frozenset[int]] = {}
 
         def out() -> pa.RecordBatch:
             rows = {"host": list(held), "part": [part] * len(held), "wrapper": [json.dumps(w) for w in held.values()]}
@@ -334,8 +411,13 @@ def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> D
 
         for batch in batches:
             for piece in slices(batch, "html"):
-                for name, source in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
-                    page = wrapper_of(parse(source))
+                for k, (name, source) in enumerate(zip(piece.column("host").to_pylist(), piece.column("html").to_pylist())):
+                    if name not in codes:
+                        if len(codes) >= HOSTS:
+                            codes.clear()
+                        codes[name] = frozenset(piece.column("codes")[k].as_py())
+                    own = codes[name]
+                    page = wrapper_of(parse(source), lambda path, text: _code(path, text) in own)
                     held[name] = merged(held[name], page) if name in held else page
                     if len(held) >= HOSTS:
                         yield out()
@@ -349,7 +431,9 @@ def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> D
 
     rows = pages.select(F.col(site).alias("host"), F.coalesce(F.col(html_column), F.lit("")).alias("html"))
     schema = "host string, part int, wrapper string"
-    folds = rows.mapInArrow(fold, schema)
+    work = Work(pages.sparkSession)
+    frequent = work.store(frequent_texts(rows, work), "frequent")
+    folds = rows.join(frequent, "host").mapInArrow(fold, schema)
     folds = folds.groupBy("host", "part").applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema)
 
     def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

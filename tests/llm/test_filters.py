@@ -72,6 +72,16 @@ def test_hosts_share_a_wrapper(spark):
     assert {r.text for r in html_text.extract(frame).collect()} == {f"text {k}" for k in range(9)}
 
 
+def test_constant_neighbours_with_equal_labels(spark):
+    plain = [(k, f"http://plain/{k}", f"<body><div>menu</div><div>text {k}</div><div>All rights</div></body>") for k in range(9)]
+    uneven = [(k, f"http://uneven/{k}", "<article><p>Read first</p>" + "".join(f"<p>text {k} {i}</p>" for i in range(k % 4))
+               + "<p>Subscribe</p><p>All rights</p></article>") for k in range(11, 22)]
+    frame = spark.createDataFrame(plain + uneven, "page_id int, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert found == {**{k: f"text {k}" for k in range(9)},
+                     **{k: "\n".join(f"text {k} {i}" for i in range(k % 4)) for k in range(11, 22)}}
+
+
 def test_toxicity_on_held_out_rows():
     rows = duckdb.sql("""select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet'
                          join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by hash(doc_id)""").fetchall()
