@@ -30,8 +30,6 @@ from choicerank.llm.urls import host
 
 #: Pages a template slot must have been seen on, and the share of the host's pages.
 SUPPORT, SHARE = 5, 0.5
-#: Slots below one node of a wrapper; the rarest go first, which are the ones that cannot be template.
-SLOTS = 64
 #: Hosts a task folds at a time, and parts into which the folds of a host are merged first.
 HOSTS, PARTS = 2_000, 32
 #: Texts a task counts at a time.
@@ -278,25 +276,16 @@ def _aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, int, int]]:
 
 
 def merged(a: Slot, b: Slot) -> Slot:
-    """One wrapper out of two with the same label; slots that only one has keep their pages."""
+    """One wrapper out of two with the same label; slots that only one has keep their pages.
+
+    No slot is dropped: what is folded are texts that stand on enough pages, so a wrapper is bounded by those of a host.
+    """
     slots, i, j = [], 0, 0
     for p, q, _ in _aligned(a[3], b[3]):
         slots += a[3][i:p] + b[3][j:q]
         slots.append(merged(a[3][p], b[3][q]))
         i, j = p + 1, q + 1
     slots += a[3][i:] + b[3][j:]
-    if len(slots) > SLOTS:
-        least = sorted((s[1] for s in slots), reverse=True)[SLOTS - 1]
-        over = sum(s[1] >= least for s in slots) - SLOTS
-        kept = []
-        for slot in reversed(slots):
-            if slot[1] < least:
-                continue
-            if slot[1] == least and over > 0:
-                over -= 1
-                continue
-            kept.append(slot)
-        slots = kept[::-1]
     return [a[0], a[1] + b[1], a[2] if a[0] == "#text" else a[2] or b[2], slots, a[4]]
 
 

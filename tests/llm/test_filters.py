@@ -82,6 +82,16 @@ def test_constant_neighbours_with_equal_labels(spark):
                      **{k: "\n".join(f"text {k} {i}" for i in range(k % 4)) for k in range(11, 22)}}
 
 
+def test_more_template_slots_than_a_cap(spark):
+    def page(k):
+        rows = "".join(f"<h2>Heading {i}</h2><p>Fixed {i}</p><p>text {k} {i}</p>" for i in range(90))
+        return (k, f"http://h/{k}", f"<body>{rows}<table><tr><td>All rights</td></tr></table></body>")
+
+    frame = spark.createDataFrame([page(k) for k in range(12)], "page_id int, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert found == {k: "\n".join(f"text {k} {i}" for i in range(90)) for k in range(12)}
+
+
 def test_toxicity_on_held_out_rows():
     rows = duckdb.sql("""select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet'
                          join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by hash(doc_id)""").fetchall()
