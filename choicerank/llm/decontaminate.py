@@ -5,6 +5,9 @@ and all of them lie within k diagonals (place in the text minus place in the ite
 counted in bands of 2k + 1 diagonals that overlap by k; bands that meet the bound are aligned inside the band, with
 free ends in the text.
 
+An item may also stand in a text in part: without a sentence, or cut by the text's end. So of items longer than ``WINDOW``
+characters, windows of that size that overlap by half, the last at the item's end, are searched in the same way.
+
 The items are read in chunks of bounded size, and each chunk is what tasks get as an index; documents are scanned once a
 chunk and never shuffled. Text is compared in lower case with runs of white space as one space.
 """
@@ -20,9 +23,11 @@ from pyspark.sql import functions as F
 
 from choicerank.llm.common import slices, texts
 
-Q = 10
-#: Edits allowed, as a share of an item's characters.
-EDITS = 0.05
+Q = 6
+#: Edits allowed, as a share of an item's (or a window's) characters.
+EDITS = 0.12
+#: Characters of an item that count as its passage also without the rest.
+WINDOW = 80
 #: Bytes of items in one index.
 CHUNK_BYTES = 4_000_000
 
@@ -57,26 +62,34 @@ class Index:
     """The q-grams of a chunk of items."""
 
     BITS = 22
+    #: Bands counted in an array; more are sorted instead.
+    CELLS = 4_000_000
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS, window: int = 0):
+        """With ``window``, windows of so many characters of longer items are entries as well."""
         self.q = q
-        self.items, self.plain = [], []
+        self.items, self.plain, self.whole = [], [], []  # whole: the entry of the item that an entry is a window of
         grams, item, place = [], [], []
         for key, text in items:
             plain = normalized(text or "")
-            codes = _codes(plain)
             if not plain:
                 continue
-            self.plain.append(plain)
-            grams.append(_grams(codes, q))
-            item.append(np.full(len(grams[-1]), len(self.items), np.int64))
-            place.append(np.arange(len(grams[-1]), dtype=np.int64))
-            self.items.append((key, codes, budget(len(codes), edits, q)))
+            whole, last = len(self.items), len(plain) - window
+            windows = [plain[b:b + window] for b in (*range(0, last, max(1, window // 2)), last)] if 0 < window < len(plain) else []
+            for part in (plain, *windows):
+                codes = _codes(part)
+                self.plain.append(part)
+                self.whole.append(whole)
+                grams.append(_grams(codes, q))
+                item.append(np.full(len(grams[-1]), len(self.items), np.int32))
+                place.append(np.arange(len(grams[-1]), dtype=np.int32))
+                self.items.append((key, codes, budget(len(codes), edits, q)))
         grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(grams, kind="stable")
-        self.grams = grams[order]
-        self.item = np.concatenate(item)[order] if item else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int64)
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.r_[starts, len(grams)]
+        self.item = np.concatenate(item)[order] if item else np.empty(0, np.int32)
+        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int32)
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self._slot(grams)] = True
         self.sizes = np.array([len(c) for _, c, _ in self.items], np.int64)
@@ -94,38 +107,50 @@ class Index:
         at = np.flatnonzero(self.seen[self._slot(grams)])
         if not len(at):
             return np.empty((0, 2), np.int64)
-        low, high = np.searchsorted(self.grams, grams[at]), np.searchsorted(self.grams, grams[at], "right")
-        many = high - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        slot = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        same = self.grams[slot] == grams[at]
+        at, slot = at[same], slot[same]
         if not len(at):
             return np.empty((0, 2), np.int64)
+        low, many = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
         hit = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        item, diagonal = self.item[hit], np.repeat(at, many) - self.place[hit]
+        item, diagonal = self.item[hit], np.repeat(at.astype(np.int32), many) - self.place[hit]
         # Bands begin at multiples of k + 1 and are 2k + 1 wide, so any k + 1 diagonals lie in one of them.
-        span = len(codes) + int(self.sizes.max()) + 2
-        step = self.budgets[item] + 1
-        upper = np.floor_divide(diagonal, step)
-        lower = upper - 1
-        reach = diagonal <= lower * step + 2 * step - 2
-        key = np.concatenate([item * 2 * span + upper + span, (item * 2 * span + lower + span)[reach]])
-        place = np.concatenate([self.place[hit], self.place[hit][reach]])
-        bands, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-        need = self.need[bands // (2 * span)]
-        good = counts >= need
-        if not good.any():
+        step = self.budgets + 1
+        least = self.sizes // step + 2
+        base = np.r_[0, np.cumsum(least + len(codes) // step + 2)]  # a cell for every band of every item
+        width = step.astype(np.int32)[item]
+        shifted = diagonal + (least * step).astype(np.int32)[item]  # not negative
+        band = shifted // width
+        reach = shifted - band * width <= width - 2
+        key = base[item] + band
+        key = np.concatenate([key, key[reach] - 1])
+        if base[-1] <= self.CELLS:
+            counts = np.bincount(key, minlength=base[-1])
+            cells = np.flatnonzero(counts >= max(1, self.need.min()))
+            counts = counts[cells]
+        else:
+            cells, counts = np.unique(key, return_counts=True)
+        owner = np.searchsorted(base, cells, "right") - 1
+        good = counts >= self.need[owner]
+        cells, owner = cells[good], owner[good]
+        if not len(cells):
             return np.empty((0, 2), np.int64)
         # A q-gram of the item counts once, however often the band has it.
-        chosen = good[which]
+        which = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
+        chosen = cells[which] == key
+        place = np.concatenate([self.place[hit], self.place[hit][reach]])
         width = int(self.sizes.max()) + 1
         once = np.unique(which[chosen] * width + place[chosen]) // width
-        good = np.bincount(once, minlength=len(bands)) >= need
-        item, band = bands[good] // (2 * span), bands[good] % (2 * span) - span
-        return np.stack([item, band * (self.budgets[item] + 1)], 1)
+        good = np.bincount(once, minlength=len(cells)) >= self.need[owner]
+        cells, owner = cells[good], owner[good]
+        return np.stack([owner, (cells - base[owner] - least[owner]) * step[owner]], 1)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Item, begin, end, edits of every passage, in places of the normalized text.
 
-        Of overlapping places of an item the one with fewest edits counts, the first of equals.
+        Of overlapping places of an item the one with fewest edits counts, the first of equals; places of the whole item
+        go before those of its windows.
         """
         plain = normalized(text or "")
         codes = _codes(plain)
@@ -144,9 +169,12 @@ class Index:
                 same &= codes[k:k + len(same)] == wanted[k]
             found.setdefault(index, []).extend((0, b, b + n) for b in np.flatnonzero(same).tolist())
         out = []
+        entries: dict[int, set[tuple[bool, int, int, int]]] = {}
         for item, places in found.items():
+            entries.setdefault(self.whole[item], set()).update((item != self.whole[item], *at) for at in places)
+        for item, places in entries.items():
             taken: list[tuple[int, int]] = []
-            for edits, begin, end in sorted(set(places)):
+            for _, edits, begin, end in sorted(places):
                 if all(end <= b or begin >= e for b, e in taken):
                     taken.append((begin, end))
                     out.append((self.items[item][0], begin, end, edits))
@@ -204,10 +232,11 @@ def _chunks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[list[
 
 def find_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", q: int = Q, edits: float = EDITS,
-                  chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                  chunk_bytes: int = CHUNK_BYTES, window: int = WINDOW) -> DataFrame:
     """``key``, ``item_id``, ``begin``, ``end``, ``edits`` of the items' passages in whole documents.
 
-    Places count characters of the normalized text. Null or blank texts and items have no passages. Rows with equal keys
+    Places count characters of the normalized text. Where only windows of an item stand, each place has the edits of its
+    window. Null or blank texts and items have no passages. Rows with equal keys
     are searched each, equal items once. Keys of items are whole numbers. Other columns are not read. Without documents or
     items there are no rows.
     """
@@ -215,14 +244,15 @@ def find_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     schema = f"{key} {dict(rows.dtypes)[key]}, {FIELDS}"
     out = None
     for chunk in _chunks(items, item, item_text, chunk_bytes):
-        found = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(chunk), q, edits, key), schema)
+        found = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(chunk), q, edits, window, key), schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def _search(chunk, q: int, edits: float, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search(chunk, q: int, edits: float, window: int,
+            key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(chunk.value, q, edits)
+        index = Index(chunk.value, q, edits, window)
         for batch in batches:
             for part in slices(batch):
                 which, found = [], []

@@ -166,3 +166,19 @@ def test_decontamination_rows(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 3, 4, None}
     assert decontaminate.clean(docs, items.limit(0)).count() == 7
     assert decontaminate.find_passages(docs.limit(0), items).count() == 0
+
+
+def test_edited_and_partial_passages(spark):
+    draw = random.Random(6)
+    words = [["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 10))) for _ in range(30)] for _ in range(2)]
+    first, second = (" ".join(w) for w in words)
+    short = first[:81]
+    items = spark.createDataFrame([(1, short), (2, second)], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "x " + short.replace(words[0][3], "zzzzzz") + " y"),  # one word of nine letters replaced
+        (2, "x " + second[60:] + " y"), (3, "x " + second[:-60] + " y"),  # without its begin, without its end
+        (4, "x " + second[:90]),  # cut by the end of the document
+        (5, "x " + second[:30] + " y"), (6, " ".join(reversed(words[1])))], "doc_id long, text string")
+    found = decontaminate.find_passages(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (3, 2), (4, 2)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {5, 6}
