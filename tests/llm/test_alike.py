@@ -152,6 +152,15 @@ def test_lines_of_equal_and_missing_keys(spark):
     assert found == [("1", line), ("1", line), ("2", "rest"), ("None", line)]
 
 
+def test_short_lines_with_equal_sets(spark):
+    long = "one two three four five six"
+    frame = spark.createDataFrame([(1, f"All rights reserved.\n\n{long}"), (2, "new\n\nall  RIGHTS reserved."),
+                                   (3, f"All rights\n{long}\nreserved. all rights all")], "doc_id long, text string")
+    found = {r.doc_id: r.text for r in lines.dedup_lines(frame, short=True).collect()}
+    assert found == {1: f"All rights reserved.\n\n{long}", 2: "new\n", 3: "All rights"}
+    assert {r.doc for r in lines.repeated_lines(frame).collect()} == {3}
+
+
 def test_documents_against_the_next(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows += [(10_000, None), (10_001, ""), (10_002, "!"), (10_003, "word"), (10_004, rows[0][1])]
