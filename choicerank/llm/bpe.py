@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by replaying the merges over all words of a block of texts at once.
 
 A block is what a task holds of the corpus at a time. Its distinct pre-tokens are laid out in one symbol
-array. An inverted index goes from a mergeable pair (named by the rank of what it makes) to its positions in the
-words; the merges are applied in the order of their ranks, each to all its positions, and only the neighbours of a
-merged position are looked at again. Words once encoded are kept for the following blocks, up to ``KEEP`` of them; the
+array. In each round the next merge of every word is applied, and only the neighbours of a merged position are looked up
+again. Long words have an inverted index each, from a mergeable pair (named by the rank of what it makes) to its
+positions. Words once encoded are kept for the following blocks, up to ``KEEP`` of them; the
 bound costs time, never results. Texts never move between tasks.
 """
 
@@ -39,10 +39,10 @@ def pieces_pattern(pattern: str):
 class MergeReplay:
     """Encodes many words together.
 
-    Words of up to ``WIDE`` bytes lie in one symbol array. In every round the index names, for each pair in the order of
-    ranks, the positions at which it is the next merge of their word; all of them are applied, and the ranks of the
-    touched neighbours are looked up again. Longer words have an index with one queue of ranks, so that their cost does
-    not grow with the square of their length.
+    Words of up to ``WIDE`` bytes lie in one symbol array, without an index from pairs to positions. In every round each
+    word's merge of least rank is applied at its leftmost position, the ranks of the touched neighbours are looked up
+    again, and the array is written anew. Longer words have an index with one queue of ranks, so that their cost does not
+    grow with the square of their length.
     """
 
     WIDE = 64
