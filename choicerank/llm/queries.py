@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from choicerank.llm import (bpe, decontaminate, forest, html_text, lines, spotsigs, token_counts, token_files, toxicity,
-                            urls)
+from choicerank.llm import (anchors, bpe, decontaminate, forest, html_text, lines, spelling, spotsigs, token_counts,
+                            token_files, toxicity, urls)
 from choicerank.llm.common import Work, on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +170,16 @@ def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), spelling.drop_letters()))
+
+
+@query("op13_simhash_anchors")
+def simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
