@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicerank.llm import (anchors, bpe, decontaminate, forest, html_text, lines, spelling, spotsigs, token_counts,
-                            token_files, toxicity, urls)
+                            token_files, toxicity, turns, urls)
 from choicerank.llm.common import Work, on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,6 +175,18 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), spelling.drop_letters()))
 
 
+@query("op12_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    fixed = turns.repair(turns.damaged(rows)).withColumnRenamed("conv_id", "same")
+    every = rows.select("conv_id").distinct()  # also those that lost all rows
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
+              ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(fixed, every.conv_id.eqNullSafe(fixed.same), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 @query("op13_simhash_anchors")
 def simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.near_duplicates(table(spark, sf_dir, "documents"))
