@@ -1,20 +1,24 @@
 """Group primitives that hold when a single group has a third of all rows.
 
-Two shapes cover every grouped operator of the package:
-
-``attach``   aggregate per group (map-side combine), then join the small result back. No row is
-             sorted, and the join is one adaptive execution can split when a key is hot.
-``running``  an ordered position or running sum. Ordinary groups use a window. A group above
-             ``spark.choicerank.hotRows`` is cut by value ranges into parts that are numbered apart and
-             shifted by the rows of the parts before, so no task sorts a hot group alone.
-
-The hot groups are found by one counting job that reads the key columns only. All of them are cut, level
-by level, until no part is above the limit. Their list, bounds and shifts are ordinary tables in the shared
-folder: they are broadcast if they measure small and joined by shuffle otherwise.
+How large groups get decides how they are computed. ``measured`` notes the rows of the largest group in the metadata of the key
+column, where every later operator finds it; tables of ``sources.layout`` have it from the start, other frames are
+counted once (one job over the key columns). It is a bound: filters keep it true, and where it has become wrong
+results stay right.
+
+``attach``   statistics of the group on every row. If no group is above ``spark.choicerank.hotRows``, windows over the group:
+             one scan, and one exchange for any number of them, or none over a table bucketed by the group. Otherwise
+             they are aggregated (map-side combine) and joined back, which adaptive execution can split at a hot key.
+``running``  an ordered position or running sum. Ordinary groups use a window, on the same exchange. A group above the limit
+             is cut by value ranges into parts that are numbered apart and shifted by the rows of the
+             parts before, so no task sorts a hot group alone.
+
+All hot groups are cut, level by level, until no part is above the limit or can be cut. Their list, bounds and shifts are
+ordinary tables in the shared folder: they are broadcast if they measure small and joined by shuffle otherwise.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import count as counter
@@ -59,6 +63,59 @@ def join_on(df: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*renamed.values())
 
 
+#: Metadata of a key column: rows of the largest group by keys, and the keys by which rows lie together.
+ROWS, TOGETHER = "choicerank.rows", "choicerank.together"
+
+
+def _noted(df: DataFrame, keys: Sequence[str], what: str) -> list[tuple[set[str], object]]:
+    """What is noted about groups whose keys are among ``keys``: (keys, value)."""
+    found = []
+    for field in df.schema.fields:
+        if field.name in keys and what in field.metadata:
+            found += [(set(json.loads(k)), v) for k, v in json.loads(field.metadata[what]).items()]
+    return [(k, v) for k, v in found if k <= set(keys)]
+
+
+def note(df: DataFrame, keys: Sequence[str], what: str, value: object) -> DataFrame:
+    """``df`` with a remark on the groups of ``keys``, kept in the metadata of the first key."""
+    first = sorted(keys)[0]
+    metadata = df.schema[first].metadata
+    remarks = json.loads(metadata.get(what, "{}")) | {json.dumps(sorted(keys)): value}
+    return df.withMetadata(first, metadata | {what: json.dumps(remarks)})
+
+
+def largest_group(df: DataFrame, keys: str | Sequence[str]) -> int | None:
+    """A noted bound of the rows of any group of ``keys``: a group of some of the keys holds those of all."""
+    return min((rows for _, rows in _noted(df, as_list(keys), ROWS)), default=None)
+
+
+def measured(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """``df`` with the rows of its largest group noted; counted (one job over the keys) unless they are."""
+    keys = as_list(keys)
+    if largest_group(df, keys) is not None:
+        return df
+    size = scratch("size")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    return note(df, keys, ROWS, counts.agg(F.max(size)).first()[0] or 0)
+
+
+def has_hot_groups(df: DataFrame, keys: str | Sequence[str]) -> bool:
+    """Whether a measured frame may have a group above the row limit."""
+    return largest_group(df, keys) > setting(df.sparkSession, "hotRows")
+
+
+def together(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Rows of a group in one partition, for several windows over finer groups; nothing to do where they are noted to be."""
+    keys = as_list(keys)
+    return df if _noted(df, keys, TOGETHER) else note(df.repartition(*keys), keys, TOGETHER, 1)
+
+
+def over_group(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are windows over the groups of ``keys``; the rows of a group lie together then."""
+    out = df.withColumns(dict(columns))
+    return out if _noted(df, keys, TOGETHER) else note(out, keys, TOGETHER, 1)
+
+
 def measures(table: DataFrame) -> list[Column]:
     """Aggregates that measure a table: its rows and the bytes of its columns without a fixed width."""
     sizes = []
@@ -111,16 +168,25 @@ def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Co
     """Add group aggregates to every row of the group.
 
     ``null_keys=False`` leaves the aggregates of rows with a null key null. ``source`` is an earlier
-    frame with the same rows to aggregate instead of ``df``. A chain of several attachments should
+    frame with the same rows to aggregate where hot groups forbid windows. A chain of several attachments should
     name one, as each of them otherwise reads the whole chain before it twice.
     """
     keys = as_list(keys)
+    df = measured(df, keys)
+    if not has_hot_groups(df, keys):
+        w = Window.partitionBy(*keys)
+        return over_group(df, keys, {n: known(e.over(w), [] if null_keys else keys) for n, e in aggregates.items()})
     source = df if source is None else source
     source = source if null_keys else source.dropna(subset=keys)
     stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
     return join_on(df, stats, keys, null_keys=True)
 
 
+def known(value: Column, keys: Sequence[str]) -> Column:
+    """The value where no key is null."""
+    return F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), value) if keys else value
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """All groups above the row limit with their row counts ``n``, or None if there is none."""
     size = scratch("size")
@@ -131,7 +197,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
 
 def by_size(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Split rows into those of ordinary groups and those of hot groups (None if there is none)."""
-    hot = hot_groups(df, keys)
+    df = measured(df, keys)
+    hot = hot_groups(df, keys) if has_hot_groups(df, keys) else None
     if hot is None:
         return df, None
     keyed = hot.drop("n")
@@ -144,13 +211,12 @@ def ascending(order: Sequence[Column]) -> list[Column]:
 
 
 def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], name: str, *,
-            weight: Column | None = None, total: str | None = None, none_hot: bool = False) -> DataFrame:
+            weight: Column | None = None, total: str | None = None) -> DataFrame:
     """Add the position of each row in its group (or the running sum of ``weight``).
 
     ``order`` is ascending, nulls last, and must be unique in the group: pass ``-score`` for a
     descending number. ``total`` also adds the row count (or weight sum) of the group. No keys
-    means one group over everything. ``none_hot`` says that the caller has looked for hot groups of
-    these keys, or of some of them, and found none.
+    means one group over everything.
     """
     keys = as_list(keys)
     made_key = None
@@ -158,7 +224,9 @@ def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], n
         made_key = scratch("all")
         df = df.withColumn(made_key, F.lit(0))
         keys = [made_key]
-    out = _running(df, keys, list(order), name, weight, total, 0 if none_hot else None)
+    df = measured(df, keys)
+    hot = hot_groups(df, keys) if has_hot_groups(df, keys) else None
+    out = _running(df, keys, list(order), name, weight, total, hot)
     return out.drop(made_key) if made_key else out
 
 
@@ -166,15 +234,13 @@ def amount(weight: Column | None) -> Column:
     return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
 
-def _running(df, keys, order, name, weight, total, above):
-    """``above`` is the largest group of the level above: 0 if none is hot, None at the top.
+def _running(df, keys, order, name, weight, total, hot):
+    """``hot`` holds the groups that are to be cut and their rows ``n``.
 
-    Order values are unique, so cutting makes groups smaller at every level. Where it does not, as they are
-    not unique after all, there is nothing left to cut by.
+    Order values are unique, so cutting makes groups smaller at every level. A part that it did not make smaller,
+    as they are not unique after all, has nothing left to be cut by and is numbered as it is; the others are cut on.
     """
-    hot = None if above == 0 else hot_groups(df, keys)
-    largest = hot.agg(F.max("n")).first()[0] if hot is not None else 0
-    if hot is None or (above is not None and largest >= above):
+    if hot is None:
         w = Window.partitionBy(*keys)
         ordered = w.orderBy(*ascending(order))
         if weight is None:
@@ -184,7 +250,7 @@ def _running(df, keys, order, name, weight, total, above):
             added = {name: F.sum(weight).over(upto)}
         if total:
             added[total] = amount(weight).over(w)
-        return df.withColumns(added)
+        return over_group(df, keys, added)
 
     part, before, whole = scratch("part"), scratch("before"), scratch("whole")
     cut = _cut(df, keys, order, hot, part)
@@ -199,13 +265,25 @@ def _running(df, keys, order, name, weight, total, above):
     # checkpointed so that a deeper level does not repeat this one
     cut = join_on(cut, checkpointed(shifts), [*keys, part], null_keys=True, broadcast=True)
     inner, inner_total = scratch("inner"), scratch("total")
-    out = _running(cut, [*keys, part], order, inner, weight, inner_total if total else None, largest)
+    out = _running(cut, [*keys, part], order, inner, weight, inner_total if total else None,
+                   _still_hot(cut, keys, part, hot))
     added = {name: F.col(inner) + F.coalesce(F.col(before), F.lit(0))}
     if total:
         added[total] = F.coalesce(F.col(whole), F.col(inner_total))
     return out.withColumns(added).drop(part, before, whole, inner, inner_total)
 
 
+def _still_hot(cut, keys, part, above):
+    """The parts above the row limit that are smaller than the group they were cut from (None if there is none)."""
+    found = hot_groups(cut.where(F.col(part).isNotNull()), [*keys, part])
+    if found is None:
+        return None
+    size = scratch("size")
+    smaller = checkpointed(join_on(found, above.withColumnRenamed("n", size), keys, how="inner", null_keys=True,
+                                   broadcast=True).where(F.col("n") < F.col(size)).drop(size))
+    return None if smaller.isEmpty() else smaller
+
+
 def _cut(df, keys, order, hot, part):
     """Add the value-range part of each hot row; rows of other groups get null.
 
@@ -243,35 +321,47 @@ def top_rows(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column],
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def quantile_position(pick: float | str, n: Column) -> list[Column]:
+    """Places (from 0) of the values whose mean is the quantile of ``n`` values."""
+    last = n - 1
+    return [F.floor(last / 2), F.ceil(last / 2)] if pick == "median" else [F.floor(F.lit(float(pick)) * last + 0.5)]
+
+
 def group_quantiles(df: DataFrame, keys: str | Sequence[str], value: str,
-                    picks: Mapping[str, float | str], none_hot: bool = False) -> DataFrame:
+                    picks: Mapping[str, float | str]) -> DataFrame:
     """Exact quantiles of ``value`` per group, one row a group that has a value.
 
     A pick is a fraction, taken at the nearest row ``round(q*(n-1))`` (halves up), or ``"median"``.
-    Equal values are counted first, so the ordered step sees each value once a group.
+    Ordinary groups are sorted on the exchange of their windows. Where groups are hot, equal values are counted first, so
+    that the ordered step sees each value once a group.
     """
     keys = as_list(keys)
+    df = df.where(F.col(value).isNotNull()).select(*keys, value)
+    df = measured(df, keys) if keys else df
+    if keys and not has_hot_groups(df, keys):
+        n, place = scratch("n"), scratch("place")
+        w = Window.partitionBy(*keys)
+        placed = over_group(df, keys, {place: F.row_number().over(w.orderBy(value)) - 1, n: F.count(F.lit(1)).over(w)})
+        return placed.groupBy(*keys).agg(*[
+            _mean([F.max(F.when(F.col(place) == p, F.col(value))) for p in quantile_position(pick, F.col(n))]).alias(name)
+            for name, pick in picks.items()])
+
     n, upto, total = scratch("n"), scratch("upto"), scratch("total")
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias(n)))
-    placed = running(counted, keys, [F.col(value)], upto, weight=F.col(n), total=total,
-                     none_hot=none_hot)
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+    placed = running(counted, keys, [F.col(value)], upto, weight=F.col(n), total=total)
 
     def at(position):
         here = (F.col(upto) - F.col(n) <= position) & (position < F.col(upto))
         return F.max(F.when(here, F.col(value)))
 
-    last = F.col(total) - 1
-    exprs = []
-    for name, pick in picks.items():
-        if pick == "median":
-            expr = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
-        else:
-            expr = at(F.floor(F.lit(float(pick)) * last + 0.5))
-        exprs.append(expr.alias(name))
+    exprs = [_mean([at(p) for p in quantile_position(pick, F.col(total))]).alias(name) for name, pick in picks.items()]
     return placed.groupBy(*keys).agg(*exprs)
 
 
+def _mean(values: list[Column]) -> Column:
+    return values[0] if len(values) == 1 else sum(values[1:], values[0]) / len(values)
+
+
 def dense_positions(df: DataFrame, keys: str | Sequence[str], value: str, name: str) -> DataFrame:
     """Distinct (keys, value) rows with the 1-based dense rank of the value; nulls are left out."""
     distinct = df.where(F.col(value).isNotNull()).select(*as_list(keys), value).distinct()

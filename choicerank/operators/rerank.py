@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from choicerank.functions.calendar import as_time
-from choicerank.operators.groups import as_list, attach, by_size, join_on, running, scratch, top_rows
+from choicerank.operators.groups import (as_list, attach, by_size, has_hot_groups, join_on, measured, running, scratch,
+                                         together, top_rows)
 from choicerank.settings import checkpointed
 
 
@@ -45,6 +46,8 @@ def duplicate_penalty_rerank(df: DataFrame, group: str | Sequence[str], key: str
                              score: str, ties: Sequence[str], factor: float = 0.1,
                              output: str = "new_selected") -> DataFrame:
     """Rank again after pushing down the worse offers of the same item."""
+    df = measured(df, group)
+    df = df if has_hot_groups(df, group) else together(df, group)  # both windows use one exchange
     penalised = penalty_score(df, group, key, score, factor)
     return rank_within_group(penalised, group, "reorder_score", ties, output)
 

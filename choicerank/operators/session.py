@@ -1,7 +1,7 @@
 """Operators inside a group (a search session, a query, a basket).
 
-Most are a ``GroupSpec``: aggregates of the group and row expressions over them. ``with_group``
-merges any number of specs into one aggregation and one join back.
+Most are a ``GroupSpec``: aggregates of the group and row expressions over them. ``with_group`` adds any number of specs: as
+windows over one layout of the rows, or, where a group is hot, as one aggregation that is joined back.
 """
 
 from __future__ import annotations
@@ -9,48 +9,81 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from choicerank.operators.groups import (as_list, attach, dense_positions, group_quantiles, join_on,
-                                         long, running, scratch)
+from choicerank.operators.groups import (as_list, attach, dense_positions, group_quantiles, has_hot_groups, join_on, known,
+                                         long, measured, over_group, quantile_position, running, scratch, together)
 
 
 @dataclass
 class GroupSpec:
-    """Aggregates and quantiles of a group, and the row columns made from them."""
+    """Aggregates, distinct counts and quantiles of a group, and the row columns made from them.
+
+    ``distinct`` counts the different values of a column, null being one.
+    """
 
     outputs: dict[str, Column]
     aggregates: dict[str, Column] = field(default_factory=dict)
     quantiles: dict[str, dict[str, float | str]] = field(default_factory=dict)
+    distinct: dict[str, str] = field(default_factory=dict)
 
 
 def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
-               null_keys: bool = True, source: DataFrame | None = None,
-               none_hot: bool = False) -> DataFrame:
-    """Add the outputs of all specs with one aggregation and one join on the group key.
+               null_keys: bool = True, source: DataFrame | None = None) -> DataFrame:
+    """Add the outputs of all specs.
 
-    ``source`` is an earlier frame with the same rows to aggregate instead of ``df``; ``none_hot``
-    says that no group is hot.
+    Without hot groups all statistics are windows over the group: one scan and one exchange, or none where the rows of a
+    group lie together already. With hot groups they are one aggregation and one join on the group key; ``source`` is
+    an earlier frame with the same rows to aggregate then instead of ``df``.
 
-    Rows with a null key form a group, unless ``null_keys=False``: then their statistics are null, and
-    without hot groups the join shares the partitioning of windows on the same key.
+    Rows with a null key form a group, unless ``null_keys=False``: then their statistics are null.
     """
     keys = as_list(keys)
-    aggregates = {n: e for s in specs for n, e in s.aggregates.items()}
-    quantiles: dict[str, dict[str, float | str]] = {}
-    for spec in specs:
-        for value, picks in spec.quantiles.items():
-            quantiles.setdefault(value, {}).update(picks)
-    source = df if source is None else source
+    df = measured(df, keys)
+    spec = GroupSpec({n: e for s in specs for n, e in s.outputs.items()},
+                     {n: e for s in specs for n, e in s.aggregates.items()}, {},
+                     {n: c for s in specs for n, c in s.distinct.items()})
+    for s in specs:
+        for value, picks in s.quantiles.items():
+            spec.quantiles.setdefault(value, {}).update(picks)
+    if has_hot_groups(df, keys):
+        out = _joined_back(df, keys, spec, null_keys, df if source is None else source)
+    else:
+        out = _windowed(df, keys, spec, null_keys)
+    kept = [F.col(c) for c in df.columns if c not in spec.outputs]
+    return out.select(*kept, *[e.alias(n) for n, e in spec.outputs.items()])
+
+
+def _joined_back(df: DataFrame, keys: list[str], spec: GroupSpec, null_keys: bool, source: DataFrame) -> DataFrame:
     source = source if null_keys else source.dropna(subset=keys)
-    stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
-    for value, picks in quantiles.items():
-        stats = join_on(stats, group_quantiles(source, keys, value, picks, none_hot), keys, null_keys=True)
-    out = join_on(df, stats, keys, null_keys=null_keys or not none_hot)
-    outputs = {n: e for s in specs for n, e in s.outputs.items()}
-    kept = [F.col(c) for c in df.columns if c not in outputs]
-    return out.select(*kept, *[e.alias(n) for n, e in outputs.items()])
+    stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in spec.aggregates.items()],
+                                      *[distinct_count(c).alias(n) for n, c in spec.distinct.items()])
+    for value, picks in spec.quantiles.items():
+        stats = join_on(stats, group_quantiles(source, keys, value, picks), keys, null_keys=True)
+    return join_on(df, stats, keys, null_keys=True)
+
+
+def _windowed(df: DataFrame, keys: list[str], spec: GroupSpec, null_keys: bool) -> DataFrame:
+    """Ordered windows first: what they sort serves the others too."""
+    w = Window.partitionBy(*keys)
+    places, last = {}, {}
+    for value in spec.quantiles:
+        last[value] = (scratch("place"), scratch("n"))
+        places |= {last[value][0]: F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())) - 1,
+                   last[value][1]: F.count(value).over(w)}
+    ranks = {n: scratch("rank") for n in spec.distinct}
+    places |= {ranks[n]: F.dense_rank().over(w.orderBy(c)) for n, c in spec.distinct.items()}
+    stats = {n: e.over(w) for n, e in spec.aggregates.items()}
+    stats |= {n: long(F.max(rank).over(w)) for n, rank in ranks.items()}
+    for value, picks in spec.quantiles.items():
+        place, n = (F.col(c) for c in last[value])
+        for name, pick in picks.items():
+            found = [F.max(F.when(place == p, F.col(value))).over(w) for p in quantile_position(pick, n)]
+            stats[name] = found[0] if len(found) == 1 else (found[0] + found[1]) / 2
+    if not null_keys:
+        stats = {n: known(e, keys) for n, e in stats.items()}
+    return over_group(over_group(df, keys, places) if places else df, keys, stats)
 
 
 def flag(condition: Column) -> Column:
@@ -122,9 +155,9 @@ def group_moments(df: DataFrame, group: str | Sequence[str], columns: Mapping[st
 
 
 def group_position(df: DataFrame, group: str | Sequence[str], order: Sequence[Column],
-                   output: str = "group_position", none_hot: bool = False) -> DataFrame:
+                   output: str = "group_position") -> DataFrame:
     """1-based place of the row in its group; ``order`` must be unique in the group."""
-    return running(df, group, order, output, none_hot=none_hot)
+    return running(df, group, order, output)
 
 
 def count_in_group(df: DataFrame, group: str | Sequence[str], key: str | Sequence[str],
@@ -140,12 +173,9 @@ def distinct_count(key: str) -> Column:
 
 
 def nunique(keys: Mapping[str, str]) -> GroupSpec:
-    aggregates, outputs = {}, {}
-    for key, output in keys.items():
-        n = scratch("distinct")
-        aggregates[n] = distinct_count(key)
-        outputs[output] = F.col(n)
-    return GroupSpec(outputs, aggregates)
+    names = {output: scratch("distinct") for output in keys.values()}
+    return GroupSpec({output: F.col(n) for output, n in names.items()},
+                     distinct={names[output]: key for key, output in keys.items()})
 
 
 def nunique_in_group(df: DataFrame, group: str | Sequence[str], keys: Mapping[str, str]) -> DataFrame:
@@ -154,14 +184,14 @@ def nunique_in_group(df: DataFrame, group: str | Sequence[str], keys: Mapping[st
 
 
 def ordinal_rank_ratio(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str],
-                       output: str, none_hot: bool = False) -> DataFrame:
+                       output: str) -> DataFrame:
     """Ordinal rank of ``value`` among rows with the same keys, over their number.
 
     A null value has no rank; it still counts in the number.
     """
     place, n = scratch("place"), scratch("n")
     order = [F.col(value), *[F.col(t) for t in ties]]
-    out = running(df, keys, order, place, total=n, none_hot=none_hot)
+    out = running(df, keys, order, place, total=n)
     return out.withColumn(output, F.when(F.col(value).isNotNull(), F.col(place) / F.col(n))).drop(place, n)
 
 
@@ -233,10 +263,17 @@ def same_offer_features(df: DataFrame, group: str | Sequence[str], key: str, val
     """
     keys = [*as_list(group), key]
     low, rank = scratch("low"), scratch("rank")
-    source = df if source is None else source
-    out = attach(df, keys, {"flight_option_count": F.count(F.lit(1)), low: F.min(value)}, source=source)
-    ranks = dense_positions(source, keys, value, rank)
-    out = join_on(out, ranks, [*keys, value], null_keys=True)
+    df = measured(df, group)
+    if has_hot_groups(df, group):
+        source = df if source is None else source
+        out = attach(df, keys, {"flight_option_count": F.count(F.lit(1)), low: F.min(value)}, source=source)
+        out = join_on(out, dense_positions(source, keys, value, rank), [*keys, value], null_keys=True)
+    else:
+        w = Window.partitionBy(*keys)
+        place = F.dense_rank().over(w.orderBy(F.col(value).asc_nulls_last()))
+        out = over_group(together(df, group), keys, {
+            rank: F.when(F.col(value).isNotNull(), place),
+            "flight_option_count": F.count(F.lit(1)).over(w), low: F.min(value).over(w)})
     n = F.col("flight_option_count")
     return out.withColumns({
         "is_flight_cheapest": flag(F.col(value) == F.col(low)),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from choicerank.functions import calendar, numbers, text
 from choicerank.operators import enrich, history, session, tables
-from choicerank.operators.groups import hot_groups, scratch
+from choicerank.operators.groups import measured, scratch
 from choicerank.settings import checkpointed
 
 LEGS = (0, 1)
@@ -124,11 +124,10 @@ def itinerary_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(legs).withColumn("leg_combo", F.concat_ws("_", *legs))
 
 
-def position_features(df: DataFrame, group: str, row: str, none_hot: bool) -> DataFrame:
+def position_features(df: DataFrame, group: str, row: str) -> DataFrame:
     """Place in the session and price place among equal itineraries."""
-    df = session.group_position(df, group, [F.col(row)], none_hot=none_hot)
-    return session.ordinal_rank_ratio(df, [group, "leg_combo"], "totalPrice", [row],
-                                      "group_option_price_rank_ratio", none_hot)
+    df = session.group_position(df, group, [F.col(row)])
+    return session.ordinal_rank_ratio(df, [group, "leg_combo"], "totalPrice", [row], "group_option_price_rank_ratio")
 
 
 def count_features(df: DataFrame, group: str, source: DataFrame) -> DataFrame:
@@ -145,7 +144,7 @@ LOGGED = ["legs0_duration", "legs1_duration", *column_names("legs{leg}_segments{
           "total_duration", "hours_to_departure"]
 
 
-def session_features(df: DataFrame, group: str, row: str, source: DataFrame, none_hot: bool) -> DataFrame:
+def session_features(df: DataFrame, group: str, row: str, source: DataFrame) -> DataFrame:
     """All statistics of the session in one pass. Durations leave it as ``log1p`` of minutes.
 
     Scaled ranks and shortest flags use minutes, the group's duration statistics use logs.
@@ -153,7 +152,7 @@ def session_features(df: DataFrame, group: str, row: str, source: DataFrame, non
     logged_total = scratch("log_duration")
     direct = F.col("is_direct_leg0") == 1
     one_way = F.col("is_one_way") == 1
-    source = source.withColumn(logged_total, F.log1p("total_duration"))
+    df, source = (x.withColumn(logged_total, F.log1p("total_duration")) for x in (df, source))
     out = session.with_group(
         df, group,
         session.size(row, "group_size"),
@@ -173,9 +172,8 @@ def session_features(df: DataFrame, group: str, row: str, source: DataFrame, non
         session.moments({"log_price": "group_price", logged_total: "group_dur"}),
         session.nunique({"legs0_segment_id": "group_legs0_n_segments",
                          "legs1_segment_id": "group_legs1_n_segments",
-                         "leg_combo": "group_n_leg_combos"}), null_keys=False, source=source,
-        none_hot=none_hot)
-    helpers = ["legs0_segment_id", "legs1_segment_id", "leg_combo"]
+                         "leg_combo": "group_n_leg_combos"}), null_keys=False, source=source)
+    helpers = ["legs0_segment_id", "legs1_segment_id", "leg_combo", logged_total]
     return out.drop(*helpers).withColumns({
         "group_size_log": F.log1p("group_size"),
         "group_total_options": F.col("group_size"),
@@ -272,7 +270,7 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
     legs in the session, which no family selects.
     """
     train = F.col("split") == "train" if train is None else train
-    raw = df
+    raw = df = measured(df, group)
     df = initial_features(parse_durations(df))
     df = tables.winsorize(tables.impute(df, means=["legs0_segments0_seatsAvailable"]), "price_per_tax")
     df = segment_features(df)
@@ -287,13 +285,12 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
     df = df.withColumns(text.split_route("searchRoute"))
     # All statistics are read from the same rows, so the plan grows by one branch a join.
     rows = itinerary_keys(df)
-    none_hot = hot_groups(raw, [group]) is None
-    df = position_features(rows, group, row, none_hot)
+    df = position_features(rows, group, row)
     if options:
         df = option_features(df, group, rows)
     if counts:
         df = count_features(df, group, rows)
-    df = session_features(df, group, row, rows, none_hot)
+    df = session_features(df, group, row, rows)
     past = checkpointed(df.where(train & (F.col(label) == 1)).select(*HISTORY_COLUMNS))
     df = history_features(df, past, raw.where(train))
     df = airport_features(df, airports)

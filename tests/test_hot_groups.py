@@ -87,6 +87,27 @@ def test_order_that_cannot_be_cut_ends(spark, settings):
     assert sorted(r.place for r in groups.running(rows, "g", [F.col("v")], "place").collect()) == list(range(1, 41))
 
 
+def test_a_group_that_cannot_be_cut_does_not_stop_the_others(spark, settings):
+    settings(hotRows=30, parts=2)
+    alone = spark.range(400).select(F.lit(1).alias("g"), ((F.col("id") * 79) % 400).alias("v"))
+    rows = alone.union(spark.range(900).select(F.lit(2).alias("g"), F.lit(3).alias("v")))
+    levels = []
+    inner = groups._cut
+
+    def counted(*args):
+        levels.append(1)
+        return inner(*args)
+
+    groups._cut = counted
+    try:
+        placed = groups.running(rows, "g", [F.col("v")], "place", total="n")
+        assert placed.where("g = 1 and (place <> v + 1 or n <> 400)").count() == 0
+        assert sorted(r.place for r in placed.where("g = 2").collect()) == list(range(1, 901))
+    finally:
+        groups._cut = inner
+    assert len(levels) >= 4  # 400 rows in halves until none has more than 30
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 50])
 def test_partition_count_does_not_matter(spark, skewed, partitions):
     def report():

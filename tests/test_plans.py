@@ -1,15 +1,19 @@
 """Plans: pruning, pushdown, shuffles, and what must not appear."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.feature_queries import features
 from checks.fixture import options, table
-from choicerank.operators import history, session
+from choicerank.operators import groups, history, rerank, session
 from choicerank.plans.catalogue import FAMILIES, feature_lists
 from choicerank.operators.encode import select_features
 from choicerank.operators.rerank import top_k_per_group
+from choicerank.sources import layout
+from tests.compare import assert_same
 from tests.conftest import DATA
 
 
@@ -31,6 +35,67 @@ def test_statistics_of_one_key_share_a_shuffle(spark):
     assert plan(out).count("Exchange hashpartitioning") <= 2
 
 
+def session_block(df, group, row, key, value):
+    """Statistics, distinct counts, quantiles, positions, offers of an item and the penalised rank of a session."""
+    out = session.with_group(df, group, session.minmax({value: "scaled"}), session.size(row, "n"),
+                             session.relative_price(value), session.nunique({key: "n_keys"}),
+                             session.filtered_minimum(F.col(key) > "N2", {value: "least"}))
+    out = session.group_position(out, group, [F.col(row)])
+    out = session.same_offer_features(out, group, key, value)
+    out = session.count_in_group(out, group, key, "same_key")
+    out = out.withColumn("z", F.round("z", 9))  # deviations are added up in another order
+    return rerank.duplicate_penalty_rerank(out, group, key, value, [row])
+
+
+def test_a_session_layout_needs_one_scan_and_no_exchange(spark):
+    name = f"sessions_{uuid.uuid4().hex}"
+    laid = layout.write_groups(options(spark, DATA), name, "session_id", ["option_id"], buckets=4)
+    try:
+        df = spark.read.parquet(*laid.inputFiles())
+        args = ("session_id", "option_id", "carrier", "total_price")
+        df = df.withMetadata("session_id", {})
+        out, plain = session_block(laid, *args), session_block(groups.measured(df, "session_id"), *args)
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan parquet") == 1 and "Bucketed: true" in text
+        assert "Exchange" not in text and "Join" not in text and "Expand" not in text
+        text = plain._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan parquet") == 1 and text.count("Exchange") == 1 and "Join" not in text
+        assert_same(out.toPandas(), plain.toPandas())
+        again = layout.read_groups(spark, name, "session_id").where("total_price > 3000")
+        text = session.group_size(again, "session_id", "carrier")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def test_a_layout_with_a_hot_group_is_read_without_its_buckets(spark, settings):
+    name = f"sessions_{uuid.uuid4().hex}"
+    df = options(spark, DATA).selectExpr(
+        "if(profile_id % 3 = 0, null, session_id) as k", "option_id", "carrier", "total_price")
+    args = ("k", "option_id", "carrier", "total_price")
+    expected = session_block(groups.measured(df, "k"), *args).toPandas()
+    settings(hotRows=500, parts=4)
+    laid = layout.write_groups(df, name, "k", ["option_id"], buckets=3)
+    try:
+        assert groups.has_hot_groups(laid, "k") and laid.count() == df.count()
+        assert len(laid.inputFiles()) > 3  # several tasks wrote the bucket of the hot group
+        assert "Bucketed: true" not in laid._jdf.queryExecution().executedPlan().toString()
+        assert_same(session_block(laid, *args).toPandas(), expected)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def test_group_sizes_are_counted_once(spark):
+    df = groups.measured(options(spark, DATA), "session_id")
+    spark.sparkContext.setJobGroup("counted", "once")
+    session_block(df, "session_id", "option_id", "carrier", "total_price")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    spark.sparkContext.setJobGroup("", "")
+    assert not jobs
+    assert groups.largest_group(df, ["session_id", "carrier"]) == groups.largest_group(df, "session_id")
+    assert groups.largest_group(df, "carrier") is None
+
+
 def test_top_rows_are_limited_before_the_shuffle(spark):
     df = table(spark, DATA, "lineitem").withColumn("score", -F.col("l_extendedprice"))
     text = plan(top_k_per_group(df, "l_partkey", "score", ["l_orderkey", "l_linenumber"], 3))
@@ -58,7 +123,7 @@ def test_hot_keys_are_split_when_statistics_join_back(spark, settings, name):
     key = F.when(F.col("l_orderkey") % 2 == 0, F.lit(1)).otherwise(F.col("l_orderkey"))
     df = (table(spark, DATA, "lineitem").repartition(8)
           .select("*", key.alias("k"), F.lit(1).alias("one")))
-    settings(broadcastRows=0)
+    settings(broadcastRows=0, hotRows=1000)
     before = {k: spark.conf.get(k, None) for k in SKEW}
     try:
         for k, v in SKEW.items():
