@@ -19,6 +19,7 @@ ordinary tables in the shared folder: they are broadcast if they measure small a
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import count as counter
@@ -333,12 +334,16 @@ def group_quantiles(df: DataFrame, keys: str | Sequence[str], value: str,
 
     A pick is a fraction, taken at the nearest row ``round(q*(n-1))`` (halves up), or ``"median"``.
     Ordinary groups are sorted on the exchange of their windows. Where groups are hot, equal values are counted first, so
-    that the ordered step sees each value once a group.
+    that the ordered step sees each value once a group. Without keys see ``column_quantiles``.
     """
     keys = as_list(keys)
+    if not keys:
+        found = column_quantiles(df, value, picks)
+        kinds = {n: "double" if pick == "median" else df.schema[value].dataType for n, pick in picks.items()}
+        return df.sparkSession.range(1).select(*[F.lit(found[n]).cast(kinds[n]).alias(n) for n in picks])
     df = df.where(F.col(value).isNotNull()).select(*keys, value)
-    df = measured(df, keys) if keys else df
-    if keys and not has_hot_groups(df, keys):
+    df = measured(df, keys)
+    if not has_hot_groups(df, keys):
         n, place = scratch("n"), scratch("place")
         w = Window.partitionBy(*keys)
         placed = over_group(df, keys, {place: F.row_number().over(w.orderBy(value)) - 1, n: F.count(F.lit(1)).over(w)})
@@ -358,6 +363,81 @@ def group_quantiles(df: DataFrame, keys: str | Sequence[str], value: str,
     return placed.groupBy(*keys).agg(*exprs)
 
 
+#: Accuracy of the approximate quantiles that bracket a place, and distinct values that are few enough to be collected.
+ACCURACY, FEW = 100_000, 20_000
+
+
+def column_quantiles(df: DataFrame, value: str, picks: Mapping[str, float | str]) -> dict[str, object]:
+    """Exact quantiles of a whole column of numbers, dates or times, with picks as in ``group_quantiles``.
+
+    Each pass brackets the wanted places by approximate quantiles; the next one counts what lies below, at and between the
+    ends, which settles a place or narrows it to less than a ten-thousandth of the rows. What is left between the ends is
+    collected once it has few distinct values. No row is sorted or shuffled; 3 passes do up to half a billion rows, and each
+    two more passes ten thousand times as many.
+    """
+    x = F.col("x")
+    rows = df.select(F.col(value).alias("x")).where(x.isNotNull())
+    fractions = {n: 0.5 if q == "median" else float(q) for n, q in picks.items()}
+    every = sorted({min(1.0, max(0.0, q + d)) for q in fractions.values() for d in _AROUND})
+    n, low, high, near = rows.agg(F.count("x"), F.min("x"), F.max("x"), F.percentile_approx("x", every, ACCURACY)).first()
+    if not n:
+        return dict.fromkeys(picks)
+    places = {name: _places(q, n) for name, q in picks.items()}
+    ends = dict(zip(every, near))
+    state = {}  # place: rows up to and at the lower end that are surely before it, the ends, whether they are candidates
+    for name, found in places.items():
+        a, b = (ends[min(1.0, max(0.0, fractions[name] + d))] for d in _AROUND)
+        state |= {p: (a, b) for p in found}
+    known: dict[int, object] = {}
+    outer = {p: (low, high) for p in state}
+    while state:
+        counts = rows.agg(*[c for p, (a, b) in state.items() for c in (
+            F.count(F.when(x < F.lit(a), 1)), F.count(F.when(x == F.lit(a), 1)),
+            F.count(F.when((x > F.lit(a)) & (x < F.lit(b)), 1)), F.count(F.when((x == F.lit(b)) & (x > F.lit(a)), 1)),
+            F.approx_count_distinct(F.when((x > F.lit(a)) & (x < F.lit(b)), x)))]).first()
+        few, wide = {}, {}
+        for k, (p, (a, b)) in enumerate(state.items()):
+            below, at_a, between, at_b, distinct = counts[5 * k:5 * k + 5]
+            if below <= p < below + at_a:
+                known[p] = a
+            elif below + at_a + between <= p < below + at_a + between + at_b:
+                known[p] = b
+            elif not below <= p < below + at_a + between + at_b:
+                wide[p] = (*outer[p], None)  # the approximation missed it: take the ends before
+            elif distinct <= FEW:
+                few[p] = (a, b, p - below - at_a)
+            else:
+                outer[p] = (a, b)
+                wide[p] = (a, b, (p - below - at_a) / between)
+        if few:
+            inside = reduce(lambda s, t: s | t, [(x > F.lit(a)) & (x < F.lit(b)) for a, b, _ in few.values()])
+            found = rows.where(inside).groupBy("x").agg(F.count("x").alias("n")).collect()
+            found.sort(key=lambda r: (r.x != r.x, r.x))  # NaN last
+            for p, (a, b, left) in few.items():
+                for r in found:
+                    if (r.x > a or r.x != r.x) and (r.x < b or (b != b and r.x == r.x)):
+                        left -= r.n
+                        if left < 0:
+                            known[p] = r.x
+                            break
+        state = {p: (a, b) for p, (a, b, share) in wide.items() if share is None}
+        narrower = {p: (a, b, share) for p, (a, b, share) in wide.items() if share is not None}
+        if narrower:
+            near = rows.agg(*[F.percentile_approx(F.when((x > F.lit(a)) & (x < F.lit(b)), x),
+                                                  [min(1.0, max(0.0, share + d)) for d in _AROUND], ACCURACY)
+                              for a, b, share in narrower.values()]).first()
+            state |= {p: tuple(ends) for p, ends in zip(narrower, near)}
+    return {name: known[found[0]] if len(found) == 1 else (known[found[0]] + known[found[1]]) / 2
+            for name, found in places.items()}
+
+
+_AROUND = (-2 / ACCURACY, 2 / ACCURACY)
+
+
+def _places(pick: float | str, n: int) -> list[int]:
+    return [(n - 1) // 2, n // 2] if pick == "median" else [math.floor(float(pick) * (n - 1) + 0.5)]
+
+
 def _mean(values: list[Column]) -> Column:
     return values[0] if len(values) == 1 else sum(values[1:], values[0]) / len(values)
 

@@ -2,20 +2,23 @@
 
 ``history`` is a condition that picks the past rows, by default the chosen rows of the training
 split, so a training row's own outcome is inside its statistics. Pass another condition to avoid that.
+
+All keys of a history are aggregated together: every past row is exploded once into (kind of key, key value) rows, the
+overall row being one more kind, and one exchange gives the statistics of every kind. The result is one small table in the
+shared folder, of which each kind is a filter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from choicerank.operators.groups import Side, as_list, join_sides, measures, scratch
-from choicerank.operators.session import distinct_count
+from choicerank.operators.groups import Side, as_list, join_on, join_sides, measures, scratch
 from choicerank.settings import checkpointed
 
 GLOBAL = "global"
@@ -27,14 +30,16 @@ class Stat:
     """One statistic: its aggregate and what a row without it gets.
 
     ``default`` is None (stays null), a number, ``GLOBAL`` (the aggregate over all history) or
-    ``NULL_KEY`` (the aggregate of the history rows without a key). ``trust`` makes a condition of the
-    key's statistics; where it is false the statistic counts as missing.
+    ``NULL_KEY`` (the aggregate of the history rows without any key). ``trust`` makes a condition of the
+    key's statistics; where it is false the statistic counts as missing. Instead of an aggregate, ``distinct`` names a
+    column whose different values are counted, null being one.
     """
 
     name: str
-    aggregate: Column
+    aggregate: Column | None
     default: float | str | None = None
     trust: Callable[[dict[str, Column]], Column] | None = None
+    distinct: str | None = None
 
 
 def chosen(split: str = "split", label: str = "selected") -> Column:
@@ -59,61 +64,131 @@ def history_rows(df: DataFrame, history: Column | DataFrame | None) -> DataFrame
     return df.where(chosen() if history is None else history)
 
 
-def _statistics(past: DataFrame, keys: list[str],
-                stats: Sequence[Sequence[Stat]]) -> tuple[Side, list[dict[str, Column]]]:
-    """The table of one key to join, and the filled statistics of each list of them.
-
-    One aggregation (grouping sets) gives the rows per key and the row over all history. It is
-    checkpointed, so history is read once and the number of keys is known before the join.
+class _Kinds:
+    """The keys of a history as kinds 1, 2, ... (0 is the overall row), with slots for key values by place and type."""
+
+    def __init__(self, past: DataFrame, keys: Sequence[Sequence[str]]):
+        self.past, self.keys, self.kind = past, [(), *keys], scratch("kind")
+        self.slots: dict[tuple[int, T.DataType], str] = {}
+        for own in keys:
+            for place, key in enumerate(own):
+                self.slots.setdefault((place, past.schema[key].dataType), scratch("slot"))
+        self.columns = [self.kind, *self.slots.values()]
+
+    def slot(self, kind: int, place: int) -> str:
+        return self.slots[place, self.past.schema[self.keys[kind][place]].dataType]
+
+    def _tag(self, kind: int, more: Sequence[Column] = ()) -> Column:
+        own = {self.slot(kind, place): key for place, key in enumerate(self.keys[kind])}
+        return F.struct(F.lit(kind).alias(self.kind), *[
+            (F.col(own[name]) if name in own else F.lit(None).cast(type_)).alias(name)
+            for (_, type_), name in self.slots.items()], *more)
+
+    def aggregate(self, aggregates: dict[str, Column]) -> DataFrame:
+        """All aggregates of every kind and key, from one exchange."""
+        tag = scratch("tag")
+        rows = self.past.withColumn(tag, F.explode(F.array(*[self._tag(k) for k in range(len(self.keys))])))
+        return rows.groupBy(*[F.col(f"{tag}.{c}").alias(c) for c in self.columns]).agg(
+            *[e.alias(n) for n, e in aggregates.items()])
+
+    def count_distinct(self, counts: dict[str, tuple[int, str]]) -> DataFrame:
+        """For each name the different values of a column per key of a kind: distinct rows first, so that a key with many
+        values is spread over tasks."""
+        values = {}
+        for _, column in counts.values():
+            values.setdefault(self.past.schema[column].dataType, scratch("value"))
+        what, n = scratch("what"), scratch("n")
+        tags = [self._tag(kind, [F.lit(i).alias(what), *[
+            (F.col(column) if self.past.schema[column].dataType == t else F.lit(None).cast(t)).alias(name)
+            for t, name in values.items()]]) for i, (kind, column) in enumerate(counts.values())]
+        rows = self.past.select(F.inline(F.array(*tags))).distinct()
+        found = rows.groupBy(*self.columns, what).agg(F.count(F.lit(1)).alias(n))
+        return found.groupBy(*self.columns).agg(*[
+            F.max(F.when(F.col(what) == i, F.col(n))).alias(name) for i, name in enumerate(counts)])
+
+
+def _statistics(past: DataFrame, parts: Sequence[tuple[Sequence[str], Sequence[Sequence[Stat]]]]
+                ) -> list[tuple[Side, list[dict[str, Column]]]]:
+    """For each key the table to join and the filled statistics of each list of them.
+
+    Equal aggregates are computed once. The table is stored, and one job over it measures the kinds for their joins and gives
+    the overall row and the rows without a key.
     """
-    named = [{s.name: scratch(s.name) for s in some} for some in stats]
-    level = scratch("level")
-    aggregates = [s.aggregate.alias(names[s.name]) for some, names in zip(stats, named) for s in some]
-    table = checkpointed(past.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
-        F.grouping_id().alias(level), *aggregates))
-    whole_row = F.struct(*[name for names in named for name in names.values()])
-    keyed = F.col(level) == 0
-    unkeyed = keyed & reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    found = table.agg(*measures(table),
-                      F.first(F.when(~keyed, whole_row), True).alias(GLOBAL),
-                      F.first(F.when(unkeyed, whole_row), True).alias(NULL_KEY)).first()
-    side = Side(table.where(keyed).drop(level).dropna(subset=keys), {k: F.col(k) for k in keys},
-                found["rows"], found["text_bytes"])
-
-    filled = []
-    for some, names in zip(stats, named):
-        values = {name: side.columns[unique] for name, unique in names.items()}
-        for s in some:
-            value, kind, fallback = values[s.name], table.schema[names[s.name]].dataType, s.default
-            if s.default in (GLOBAL, NULL_KEY):
-                row = found[s.default]
-                fallback = row[names[s.name]] if row else None
-                if fallback is None and s.default == NULL_KEY and isinstance(kind, T.LongType):
-                    fallback = 0
-            if s.trust:
-                value = F.when(s.trust(values), value)
-            if fallback is not None:
-                value = F.coalesce(value, F.lit(fallback).cast(kind))
-            values[s.name] = value
-        filled.append(values)
-    return side, filled
+    kinds = _Kinds(past, [keys for keys, _ in parts])
+    aggregates: dict[str, Column] = {}
+    distinct: dict[str, tuple[int, str]] = {}
+    known: dict[object, str] = {}
+
+    def name_of(stat: Stat, kind: int) -> str:
+        text = (kind, stat.distinct) if stat.distinct else str(stat.aggregate)
+        if text not in known or "more fields" in text:  # a shortened text may stand for another aggregate
+            known[text] = scratch(stat.name)
+            if stat.distinct:
+                distinct[known[text]] = (kind, stat.distinct)
+            else:
+                aggregates[known[text]] = stat.aggregate
+        return known[text]
+
+    names = [[{s.name: (name_of(s, kind), name_of(s, 0) if s.distinct and s.default == GLOBAL else None) for s in some}
+              for some in stats] for kind, (_, stats) in enumerate(parts, 1)]
+    table = kinds.aggregate(aggregates or {scratch("n"): F.count(F.lit(1))})
+    if distinct:
+        table = join_on(table, kinds.count_distinct(distinct), kinds.columns, null_keys=True)
+    table = checkpointed(table)
+    plain = [c for c in table.columns if c not in kinds.columns]
+    keyless = F.lit(True)
+    for slot in kinds.slots.values():
+        keyless = keyless & F.col(slot).isNull()
+    found = {row[kinds.kind]: row for row in table.groupBy(kinds.kind).agg(
+        *measures(table), F.first(F.when(keyless, F.struct(*plain)), True).alias(NULL_KEY)).collect()}
+
+    out = []
+    for kind, (keys, stats) in enumerate(parts, 1):
+        slots = {key: kinds.slot(kind, place) for place, key in enumerate(keys)}
+        used = list(dict.fromkeys(n for some in names[kind - 1] for n, _ in some.values()))
+        own = table.where(F.col(kinds.kind) == kind).dropna(subset=list(slots.values())).select(
+            *[F.col(slot).alias(key) for key, slot in slots.items()], *used)
+        size = found.get(kind)
+        side = Side(own, {key: F.col(key) for key in keys}, size["rows"] if size else 0, size["text_bytes"] if size else 0)
+        overall, unkeyed = (found[k][NULL_KEY] if k in found else None for k in (0, kind))
+        filled = []
+        for some, own_names in zip(stats, names[kind - 1]):
+            values = {name: side.columns[unique] for name, (unique, _) in own_names.items()}
+            for s in some:
+                unique, whole = own_names[s.name]
+                value, type_, fallback = values[s.name], table.schema[unique].dataType, s.default
+                if s.default in (GLOBAL, NULL_KEY):
+                    row = overall if s.default == GLOBAL else unkeyed
+                    fallback = row[whole or unique] if row else None
+                    if fallback is None and s.default == NULL_KEY and isinstance(type_, T.LongType):
+                        fallback = 0
+                if s.trust:
+                    value = F.when(s.trust(values), value)
+                if fallback is not None:
+                    value = F.coalesce(value, F.lit(fallback).cast(type_))
+                values[s.name] = value
+            filled.append(values)
+        out.append((side, filled))
+    return out
 
 
 def with_history(df: DataFrame, *specs: HistorySpec) -> DataFrame:
     """Add the outputs of all specs.
 
-    Specs with the same key and history share one table. Every table is joined once, and one
-    projection adds all columns.
+    Specs with the same history share one aggregation, those with the same key one table. Every table is joined once, and
+    one projection adds all columns.
     """
-    together: dict[tuple, list[HistorySpec]] = {}
+    together: dict[int, dict[tuple, list[HistorySpec]]] = {}
     for spec in specs:
-        together.setdefault((tuple(spec.keys), id(spec.history)), []).append(spec)
+        together.setdefault(id(spec.history), {}).setdefault(tuple(spec.keys), []).append(spec)
     sides, outputs = [], {}
-    for (keys, _), group in together.items():
-        side, filled = _statistics(history_rows(df, group[0].history), list(keys), [g.stats for g in group])
-        sides.append(side)
-        for spec, columns in zip(group, filled):
-            outputs |= spec.outputs(columns)
+    for by_keys in together.values():
+        past = history_rows(df, next(iter(by_keys.values()))[0].history)
+        found = _statistics(past, [(keys, [s.stats for s in group]) for keys, group in by_keys.items()])
+        for group, (side, filled) in zip(by_keys.values(), found):
+            sides.append(side)
+            for spec, columns in zip(group, filled):
+                outputs |= spec.outputs(columns)
     return join_sides(df, sides, outputs)
 
 
@@ -209,8 +284,8 @@ def behaviour(key: str, prefix: str, *, price_rank: str, duration_rank: str, hou
         Stat(f"{prefix}_avg_duration_rank", F.avg(duration_rank), GLOBAL),
         Stat(f"{prefix}_avg_dep_hour", F.avg(hour), 12.0),
         Stat(f"{prefix}_night_ratio", rate(F.col(hour) < 6), 0.0),
-        Stat(f"{prefix}_company_diversity", distinct_count(company), 0),
-        Stat(f"{prefix}_user_diversity", distinct_count(user), 0),
+        Stat(f"{prefix}_company_diversity", None, 0, distinct=company),
+        Stat(f"{prefix}_user_diversity", None, 0, distinct=user),
     ], history=history)
 
 
@@ -247,44 +322,77 @@ def profile_stats(df: DataFrame, key: str, *, price_rank: str, duration_rank: st
                                     fallbacks=fill, history=history))
 
 
-def density_curve(df: DataFrame, column: str, points: int = 1000) -> DataFrame | None:
-    """Gaussian kernel density (Scott bandwidth) of a column on an even grid; None without spread.
+#: Cells of the density are half a bandwidth wide. A value is at most a quarter of a bandwidth from the middle of its cell, so
+#: the terms left out of the series add less than 1.1 * 0.25 ** 16 / sqrt(16!) < 6e-17 of each value's greatest term.
+CELL, TERMS, REACH = 0.5, 16, 39.25
+
+
+def density_curves(df: DataFrame, columns: Sequence[str], points: int = 1000
+                   ) -> tuple[DataFrame | None, dict[str, float | None]]:
+    """Gaussian kernel densities (Scott bandwidth) of columns on even grids, and the columns without spread.
 
-    Equal values are counted first. Each distinct value adds to the grid points within 39
-    bandwidths (beyond that its term is exactly 0 in a double); the sums are combined before the
-    shuffle, so at most ``points`` rows leave a task.
+    The first result has ``column``, ``i``, ``x``, ``density`` (None if no column has a spread), the second the only value of
+    the other columns. This is a fast Gauss transform: one pass counts the values of each cell and sums their powers up to
+    ``TERMS``, combined before the shuffle; a Hermite series per cell then gives its part at the grid points within
+    ``REACH`` bandwidths (beyond that a term is 0 in a double). Rows between stages are cells, whatever the number of values.
     """
-    x = F.col(column).cast("double")
-    counts = (df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("x"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    m = df.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.stddev_samp(x).alias("std"),
-               F.count(x).alias("n")).first()
-    if not m["n"] or m["low"] == m["high"]:
-        return None
-    width = m["std"] * m["n"] ** -0.2
-    step = (m["high"] - m["low"]) / (points - 1)
-    first = F.greatest(F.lit(0), F.ceil((F.col("x") - m["low"] - 39 * width) / step))
-    last = F.least(F.lit(points - 1), F.floor((F.col("x") - m["low"] + 39 * width) / step))
-    # few rows, much arithmetic: keep the tasks that adaptive execution would merge for their size
-    spread = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    near = spread.select("x", "n", F.explode(F.sequence(first, last)).alias("i"))
-    grid = F.lit(m["low"]) + F.col("i") * F.lit(step)
-    term = F.col("n") * F.exp(-0.5 * F.pow((grid - F.col("x")) / F.lit(width), F.lit(2.0)))
-    scale = m["n"] * width * 2.5066282746310002  # sqrt(2 pi)
-    return (near.groupBy("i").agg((F.sum(term) / F.lit(scale)).alias("density"))
-            .withColumn("x", grid))
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    m = df.agg(*[f(x[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in
+                 (("low", F.min), ("high", F.max), ("std", F.stddev_samp), ("n", F.count))]).first()
+    constant = {c: m[f"low{i}"] for i, c in enumerate(columns) if not m[f"n{i}"] or m[f"low{i}"] == m[f"high{i}"]}
+    spread = [(i, c) for i, c in enumerate(columns) if c not in constant]
+    if not spread:
+        return None, constant
+    width = {i: m[f"std{i}"] * m[f"n{i}"] ** -0.2 for i, _ in spread}
+
+    def of_column(values: dict[int, float]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col("id"))
+
+    narrow = df.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("id"), ((x[c] - m[f"low{i}"]) / width[i]).alias("u")) for i, c in spread]))).where("u is not null")
+    cell = F.floor(F.col("u") / CELL)
+    away = F.col("u") - (F.col("cell") + 0.5) * CELL
+    cells = narrow.withColumn("cell", cell).groupBy("id", "cell").agg(
+        *[F.sum(F.pow(away, F.lit(float(k)))).alias(f"m{k}") for k in range(TERMS)])
+
+    step = of_column({i: (m[f"high{i}"] - m[f"low{i}"]) / (points - 1) / width[i] for i, _ in spread})
+    middle = (F.col("cell") + 0.5) * CELL
+    first = F.greatest(F.lit(0), F.ceil((middle - REACH) / step))
+    last = F.least(F.lit(points - 1), F.floor((middle + REACH) / step))
+    sums = F.array(*[F.struct(F.lit(float(k)).alias("k"), (F.col(f"m{k}") / math.factorial(k)).alias("m"))
+                     for k in range(TERMS)])
+    near = (cells.select("id", sums.alias("sums"), middle.alias("middle"), F.explode(F.sequence(first, last)).alias("i"))
+            .withColumn("t", F.col("i") * step - F.col("middle")))
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(1.0).alias("now"), F.lit(0.0).alias("sum"))
+    series = F.aggregate("sums", start, lambda s, term: F.struct(
+        s["now"].alias("before"), (F.col("t") * s["now"] - term["k"] * s["before"]).alias("now"),
+        (s["sum"] + term["m"] * s["now"]).alias("sum")), lambda s: s["sum"])
+    part = F.exp(-F.col("t") * F.col("t") / 2) * series
+    scale = of_column({i: m[f"n{i}"] * width[i] * math.sqrt(2 * math.pi) for i, _ in spread})
+    names = F.element_at(F.create_map(*[F.lit(v) for item in spread for v in item]), F.col("id"))
+    grid = of_column({i: m[f"low{i}"] for i, _ in spread}) + F.col("i") * of_column(
+        {i: (m[f"high{i}"] - m[f"low{i}"]) / (points - 1) for i, _ in spread})
+    return near.groupBy("id", "i").agg(F.sum(part).alias("sum")).select(
+        names.alias("column"), "i", grid.alias("x"), (F.greatest(F.col("sum"), F.lit(0.0)) / scale).alias("density")), constant
 
 
-def density_mode(df: DataFrame, column: str, points: int = 1000) -> float | None:
-    """The grid point with the highest density; a constant column gives its value."""
-    curve = density_curve(df, column, points)
-    if curve is None:
-        return df.agg(F.min(F.col(column).cast("double"))).first()[0]
-    return curve.agg(F.max_by("x", F.struct("density", -F.col("i")))).first()[0]
+def density_curve(df: DataFrame, column: str, points: int = 1000) -> DataFrame | None:
+    """``i``, ``x``, ``density`` of one column; None without spread."""
+    curve, _ = density_curves(df, [column], points)
+    return None if curve is None else curve.drop("column")
+
 
+def density_modes(df: DataFrame, columns: Sequence[str], points: int = 1000) -> dict[str, float | None]:
+    """The grid point with the highest density of each column; a constant column gives its value."""
+    curve, modes = density_curves(df, columns, points)
+    if curve is not None:
+        best = curve.groupBy("column").agg(F.max_by("x", F.struct("density", -F.col("i"))).alias("x"))
+        modes = modes | {row["column"]: row["x"] for row in best.collect()}
+    return modes
 
-def density_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    return {c: density_mode(df, c) for c in columns}
+
+def density_mode(df: DataFrame, column: str, points: int = 1000) -> float | None:
+    return density_modes(df, [column], points)[column]
 
 
 def tariff_code(key: str, *, price_rank: str, duration_rank: str,

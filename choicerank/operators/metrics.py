@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicerank.operators.groups import as_list, group_quantiles, join_on, scratch, top_rows
+from choicerank.operators.groups import as_list, column_quantiles, join_on, scratch, top_rows
 from choicerank.operators.rerank import best_first
 from choicerank.settings import checkpointed
 
@@ -79,7 +79,7 @@ def hitrate_by_size_quantile(df: DataFrame, group: str, score: str, label: str,
     """Curves of small, medium and large groups, cut at the quartiles of the group sizes."""
     ks = list(ks)
     hits = checkpointed(group_hits(df, group, best_first(score, ties), label, max(ks), more_than))
-    cuts = group_quantiles(hits, [], "group_size", {"q25": 0.25, "q75": 0.75}).first()
+    cuts = column_quantiles(hits, "group_size", {"q25": 0.25, "q75": 0.75})
     size = F.col("group_size")
     band = (F.when(size <= F.lit(cuts["q25"]), F.lit("small"))
             .when(size <= F.lit(cuts["q75"]), F.lit("medium")).otherwise(F.lit("large")))

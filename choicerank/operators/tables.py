@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from choicerank.operators.groups import as_list, group_quantiles
+from choicerank.operators.groups import as_list, column_quantiles
 
 
 def split_at(df: DataFrame, order: str, cuts: Mapping[str, object], rest: str,
@@ -31,7 +31,7 @@ def with_split(df: DataFrame, order: str, shares: Mapping[str, float], rest: str
     together.
     """
     picks = {name: float(share) for name, share in shares.items()}
-    bounds = group_quantiles(df, [], order, picks).first()
+    bounds = column_quantiles(df, order, picks)
     return split_at(df, order, {name: bounds[name] for name in shares}, rest, output)
 
 
@@ -76,28 +76,32 @@ def fill_all_nulls(df: DataFrame, number: float = 0, text: str = "missing") -> D
 
 
 def impute(df: DataFrame, constants: Mapping[str, object] | None = None,
-           means: Iterable[str] = ()) -> DataFrame:
-    """Fill nulls with constants, or with the mean of the whole column (one aggregation for all)."""
+           means: Iterable[str] = (), source: DataFrame | None = None) -> DataFrame:
+    """Fill nulls with constants, or with the mean of the whole column (one aggregation for all).
+
+    ``source`` is another frame with the same values, for instance a narrow copy, to take the means from.
+    """
     means = list(means)
     filled: dict[str, Column] = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in (constants or {}).items()}
     if means:
-        found = df.agg(*[F.avg(c).alias(c) for c in means]).first()
+        found = (df if source is None else source).agg(*[F.avg(c).alias(c) for c in means]).first()
         filled |= {c: F.coalesce(F.col(c).cast("double"), F.lit(found[c])) for c in means}
     return df.withColumns(filled)
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99,
-              accuracy: int | None = None) -> DataFrame:
-    """Clip a column to its global quantiles; a null stays null.
+              accuracy: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Clip a column to its global quantiles, of ``source`` if that is given; a null stays null.
 
-    Exact by default (distributed selection over distinct values). ``accuracy`` switches to
+    Exact by default (``column_quantiles``). ``accuracy`` switches to
     ``percentile_approx``, one pass.
     """
+    source = df if source is None else source
     if accuracy:
-        bounds = df.agg(F.percentile_approx(column, low, accuracy).alias("low"),
+        bounds = source.agg(F.percentile_approx(column, low, accuracy).alias("low"),
                         F.percentile_approx(column, high, accuracy).alias("high")).first()
     else:
-        bounds = group_quantiles(df, [], column, {"low": low, "high": high}).first()
+        bounds = column_quantiles(source, column, {"low": low, "high": high})
     x = F.col(column)
     return df.withColumn(column, F.when(x < F.lit(bounds["low"]), F.lit(bounds["low"]))
                          .when(x > F.lit(bounds["high"]), F.lit(bounds["high"])).otherwise(x))

@@ -1,7 +1,8 @@
 """The assembled feature job over the flight option schema.
 
-Row expressions come first, then all session statistics in one aggregation and one join, then the
-statistics of past choices (read from a small checkpointed history), then lookups.
+Row expressions come first, then all session statistics as windows over one exchange, then the statistics of past choices
+(one aggregation of the stored history for all keys), then lookups. The options are scanned three times: for a narrow copy of
+a few columns, for the history, and by whoever reads the result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from choicerank.functions import calendar, numbers, text
 from choicerank.operators import enrich, history, session, tables
-from choicerank.operators.groups import measured, scratch
+from choicerank.operators.groups import ROWS, largest_group, measured, note, scratch
 from choicerank.settings import checkpointed
 
 LEGS = (0, 1)
@@ -231,11 +232,10 @@ def history_features(df: DataFrame, past: DataFrame, offered: DataFrame) -> Data
 
 def airport_features(df: DataFrame, airports: DataFrame) -> DataFrame:
     """Country and time-zone change per leg; both legs take the stop count of the first leg."""
-    for leg in LEGS:
-        stops = [f"legs{leg}_segments{s}_arrivalTo_airport_iata" for s in SEGMENTS]
-        df = enrich.airport_enrichment(df, airports, f"legs{leg}_segments0_departureFrom_airport_iata",
-                                       enrich.last_stop(stops, "n_segments_leg0"), f"legs{leg}")
-    return df
+    return enrich.leg_enrichment(df, airports, {f"legs{leg}": (
+        f"legs{leg}_segments0_departureFrom_airport_iata",
+        enrich.last_stop([f"legs{leg}_segments{s}_arrivalTo_airport_iata" for s in SEGMENTS], "n_segments_leg0"))
+        for leg in LEGS})
 
 
 def summary_features(df: DataFrame, summary: DataFrame, group: str) -> DataFrame:
@@ -270,9 +270,14 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
     legs in the session, which no family selects.
     """
     train = F.col("split") == "train" if train is None else train
-    raw = df = measured(df, group)
-    df = initial_features(parse_durations(df))
-    df = tables.winsorize(tables.impute(df, means=["legs0_segments0_seatsAvailable"]), "price_per_tax")
+    past_rows, seats = scratch("train"), "legs0_segments0_seatsAvailable"
+    carriers = [f"legs{leg}_segments0_marketingCarrier_code" for leg in LEGS]
+    # One narrow copy serves what is needed of all rows before a frame can be given: sizes, mean, quantiles, offers.
+    narrow = checkpointed(df.select(group, label, "totalPrice", "taxes", seats, *carriers, train.alias(past_rows)))
+    ratios = numbers.price_ratios("totalPrice", "taxes")
+    df = note(df, [group], ROWS, largest_group(measured(narrow, group), group))
+    df = tables.impute(initial_features(parse_durations(df)), means=[seats], source=narrow)
+    df = tables.winsorize(df, "price_per_tax", source=narrow.select(ratios["price_per_tax"].alias("price_per_tax")))
     df = segment_features(df)
     df = tables.prune_columns(df, [
         "legs?_segments1_baggageAllowance_*", "legs?_segments[23]_aircraft_code",
@@ -292,7 +297,7 @@ def build_features(df: DataFrame, airports: DataFrame, labels: DataFrame, *, gro
         df = count_features(df, group, rows)
     df = session_features(df, group, row, rows)
     past = checkpointed(df.where(train & (F.col(label) == 1)).select(*HISTORY_COLUMNS))
-    df = history_features(df, past, raw.where(train))
+    df = history_features(df, past, narrow.where(past_rows))
     df = airport_features(df, airports)
     df = enrich.label_join(df, labels, group, "group_position")
     if summary is not None:

@@ -10,6 +10,8 @@ Set them with ``spark.conf.set`` or ``--conf``:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -50,7 +52,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_TABLES: list[str] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back: lineage ends at files that outlive
+    executors, and later readers get column pruning and filters. ``release_tables`` removes what was written."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process. Call it when no frame that reads them is needed any more."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(hadoop).delete(path, True)
