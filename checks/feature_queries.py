@@ -171,6 +171,40 @@ def search_params(df):
     return trials
 
 
+@on_options("halving_search", """
+WITH s AS (SELECT session_id, split, ('0x' || substr(md5('42|' || session_id::varchar), 1, 8))::bigint AS h FROM options
+  WHERE split <> 'test'),
+r(rung, share, trials) AS (VALUES (0, 0.1::double, 6), (1, 0.3::double, 2), (2, 0.3::double * 3, 1))
+SELECT rung, trials::bigint AS trials, CASE rung WHEN 2 THEN 1 ELSE trials // 3 + (trials < 3)::int END::bigint AS kept,
+  count(DISTINCT CASE WHEN split = 'train' THEN session_id END) AS fitted_sessions, count(*) AS n_rows
+FROM r JOIN s ON h < floor(share * 4294967296) GROUP BY rung, trials""")
+def halving_search(df):
+    """Rungs of a search over depth, step size and feature subsets: trials, survivors and the sessions of each rung."""
+    rows = checkpointed(training_rows(df).where("split <> 'test'"))
+    space = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3], "features": [None, [0, 1, 3]]}
+    _, trials = model.successive_halving(rows, space, "selected", S, [ROW], n=6, smallest=0.1,
+                                         params={"maxIter": 2, "maxBins": 64})
+    per_rung = trials.groupBy("rung").agg(F.count(F.lit(1)).alias("trials"), F.sum(F.col("kept").cast("int")).alias("kept"),
+                                          F.first("share").alias("share"))
+    out = None
+    for rung in per_rung.collect():
+        own = tables.sample_groups(rows, S, rung["share"]).agg(
+            F.lit(rung["rung"]).alias("rung"), F.lit(rung["trials"]).alias("trials"), F.lit(rung["kept"]).alias("kept"),
+            F.count_distinct(F.when(F.col("split") == "train", F.col(S))).alias("fitted_sessions"),
+            F.count(F.lit(1)).alias("n_rows"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@on_options("ranking_curve")
+def ranking_curve(df):
+    """NDCG and hit rate of training and validation rows after each boosting round, and the round to stop at."""
+    rows = checkpointed(training_rows(df).where("split <> 'test'"))
+    ranker, curve = model.train_with_stopping(rows, "selected", S, [ROW], params={"maxIter": 8, "maxDepth": 3, "maxBins": 64},
+                                              centred=True, patience=3)
+    return curve.withColumn("kept_rounds", F.lit(len(ranker.treeWeights)))
+
+
 @on_options("score_options")
 def score_options(df):
     rows, _, ranker = fitted(df)

@@ -188,3 +188,25 @@ i AS (SELECT *, CASE p WHEN 1 THEN 1.0 WHEN 2 THEN 1 + 1 / log2(3) ELSE 1.5 + 1
 SELECT round(avg(CASE WHEN p = 0 THEN 1 ELSE dcg / ideal END), 6) AS ndcg, count(*) AS n_groups FROM i""")
 def ndcg_at_3(df):
     return rounded(call(metrics.ndcg_at_k, df), "ndcg")
+
+
+@on_options("staged_metrics", """
+WITH m AS (SELECT *, CASE k WHEN 1 THEN -total_price / 50000.0::double WHEN 2 THEN -taxes / 1000.0::double
+    ELSE (cabin % 3) - total_price / 100000.0::double END AS score
+  FROM options, (VALUES (1), (2), (4)) AS ks(k) WHERE split <> 'test'),
+r AS (SELECT *, row_number() OVER (PARTITION BY split, k, session_id ORDER BY score DESC NULLS LAST, option_id) AS rank FROM m),
+g AS (SELECT split, k, session_id, count(*) AS n, min(CASE WHEN selected = 1 THEN rank END) AS first_hit,
+    least(sum(selected), 3) AS p, sum(CASE WHEN rank <= 3 THEN selected / log2(rank + 1) ELSE 0 END) AS dcg
+  FROM r GROUP BY ALL),
+i AS (SELECT *, CASE p WHEN 1 THEN 1.0 WHEN 2 THEN 1 + 1 / log2(3) ELSE 1.5 + 1 / log2(3) END AS ideal FROM g)
+SELECT split, k::int AS round, round(avg(CASE WHEN p = 0 THEN 1 ELSE dcg / ideal END), 6) AS ndcg, count(*) AS n_groups,
+  round(avg(CASE WHEN n > 4 THEN (coalesce(first_hit, 999) <= 3)::int END), 6) AS hitrate,
+  count(*) FILTER (n > 4) AS n_large
+FROM i GROUP BY split, k""")
+def staged_metrics(df):
+    """Metrics per round of scores after 1, 2 and 4 rounds, here made of columns."""
+    price, tax = F.col("total_price"), F.col("taxes")
+    margins = F.array(-price / 50000, -tax / 1000, F.col("cabin") % 3 - price / 100000)
+    out = metrics.staged_metrics(df.where("split <> 'test'").withColumn("margins", margins), S, "margins", "selected", [ROW],
+                                 rounds=[1, 2, 4], more_than=4)
+    return rounded(out, "ndcg", "hitrate")

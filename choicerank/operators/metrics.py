@@ -114,10 +114,9 @@ def hitrate_by_log_bin(df: DataFrame, group: str, score: str, label: str, ties:
             .withColumn("bin_center", F.get(centers, inside)).orderBy("bin_center"))
 
 
-def ndcg_at_k(df: DataFrame, group: str, score: str, label: str, ties: Sequence[str], k: int = 3,
-              empty: float = 1.0) -> DataFrame:
-    """Mean NDCG at k with gain 1 for a chosen row; a group without one counts ``empty``."""
-    keys = as_list(group)
+def group_ndcg(df: DataFrame, keys: Sequence[str], score: str, label: str, ties: Sequence[str], k: int = 3,
+               empty: float = 1.0) -> DataFrame:
+    """``keys`` and ``ndcg`` at k of each group, with gain 1 for a chosen row; a group without one has ``empty``."""
     place, gain, chosen = scratch("place"), scratch("gain"), scratch("chosen")
     totals = df.groupBy(*keys).agg(F.sum(F.col(label).cast("bigint")).alias(chosen))
     gains = (top_rows(df, keys, best_first(score, ties), k, place).groupBy(*keys)
@@ -125,5 +124,44 @@ def ndcg_at_k(df: DataFrame, group: str, score: str, label: str, ties: Sequence[
     ideal = [sum(1 / math.log2(i + 1) for i in range(1, n + 1)) for n in range(k + 1)]
     best = F.get(F.array(*[F.lit(float(x)) for x in ideal]), F.least(F.col(chosen), F.lit(k)).cast("int"))
     value = F.when(F.coalesce(F.col(chosen), F.lit(0)) == 0, F.lit(empty)).otherwise(F.col(gain) / best)
-    return (join_on(totals, gains, keys, null_keys=True)
-            .agg(F.avg(value).alias("ndcg"), F.count(F.lit(1)).alias("n_groups")))
+    return join_on(totals, gains, keys, null_keys=True).select(*keys, value.alias("ndcg"))
+
+
+def ndcg_at_k(df: DataFrame, group: str | Sequence[str], score: str, label: str, ties: Sequence[str], k: int = 3,
+              empty: float = 1.0) -> DataFrame:
+    """Mean NDCG at k with gain 1 for a chosen row; a group without one counts ``empty``."""
+    return (group_ndcg(df, as_list(group), score, label, ties, k, empty)
+            .agg(F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).alias("n_groups")))
+
+
+def staged_metrics(df: DataFrame, group: str, margins: str, label: str, ties: Sequence[str], by: Sequence[str] = ("split",),
+                   rounds: Sequence[int] | None = None, k: int = 3, more_than: int = 10) -> DataFrame:
+    """Ranking metrics after every boosting round, from an array with the score of each row after each round.
+
+    ``by``, ``round``, ``ndcg`` over all groups, ``hitrate`` over those with more than ``more_than`` rows, and their numbers. All
+    rounds share one pass: a round is one more key of the group, and only the k best rows of a group and round are shuffled.
+    ``rounds`` names the places of the array, by default 1, 2, ...
+    """
+    scores, score, one = F.col(margins), scratch("score"), scratch("one")
+    if rounds is None:
+        pairs = F.transform(scores, lambda x, i: F.struct((i + 1).alias("round"), x.alias(score)))
+    else:
+        pairs = F.arrays_zip(F.array(*[F.lit(int(r)) for r in rounds]).alias("round"), scores.alias(score))
+    staged = df.select(*by, group, *ties, F.col(label).alias(one), F.inline(pairs).alias("round", score))
+    keys = [*by, "round", group]
+    gains = group_ndcg(staged, keys, score, one, ties, k).groupBy(*by, "round").agg(
+        F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).alias("n_groups"))
+    hits = group_hits(staged, keys, best_first(score, ties), one, k, more_than).groupBy(*by, "round").agg(
+        F.avg(hit(k)).alias("hitrate"), F.count(F.lit(1)).alias("n_large"))
+    return join_on(gains, hits, [*by, "round"], null_keys=True)
+
+
+def best_round(curve: DataFrame, by: str, value: object, patience: int | None = None, metric: str = "ndcg") -> int:
+    """The earliest round with the best metric; with ``patience``, before as many rounds without a better one."""
+    best, at = None, 0
+    for row in curve.where(F.col(by) == F.lit(value)).orderBy("round").select("round", metric).collect():
+        if best is None or row[1] > best:
+            best, at = row[1], row[0]
+        elif patience is not None and row[0] - at >= patience:
+            break
+    return at

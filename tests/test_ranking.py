@@ -111,3 +111,35 @@ def test_options_are_ranked_end_to_end(spark):
     possible = run.scored.where("split = 'val'").groupBy("ranker_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("selected").alias("any")).where("n > 4").agg(F.avg("any")).first()[0]
     assert {r["k"]: r["hitrate"] for r in run.hits.collect()}[3] >= 0.95 * possible
+
+
+def test_staged_scores_end_at_the_score(spark):
+    rows, train, ranker = fitted(options(spark, DATA))
+    staged, rounds = model.staged_scores(model.score(rows, ranker), ranker, every=3)
+    assert rounds == [3, 4]
+    assert staged.where("abs(margins[1] - pred_score) > 1e-9 or size(margins) <> 2").count() == 0
+    short = model.first_trees(ranker, 3)
+    assert len(short.treeWeights) == 3
+    again = model.score(staged.drop("pred_score"), short)
+    assert again.where("abs(margins[0] - pred_score) > 1e-9").count() == 0
+    curve = {(r["split"], r["round"]): r for r in model.ranking_curve(rows, ranker, "selected", S, [ROW]).collect()}
+    assert {r for _, r in curve} == {1, 2, 3, 4}
+    val = model.score(rows.where("split = 'val'"), ranker)
+    assert curve["val", 4]["ndcg"] == pytest.approx(metrics.ndcg_at_k(val, S, "pred_score", "selected", [ROW]).first()["ndcg"])
+    hits = metrics.hitrate_at_k(val, S, "pred_score", "selected", [ROW]).first()
+    assert (curve["val", 4]["hitrate"], curve["val", 4]["n_large"]) == (hits["hitrate"], hits["n_groups"])
+
+
+def test_best_round_and_patience(spark):
+    curve = spark.createDataFrame([("val", i + 1, v) for i, v in enumerate([0.1, 0.3, 0.2, 0.25, 0.3, 0.4])]
+                                  + [("train", 1, 0.9)], "split string, round int, ndcg double")
+    assert metrics.best_round(curve, "split", "val") == 6
+    assert metrics.best_round(curve, "split", "val", 2) == 2
+    assert metrics.best_round(curve, "split", "test") == 0
+
+
+def test_trials_are_different_and_repeatable():
+    space = {"a": [1, 2, 3], "b": [None, [0, 1]], "c": "xyz"}
+    trials = model.trial_params(space, 10)
+    assert len({str(t) for t in trials}) == 10 and trials == model.trial_params(space, 10)
+    assert len(model.trial_params(space, 100)) == 18
