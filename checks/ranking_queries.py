@@ -53,11 +53,11 @@ def submission(df):
 @on_options("pair_similarity", """
 WITH t AS (SELECT *, coalesce(epoch_us(try_cast(departure_at AS timestamp)), 0) / 1e6 AS t0,
     coalesce(epoch_us(try_cast(return_at AS timestamp)), 0) / 1e6 AS t1 FROM options),
-p AS (SELECT session_id, option_id, t0, t1, carrier, cabin,
-    row_number() OVER (PARTITION BY session_id ORDER BY option_id) AS i FROM t)
-SELECT b.option_id, round((greatest(0.0, 1 - abs(a.t0 - b.t0) / 3600 / 24) + greatest(0.0, 1 - abs(a.t1 - b.t1) / 3600 / 24)
-  + (a.carrier IS NOT DISTINCT FROM b.carrier)::int + (a.cabin IS NOT DISTINCT FROM b.cabin)::int) / 4, 6) AS similarity
-FROM p a JOIN p b ON a.session_id = b.session_id AND a.i = 1""")
+p AS (SELECT option_id, t0, t1, carrier, cabin, first_value({'t0': t0, 't1': t1, 'carrier': carrier, 'cabin': cabin})
+    OVER (PARTITION BY session_id ORDER BY option_id) AS a FROM t)
+SELECT option_id, round((greatest(0.0, 1 - abs(a.t0 - t0) / 3600 / 24) + greatest(0.0, 1 - abs(a.t1 - t1) / 3600 / 24)
+  + (a.carrier IS NOT DISTINCT FROM carrier)::int + (a.cabin IS NOT DISTINCT FROM cabin)::int) / 4, 6) AS similarity
+FROM p""")
 def pair_similarity(df):
     """Every option beside the first of its session."""
     columns = ["departure_at", "return_at", "carrier", "cabin"]
@@ -75,19 +75,19 @@ def mmr_round(i: int) -> str:
     value = "s.score" if i == 1 else f"0.7::double * s.score - (1 - 0.7::double) * greatest({like})"
     joins = "".join(f" JOIN w{j} ON s.session_id = w{j}.session_id AND s.option_id <> w{j}.option_id" for j in range(1, i))
     return f"""
-w{i} AS (SELECT s.*, {i} AS place FROM s{joins}
+w{i} AS MATERIALIZED (SELECT s.*, {i} AS place FROM s{joins}
   QUALIFY row_number() OVER (PARTITION BY s.session_id ORDER BY {value} DESC, s.option_id) = 1)"""
 
 
 @on_options("mmr_rerank", f"""
-WITH s AS (SELECT session_id, option_id, -total_price / 50000.0::double AS score, carrier, cabin,
+WITH s AS MATERIALIZED (SELECT session_id, option_id, -total_price / 50000.0::double AS score, carrier, cabin,
     coalesce(epoch_us(try_cast(departure_at AS timestamp)), 0) / 1e6 AS t0,
     coalesce(epoch_us(try_cast(return_at AS timestamp)), 0) / 1e6 AS t1 FROM options),
-{','.join(mmr_round(i) for i in (1, 2, 3))}
+{','.join(mmr_round(i) for i in range(1, 11))}
 SELECT session_id, option_id, place::bigint AS new_selected, round(score, 9) AS pred_score
-FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)""")
+FROM ({' UNION ALL '.join(f'SELECT * FROM w{i}' for i in range(1, 11))})""")
 def mmr_rerank(df):
-    out = rerank.mmr_rerank(scored(df), S, ROW, "score", ["departure_at", "return_at"], ITEM, top_k=3)
+    out = rerank.mmr_rerank(scored(df), S, ROW, "score", ["departure_at", "return_at"], ITEM)
     return rounded(out, "pred_score", places=9)
 
 

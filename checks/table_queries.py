@@ -51,6 +51,56 @@ def json_explode(spark, sf_dir):
     return out.withColumn("n_labels", F.size("labels")).drop("labels")
 
 
+@query("extract_labels", plain_sql="""
+WITH o AS (SELECT o_custkey % 64 AS doc, o_orderkey, o_totalprice, o_orderpriority FROM orders)
+SELECT doc::varchar AS ranker_id, (o_orderkey % 5 + 1)::double AS row_id, round(o_totalprice, 2) AS "totalPrice",
+  o_orderpriority AS category, (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::int AS n_labels, false AS broken
+FROM o WHERE doc % 5 <> 4
+UNION ALL SELECT DISTINCT doc::varchar, NULL::double, NULL::double, NULL, 0::int, true FROM o WHERE doc % 5 = 4""")
+def extract_labels(spark, sf_dir):
+    """Orders as 64 JSON documents in files of their own, every fifth broken off; read back, written and read as labels."""
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    doc = F.col("o_custkey") % 64
+    offers = F.struct((F.col("o_orderkey") % 5).alias("ordinal"), F.round("o_totalprice", 2).alias("totalPrice"),
+                      F.col("o_orderpriority").alias("category"),
+                      F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("BestPrice"))).alias("labels"))
+    pricings = table(spark, sf_dir, "orders").groupBy(doc.alias("doc")).agg(F.collect_list(offers).alias("pricings"))
+    flights = F.array(F.struct("pricings"))
+    text = F.to_json(F.struct(F.struct(flights.alias("$values")).alias("data")))
+    cut = F.when(F.col("doc") % 5 == 4, F.left(text, F.length(text) - 3)).otherwise(text)
+    pricings.select("doc", cut.alias("value")).write.partitionBy("doc").text(folder)
+    good, bad = sources.extract_labels(spark, folder, glob="*.txt", key=r"/doc=([0-9]+)/")
+    sources.write_result(good, f"{folder}-labels")
+    labels = sources.read_labels(spark, f"{folder}-labels")
+    out = labels.select("ranker_id", F.col("row_id").cast("bigint").alias("row_id"), "totalPrice", "category",
+                        F.size("labels").alias("n_labels"), F.lit(False).alias("broken"))
+    none = bad.select("ranker_id", F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string"),
+                      F.lit(0), F.lit(True))
+    return nullable(out.union(none), "row_id", "totalPrice")
+
+
+@query("read_airports", plain_sql="""
+SELECT 'N' || n_nationkey AS "IATA", CASE WHEN n_nationkey % 6 <> 0 THEN (n_nationkey % 24 - 12)::double END AS "UTC_Offset_Hours",
+  r_name AS "Country_CodeA2" FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def read_airports(spark, sf_dir):
+    """Nations as an airport file with its columns in another order, one more, and offsets that are no numbers."""
+    path = f"{shared_folder(spark)}/airports-{uuid.uuid4().hex}"
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    offset = F.when(F.col("n_nationkey") % 6 == 0, F.lit("none")).otherwise((F.col("n_nationkey") % 24 - 12).cast("string"))
+    places.select(F.col("r_name").alias("Country_CodeA2"), F.lit(1).alias("GeoPointLat"), offset.alias("UTC_Offset_Hours"),
+                  F.concat(F.lit("N"), "n_nationkey").alias("IATA")).write.csv(path, header=True)
+    return sources.read_airports(spark, path).select("IATA", "UTC_Offset_Hours", "Country_CodeA2")
+
+
+@query("read_summary", plain_sql="SELECT p_partkey AS session_id, p_size::bigint AS p_size, p_brand FROM part")
+def read_summary(spark, sf_dir):
+    path = f"{shared_folder(spark)}/summary-{uuid.uuid4().hex}"
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(S), F.col("p_size").cast("bigint").alias("p_size"),
+                                                "p_brand")
+    sources.write_result(parts, path)
+    return sources.read_summary(spark, path)
+
+
 @query("json_props", plain_sql="""
 SELECT event_id, json_extract_string(props, '$.k')::bigint AS k FROM events""")
 def json_props(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from choicerank.settings import checkpointed
 from choicerank.sources.schemas import AIRPORTS, SESSION_DOCUMENT
 
 HELPER_COLUMNS = ("__index_level_0__",)
@@ -53,18 +54,20 @@ def explode_pricings(documents: DataFrame, session: str) -> DataFrame:
                     F.coalesce(offer["labels"], F.array().cast("array<string>")).alias("labels")))
 
 
-def extract_labels(spark: SparkSession, path: str, session: str = "ranker_id") -> tuple[DataFrame, DataFrame]:
+def extract_labels(spark: SparkSession, path: str, session: str = "ranker_id", glob: str = "*.json",
+                   key: str = r"([^/]+)\.json$") -> tuple[DataFrame, DataFrame]:
     """Labels of a folder with one JSON file per session, and the files that could not be read.
 
-    The session key is the file name without its ending. A broken file gives no rows and does not
-    stop the job.
+    The session key is the first group of ``key`` in the file's path, by default its name without the ending. A broken file
+    gives no rows and does not stop the job. Files are read and parsed once: labels and broken files come from one stored table.
     """
     broken = "_corrupt_record"
     schema = T.StructType([*SESSION_DOCUMENT.fields, T.StructField(broken, T.StringType())])
-    files = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-             .select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias(session),
-                     F.from_json("value", schema, {"columnNameOfCorruptRecord": broken}).alias("document"))
-             .select(session, "document.data", F.col("document").getField(broken).alias(broken)))
+    files = checkpointed(
+        spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+        .select(F.regexp_extract("_metadata.file_path", key, 1).alias(session),
+                F.from_json("value", schema, {"columnNameOfCorruptRecord": broken}).alias("document"))
+        .select(session, "document.data", F.col("document").getField(broken).alias(broken)))
     good = files.where(F.col(broken).isNull())
     bad = files.where(F.col(broken).isNotNull()).select(session, broken)
     return explode_pricings(good, session), bad
