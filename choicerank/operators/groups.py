@@ -8,12 +8,8 @@ results stay right.
 ``attach``   statistics of the group on every row. If no group is above ``spark.choicerank.hotRows``, windows over the group:
              one scan, and one exchange for any number of them, or none over a table bucketed by the group. Otherwise
              they are aggregated (map-side combine) and joined back, which adaptive execution can split at a hot key.
-``running``  an ordered position or running sum. Ordinary groups use a window, on the same exchange. A group above the limit
-             is cut by value ranges into parts that are numbered apart and shifted by the rows of the
-             parts before, so no task sorts a hot group alone.
-
-All hot groups are cut, level by level, until no part is above the limit or can be cut. Their list, bounds and shifts are
-ordinary tables in the shared folder: they are broadcast if they measure small and joined by shuffle otherwise.
+``running``  an ordered position or running sum. Ordinary groups use a window, on the same exchange. Otherwise a segmented
+             prefix scan cuts groups of any size by ranges of their order, so no task sorts a hot group alone.
 """
 
 from __future__ import annotations
@@ -30,8 +26,6 @@ from pyspark.sql import types as T
 
 from choicerank.settings import checkpointed, setting
 
-SAMPLES_PER_PART = 16
-
 _serial = counter()
 
 
@@ -226,8 +220,8 @@ def running(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], n
         df = df.withColumn(made_key, F.lit(0))
         keys = [made_key]
     df = measured(df, keys)
-    hot = hot_groups(df, keys) if has_hot_groups(df, keys) else None
-    out = _running(df, keys, list(order), name, weight, total, hot)
+    way = _scanned_running if has_hot_groups(df, keys) else _windowed_running
+    out = way(df, keys, list(order), name, weight, total)
     return out.drop(made_key) if made_key else out
 
 
@@ -235,80 +229,44 @@ def amount(weight: Column | None) -> Column:
     return F.count(F.lit(1)) if weight is None else F.sum(weight)
 
 
-def _running(df, keys, order, name, weight, total, hot):
-    """``hot`` holds the groups that are to be cut and their rows ``n``.
-
-    Order values are unique, so cutting makes groups smaller at every level. A part that it did not make smaller,
-    as they are not unique after all, has nothing left to be cut by and is numbered as it is; the others are cut on.
-    """
-    if hot is None:
-        w = Window.partitionBy(*keys)
-        ordered = w.orderBy(*ascending(order))
-        if weight is None:
-            added = {name: long(F.row_number().over(ordered))}
-        else:
-            upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            added = {name: F.sum(weight).over(upto)}
-        if total:
-            added[total] = amount(weight).over(w)
-        return over_group(df, keys, added)
-
-    part, before, whole = scratch("part"), scratch("before"), scratch("whole")
-    cut = _cut(df, keys, order, hot, part)
-    sums = (cut.where(F.col(part).isNotNull()).groupBy(*keys, part)
-            .agg(amount(weight).alias(whole)))
+def _windowed_running(df, keys, order, name, weight, total):
     w = Window.partitionBy(*keys)
-    shifts = sums.withColumns({
-        before: F.coalesce(F.sum(whole).over(
-            w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        whole: F.sum(whole).over(w),
-    })
-    # checkpointed so that a deeper level does not repeat this one
-    cut = join_on(cut, checkpointed(shifts), [*keys, part], null_keys=True, broadcast=True)
-    inner, inner_total = scratch("inner"), scratch("total")
-    out = _running(cut, [*keys, part], order, inner, weight, inner_total if total else None,
-                   _still_hot(cut, keys, part, hot))
-    added = {name: F.col(inner) + F.coalesce(F.col(before), F.lit(0))}
+    ordered = w.orderBy(*ascending(order))
+    if weight is None:
+        added = {name: long(F.row_number().over(ordered))}
+    else:
+        added = {name: F.sum(weight).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
     if total:
-        added[total] = F.coalesce(F.col(whole), F.col(inner_total))
-    return out.withColumns(added).drop(part, before, whole, inner, inner_total)
-
+        added[total] = amount(weight).over(w)
+    return over_group(df, keys, added)
 
-def _still_hot(cut, keys, part, above):
-    """The parts above the row limit that are smaller than the group they were cut from (None if there is none)."""
-    found = hot_groups(cut.where(F.col(part).isNotNull()), [*keys, part])
-    if found is None:
-        return None
-    size = scratch("size")
-    smaller = checkpointed(join_on(found, above.withColumnRenamed("n", size), keys, how="inner", null_keys=True,
-                                   broadcast=True).where(F.col("n") < F.col(size)).drop(size))
-    return None if smaller.isEmpty() else smaller
 
+def _scanned_running(df, keys, order, name, weight, total):
+    """A segmented prefix scan: rows are dealt to tasks by ranges of (keys, order) and sorted there, so a group of any size is
+    cut wherever a range ends. What a row has before it in its own task comes from its place there (or a running sum inside
+    the task's part of the group), what the tasks before hold from a table of one row a task and group.
 
-def _cut(df, keys, order, hot, part):
-    """Add the value-range part of each hot row; rows of other groups get null.
-
-    The bounds are quantiles of a sample thinned by a hash of the order columns, so a recomputed
-    task finds the same bounds. The sample decides only how even the parts are, not the result.
+    The sorted rows are stored, as ranges come from samples and must not change when a task is run again.
     """
-    parts = setting(df.sparkSession, "parts")
-    bounds, size = scratch("bounds"), scratch("n")
-    place = F.struct(*[c.alias(f"c{i}") for i, c in
-                       enumerate(x for o in order for x in (o.isNull(), o))])
-    hot = hot.withColumnRenamed("n", size)
-    every = F.greatest(F.lit(1), F.floor(F.col(size) / (parts * SAMPLES_PER_PART)))
-    sample = (join_on(df, hot, keys, how="inner", null_keys=True, broadcast=True)
-              .where(F.pmod(F.xxhash64(*order), every) == 0)
-              .groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias(bounds)))
-    cuts = sample.withColumn(bounds, F.transform(
-        F.sequence(F.lit(1), F.lit(parts - 1)),
-        lambda i: F.get(F.col(bounds), F.floor(i * F.size(bounds) / parts).cast("int"))))
-    table = join_on(hot.drop(size), cuts, keys, null_keys=True).withColumn(
-        bounds, F.coalesce(F.col(bounds), F.array().cast(cuts.schema[bounds].dataType)))
-    tagged = join_on(df, checkpointed(table), keys, null_keys=True, broadcast=True)
-    return tagged.withColumn(part, F.when(
-        F.col(bounds).isNotNull(),
-        F.size(F.filter(F.col(bounds), lambda b: b < place)))).drop(bounds)
+    spot, part, first, own, before, whole = (scratch(x) for x in ("spot", "part", "first", "own", "before", "whole"))
+    spark = df.sparkSession
+    n = max(setting(spark, "parts"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *ascending(order)]
+    rows = checkpointed(df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+                        .withColumn(spot, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftright(spot, 33))
+    w = Window.partitionBy(*keys)
+    earlier = w.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carries = (rows.groupBy(*keys, part).agg(F.min(spot).alias(first), amount(weight).alias(own))
+               .withColumns({before: F.coalesce(F.sum(own).over(earlier), F.lit(0)), whole: F.sum(own).over(w)}).drop(own))
+    out = join_on(rows, carries, [*keys, part], how="inner", null_keys=True)
+    if weight is None:
+        here = F.col(spot) - F.col(first) + 1
+    else:
+        here = F.sum(weight).over(Window.partitionBy(*keys, part).orderBy(spot)
+                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    added = {name: here + F.col(before)} | ({total: F.col(whole)} if total else {})
+    return out.withColumns(added).drop(spot, part, first, before, whole)
 
 
 def top_rows(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], k: int,

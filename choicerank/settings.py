@@ -3,7 +3,7 @@
 Set them with ``spark.conf.set`` or ``--conf``:
 
 ``spark.choicerank.hotRows``        a group above this many rows is never sorted in one task
-``spark.choicerank.parts``          pieces a hot group is cut into, per level
+``spark.choicerank.parts``          ranges that rows with hot groups are dealt to, at least
 ``spark.choicerank.broadcastRows``  a lookup table above this many rows is not broadcast
 ``spark.choicerank.broadcastBytes``  nor one above this many bytes
 """

@@ -74,38 +74,45 @@ def test_all_hot_groups_are_found(spark, settings):
     assert groups.hot_groups(rows, ["g"]).count() == 6_000
 
 
-def test_groups_are_cut_until_none_is_hot(spark, settings):
-    settings(hotRows=30, parts=2)
-    rows = spark.range(100).select(F.lit(1).alias("g"), ((F.col("id") * 79) % 100).alias("v"))
+def test_a_hot_group_is_cut_into_ranges(spark, settings):
+    settings(hotRows=30, parts=20)
+    rows = spark.range(1000).select(F.lit(1).alias("g"), ((F.col("id") * 79) % 1000).alias("v"))
     placed = groups.running(rows, "g", [F.col("v")], "place", total="n")
-    assert placed.where("place <> v + 1 OR n <> 100").count() == 0
+    assert placed.where("place <> v + 1 OR n <> 1000").count() == 0
+    sums = groups.running(rows, "g", [F.col("v")], "upto", weight=F.col("v"), total="all")
+    assert sums.where("upto <> v * (v + 1) / 2 OR all <> 499500").count() == 0
 
 
-def test_order_that_cannot_be_cut_ends(spark, settings):
-    settings(hotRows=5, parts=2)
-    rows = spark.range(40).select(F.lit(1).alias("g"), F.lit(3).alias("v"))
-    assert sorted(r.place for r in groups.running(rows, "g", [F.col("v")], "place").collect()) == list(range(1, 41))
-
-
-def test_a_group_that_cannot_be_cut_does_not_stop_the_others(spark, settings):
-    settings(hotRows=30, parts=2)
+def test_equal_order_values_beside_a_group_that_can_be_cut(spark, settings):
+    settings(hotRows=30, parts=10)
     alone = spark.range(400).select(F.lit(1).alias("g"), ((F.col("id") * 79) % 400).alias("v"))
-    rows = alone.union(spark.range(900).select(F.lit(2).alias("g"), F.lit(3).alias("v")))
-    levels = []
-    inner = groups._cut
-
-    def counted(*args):
-        levels.append(1)
-        return inner(*args)
-
-    groups._cut = counted
-    try:
-        placed = groups.running(rows, "g", [F.col("v")], "place", total="n")
-        assert placed.where("g = 1 and (place <> v + 1 or n <> 400)").count() == 0
-        assert sorted(r.place for r in placed.where("g = 2").collect()) == list(range(1, 901))
-    finally:
-        groups._cut = inner
-    assert len(levels) >= 4  # 400 rows in halves until none has more than 30
+    rows = alone.union(spark.range(900).select(F.lit(2).alias("g"), F.lit(3).alias("v"))).union(
+        spark.range(50).select(F.lit(None).cast("int").alias("g"), F.col("id").alias("v")))
+    placed = groups.running(rows, "g", [F.col("v")], "place", total="n").cache()
+    assert placed.where("g = 1 and (place <> v + 1 or n <> 400)").count() == 0
+    assert placed.where("g is null and (place <> v + 1 or n <> 50)").count() == 0
+    assert sorted(r.place for r in placed.where("g = 2").collect()) == list(range(1, 901))
+
+
+def test_column_quantiles_narrow_until_they_are_exact(spark, monkeypatch):
+    """Coarse brackets and few collected values: several levels, heavy ties at and between the ends, values that are missed."""
+    import random
+
+    rng = random.Random(4)
+    for values in ([rng.random() for _ in range(4000)], [5.0] * 3000 + [rng.random() * 10 for _ in range(900)],
+                   [1.0, 2.0] * 1500, [7.0], [float(rng.randrange(40)) for _ in range(2500)] + [float("nan")] * 30):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        ordered = sorted(values, key=lambda v: (v != v, v))
+        picks = {"low": 0.01, "q": 0.25, "m": "median", "high": 0.99, "top": 1.0, "bottom": 0.0}
+        n = len(values)
+        want = {k: ordered[int(q * (n - 1) + 0.5)] for k, q in picks.items() if q != "median"}
+        want["m"] = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+        for accuracy, few in ((groups.ACCURACY, groups.FEW), (20, 5)):
+            monkeypatch.setattr(groups, "ACCURACY", accuracy)
+            monkeypatch.setattr(groups, "FEW", few)
+            monkeypatch.setattr(groups, "_AROUND", (-2 / accuracy, 2 / accuracy))
+            assert str(groups.column_quantiles(df, "x", picks)) == str({k: want[k] for k in picks})
+    assert groups.column_quantiles(df.limit(0), "x", {"a": 0.5}) == {"a": None}
 
 
 @pytest.mark.parametrize("partitions", [1, 4, 50])

@@ -149,6 +149,44 @@ def test_no_products_and_no_python_rows(spark, name):
         assert word not in text
 
 
+@pytest.mark.parametrize("name", ["nunique_in_group", "carrier_behaviour", "build_features", "dense_encode", "winsorize",
+                                  "time_split"])
+def test_rows_are_not_expanded(spark, name):
+    assert "Expand" not in plan(entry.queries()[name](spark, DATA))
+
+
+def test_all_keys_of_a_history_share_an_exchange(spark):
+    """Thirty statistics of ten keys: the past is read once, and one table is stored."""
+    df = options(spark, DATA)
+    past = groups_of = df.where("selected = 1")
+    keys = ["carrier", "company_id", "profile_id", "tariff_code", "search_route", "operating_carrier", "cabin", "split"]
+    specs = [history.HistorySpec([k], [history.Stat(f"{k}_n", F.count(F.lit(1)), 0),
+                                       history.Stat(f"{k}_m", F.avg("total_price"), history.GLOBAL)], history=past)
+             for k in keys]
+    kinds = history._Kinds(past, [[k] for k in keys])
+    text = plan(kinds.aggregate({"n": F.count(F.lit(1))}))
+    assert text.count("hashpartitioning") == 1 and "Expand" not in text
+    out = history.with_history(df, *specs)
+    want = df
+    for k in keys:
+        own = groups_of.groupBy(k).agg(F.count(F.lit(1)).alias("a"), F.avg("total_price").alias("b")).dropna(subset=[k])
+        overall = groups_of.agg(F.avg("total_price")).first()[0]
+        want = want.join(own, k, "left").withColumns({f"{k}_n": F.coalesce("a", F.lit(0)).cast("bigint"),
+                                                      f"{k}_m": F.coalesce("b", F.lit(overall))}).drop("a", "b")
+    names = ["option_id", *[f"{k}_{x}" for k in keys for x in "nm"]]
+
+    def rounded(frame):
+        return frame.select("option_id", *[F.round(c, 5).alias(c) for c in names[1:]]).toPandas()
+
+    assert_same(rounded(out), rounded(want))
+
+
+def test_the_feature_job_reads_the_options_three_times(spark):
+    out = features(spark, DATA)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("lineitem.parquet") == 1  # the copy and the history were read before
+
+
 def test_catalogue_counts():
     numeric, categorical, excluded = feature_lists(FAMILIES)
     assert (len(numeric), len(categorical)) == (106, 126)

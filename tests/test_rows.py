@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from choicerank.functions import calendar, numbers, text
 from choicerank.operators import enrich, session, tables
+from choicerank.operators import history
 from choicerank.operators.history import GLOBAL, NULL_KEY, Stat, cabin_share_pivot, company_stats, density_mode, history_stats
 
 
@@ -187,3 +189,23 @@ def test_cabin_nobody_chose_is_zero(choices):
 def test_density_mode_of_a_constant(spark):
     assert density_mode(spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double"), "x") == 2.0
     assert density_mode(spark.createDataFrame([(None,)], "x double"), "x") is None
+
+
+def test_density_against_the_plain_sum(spark):
+    """The series per cell gives what the sum over all values gives, also with outliers, ties and two columns at once."""
+    rng = np.random.default_rng(3)
+    a = np.concatenate([rng.normal(0, 1, 4000), rng.normal(9, 0.2, 500), [250.0, -90.0], np.repeat(2.5, 300)])
+    b = rng.exponential(3.0, len(a)).round(1)
+    df = spark.createDataFrame([(float(x), float(y), 1.5) for x, y in zip(a, b)] + [(None, float("nan"), None)],
+                               "a double, b double, c double")
+    curves, constant = history.density_curves(df, ["a", "b", "c"])
+    found = curves.toPandas()
+    assert constant == {"c": 1.5} and set(found["column"]) == {"a", "b"}
+    for name, values in (("a", a), ("b", b)):
+        width = values.std(ddof=1) * len(values) ** -0.2
+        grid = np.linspace(values.min(), values.max(), 1000)
+        want = np.exp(-0.5 * ((grid[:, None] - values) / width) ** 2).sum(1) / (len(values) * width * np.sqrt(2 * np.pi))
+        got = found[found["column"] == name].sort_values("i")
+        assert np.allclose(got["x"], grid[got["i"]]) and np.abs(got["density"] - want[got["i"]]).max() < 1e-14
+        assert np.delete(want, got["i"]).sum() < 1e-14
+        assert history.density_mode(df, name) == pytest.approx(grid[want.argmax()])
