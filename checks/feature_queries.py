@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.fixture import AIRPORTS, FLIGHTS, airports, flights, labels
+from checks.history_queries import mode_ctes
 from checks.registry import nullable, on_options, query, rounded
 from choicerank.operators import encode, metrics, model, session, tables
 from choicerank.plans.catalogue import FAMILIES
@@ -116,6 +117,124 @@ def all_features(spark, sf_dir):
     return nullable(out, "has_any_label")
 
 
+def carrier_sql(leg: int) -> str:
+    c = f"legs{leg}_segments0_marketingCarrier_code"
+    shares = ", ".join(f"sum((cab{leg} = {i})::int) AS k{i}" for i in (1, 2, 3, 4))
+    return f"""
+c{leg} AS (SELECT {c} AS c, count(*) AS n, avg(pr) AS pr, avg(dr) AS dr, avg(h{leg}) AS h, avg((h{leg} < 6)::int) AS night,
+    count(DISTINCT companyID) AS companies, count(DISTINCT profileId) AS users, {shares} FROM chosen WHERE {c} IS NOT NULL GROUP BY 1),
+o{leg} AS (SELECT {c} AS c, count(*) AS n, sum(selected) AS k FROM f WHERE split = 'train' GROUP BY 1)"""
+
+
+def carrier_outputs(leg: int) -> str:
+    p, c, o = f"legs{leg}_Carrier_code", f"c{leg}", f"o{leg}"
+    shares = ", ".join(f"round(CASE WHEN ever{leg}{i} = 0 THEN 0 WHEN {c}.k{i} > 0 THEN {c}.k{i} / ({c}.n + 0.00001::double) END, 6) "
+                       f"AS {p}_cabin{i}_select_ratio" for i in (1, 2, 3, 4))
+    return f"""round(coalesce({c}.pr, t.pr), 6) AS {p}_avg_price_rank, round(coalesce({c}.dr, t.dr), 6) AS {p}_avg_duration_rank,
+  round(coalesce({c}.h, 12), 6) AS {p}_avg_dep_hour, round(coalesce({c}.night, 0), 6) AS {p}_night_ratio,
+  coalesce({c}.companies, 0) AS {p}_company_diversity, coalesce({c}.users, 0) AS {p}_user_diversity, {shares},
+  round(coalesce({o}.k / {o}.n, 0), 6) AS {p}_selection_rate, round(coalesce(ln(1 + {o}.n), 0), 6) AS {p}_log_total_count,
+  round(coalesce(ln(1 + {o}.k), 0), 6) AS {p}_log_selected_count"""
+
+
+def route_outputs(name: str) -> str:
+    return f"""coalesce({name}.n, 0) AS {name}_hotness, round(coalesce({name}.lp, t.lp), 6) AS {name}_avg_price,
+  round(coalesce({name}.total, t.total), 6) AS {name}_avg_duration, round(coalesce({name}.tariff, 0), 6) AS {name}_policy_rate,
+  round({name}.direct, 6) AS {name}_direct_ratio"""
+
+
+EVER = ", ".join(f"sum((cab{leg} = {i})::int) AS ever{leg}{i}" for leg in (0, 1) for i in (1, 2, 3, 4))
+
+
+@query("feature_history", f"""
+WITH {FLIGHT_SQL},
+w AS (SELECT *, coalesce(hour(try_cast(legs1_departureAt AS timestamp)), -1) AS h1, coalesce(legs0_segments0_cabinClass, 0) AS cab0,
+    coalesce(legs1_segments0_cabinClass, 0) AS cab1, (corporateTariffCode IS NOT NULL)::int AS tariff,
+    coalesce(corporateTariffCode IS NOT NULL AND pricingInfo_isAccessTP = 1, false)::int AS policy,
+    (direct0 = 1 AND direct1 = 1)::int AS direct_both FROM g),
+chosen AS (SELECT * FROM w WHERE split = 'train' AND selected = 1),
+t AS (SELECT avg(lp) AS lp, stddev_samp(lp) AS sd, avg(pr) AS pr, avg(dr) AS dr, avg(ln(1 + total)) AS total, {EVER} FROM chosen),
+{mode_ctes('p', 'pr')}, {mode_ctes('q', 'dr')},
+own AS (SELECT companyID AS c, count(*) AS n, avg(lp) AS lp, stddev_samp(lp) AS sd, avg(direct0) AS d0, avg(direct1) AS d1,
+    avg(direct_both) AS d2, avg((h0 < 6)::int) AS n0, avg((h1 < 6)::int) AS n1, avg(pr) AS pr, avg(dr) AS dr, avg(policy) AS policy
+  FROM chosen GROUP BY 1),
+{carrier_sql(0)}, {carrier_sql(1)},
+u AS (SELECT profileId AS c, count(*) AS n, avg(pr) AS pr, avg(dr) AS dr FROM chosen GROUP BY 1),
+k AS (SELECT corporateTariffCode AS c, count(*) AS n, avg(pr) AS pr, avg(dr) AS dr FROM chosen GROUP BY 1),
+z AS (SELECT * FROM k WHERE c IS NULL),
+outbound_route AS (SELECT r[1] AS c, count(*) AS n, avg(lp) AS lp, avg(ln(1 + total)) AS total, avg(tariff) AS tariff,
+  avg(direct0) AS direct FROM chosen GROUP BY 1),
+return_route AS (SELECT r[2] AS c, count(*) AS n, avg(lp) AS lp, avg(ln(1 + total)) AS total, avg(tariff) AS tariff,
+  avg(direct1) AS direct FROM chosen GROUP BY 1)
+SELECT w.Id AS Id, coalesce(own.n, 0) AS company_ocurrence, round(CASE WHEN own.n > 1 THEN own.lp ELSE t.lp END, 6) AS avg_selected_price,
+  round(coalesce(own.sd, t.sd), 6) AS std_selected_price, round(coalesce(d0, 0), 6) AS selected_legs0_direct_ratio,
+  round(coalesce(d1, 0), 6) AS selected_legs1_direct_ratio, round(coalesce(d2, 0), 6) AS selected_direct_ratio,
+  round(coalesce(own.n0, 0), 6) AS selected_legs0_night_ratio, round(coalesce(own.n1, 0), 6) AS selected_legs1_night_ratio,
+  round(own.pr, 6) AS company_avg_pct, round(own.dr, 6) AS company_avg_dct, round(own.policy, 6) AS company_policy_rate,
+  {carrier_outputs(0)}, {carrier_outputs(1)},
+  coalesce(u.n, 0) AS user_selected_count, u.n::double AS user_total_count,
+  round(w.pr - coalesce(u.pr, pmode.mode), 6) + 0.0 AS price_rank_diff, round(w.dr - coalesce(u.dr, qmode.mode), 6) + 0.0 AS duration_rank_diff,
+  coalesce(k.n, z.n) AS "corporateTariffCode_hotness", round(coalesce(k.pr, z.pr), 6) AS "corporateTariffCode_price_rank_mean",
+  round(coalesce(k.dr, z.dr), 6) AS "corporateTariffCode_duration_rank_mean",
+  {route_outputs('outbound_route')}, {route_outputs('return_route')}
+FROM w CROSS JOIN t CROSS JOIN z CROSS JOIN pmode CROSS JOIN qmode LEFT JOIN own ON own.c = w.companyID
+LEFT JOIN c0 ON c0.c = legs0_segments0_marketingCarrier_code LEFT JOIN c1 ON c1.c = legs1_segments0_marketingCarrier_code
+LEFT JOIN o0 ON o0.c = legs0_segments0_marketingCarrier_code LEFT JOIN o1 ON o1.c = legs1_segments0_marketingCarrier_code
+LEFT JOIN u ON u.c = w.profileId LEFT JOIN k ON k.c = w.corporateTariffCode
+LEFT JOIN outbound_route ON outbound_route.c = w.r[1] LEFT JOIN return_route ON return_route.c = w.r[2]""")
+def feature_history(spark, sf_dir):
+    """Every statistic of past choices of the feature job."""
+    out = features(spark, sf_dir)
+    counts = ["company_ocurrence", "user_selected_count", "corporateTariffCode_hotness", "outbound_route_hotness",
+              "return_route_hotness", *[f"legs{leg}_Carrier_code_{x}_diversity" for leg in (0, 1) for x in ("company", "user")]]
+    carrier = ["avg_price_rank", "avg_duration_rank", "avg_dep_hour", "night_ratio", "selection_rate", "log_total_count",
+               "log_selected_count", *[f"cabin{i}_select_ratio" for i in (1, 2, 3, 4)]]
+    six = ["avg_selected_price", "std_selected_price", "selected_legs0_direct_ratio", "selected_legs1_direct_ratio",
+           "selected_direct_ratio", "selected_legs0_night_ratio", "selected_legs1_night_ratio", "company_avg_pct",
+           "company_avg_dct", "company_policy_rate", *[f"legs{leg}_Carrier_code_{x}" for leg in (0, 1) for x in carrier],
+           "price_rank_diff", "duration_rank_diff", "corporateTariffCode_price_rank_mean",
+           "corporateTariffCode_duration_rank_mean", *[f"{route}_{x}" for route in ("outbound_route", "return_route")
+                                                       for x in ("avg_price", "avg_duration", "policy_rate", "direct_ratio")]]
+    return nullable(rounded(out.select("Id", *counts, *six, "user_total_count"), *six), "user_total_count")
+
+
+@query("feature_sessions", f"""
+WITH {FLIGHT_SQL},
+x AS (SELECT *, round(totalPrice * 100) AS cents, concat_ws('_', legs0_departureAt, legs0_arrivalAt, legs0_segments0_flightNumber,
+    coalesce(legs0_segments1_flightNumber, 'missing')) AS leg0,
+    concat_ws('_', coalesce(legs1_departureAt, 'missing'), coalesce(legs1_arrivalAt, 'missing'),
+      coalesce(legs1_segments0_flightNumber, 'missing'), coalesce(legs1_segments1_flightNumber, 'missing')) AS leg1,
+    row_number() OVER (PARTITION BY ranker_id ORDER BY totalPrice) - 1 AS i,
+    {' + '.join(f"(legs{leg}_segments{i}_marketingCarrier_code IS NOT NULL)::int" for leg in (0, 1) for i in range(4))} AS segments
+  FROM g),
+n AS (SELECT ranker_id, count(DISTINCT leg0) AS legs0, count(DISTINCT leg1) AS legs1, count(*) AS rows, min(totalPrice) AS lo,
+    max(totalPrice) AS hi, median(totalPrice) AS med, stddev_samp(totalPrice) AS sd, avg(lp) AS lp, stddev_samp(ln(1 + total)) AS dur_sd,
+    max(CASE WHEN i = floor(0.25 * (n - 1) + 0.5) THEN totalPrice END) AS q25, min(m0) AS m0, min(segments) AS segments, min(n0) AS n0,
+    max(CASE WHEN i = floor(0.75 * (n - 1) + 0.5) THEN totalPrice END) AS q75, min(CASE WHEN direct0 = 1 THEN total END) AS quick,
+    max(lp) - min(lp) AS lp_range, max(ln(1 + total)) - min(ln(1 + total)) AS dur_range
+  FROM (SELECT *, count(*) OVER (PARTITION BY ranker_id) AS n FROM x) GROUP BY 1)
+SELECT x.Id AS Id, pos AS group_position, rows AS group_size, round(ln(1 + rows), 6) AS group_size_log, legs0 AS group_legs0_n_segments,
+  legs1 AS group_legs1_n_segments, (x.m0 = n.m0)::int AS is_shortest_duration, (x.segments = n.segments)::int AS is_min_segments,
+  (x.n0 = n.n0)::int AS is_min_segments_leg0, CASE WHEN direct0 = 1 AND total = quick THEN 1 ELSE 0 END AS is_direct_shortest,
+  (totalPrice = lo)::int AS is_top3_cheapest, round(coalesce((totalPrice - med) / (n.sd + 1), 0), 5) AS price_zscore_from_median,
+  round((totalPrice - lo) / (lo + 1), 6) AS price_relative_to_min, (totalPrice < q25)::int AS is_cheaper_than_avg,
+  (totalPrice > q75 + 1.5 * (q75 - q25))::int AS is_expensive_outlier, round(n.lp, 6) AS group_price_mean,
+  round(lp_range, 6) AS group_price_range, round(dur_sd, 5) AS group_dur_std, round(dur_range, 6) AS group_dur_range,
+  round(pr + dr, 6) AS rank_interaction_sum, round(pr - dr, 6) + 0.0 AS rank_interaction_sub,
+  round(least(greatest((pr + 0.000001::double) / (dr + 0.000001::double), 0.01), 100.0), 5) AS rank_interaction_ratio
+FROM x JOIN n USING (ranker_id)""")
+def feature_sessions(spark, sf_dir):
+    """The statistics of the session in the feature job."""
+    out = features(spark, sf_dir)
+    exact = ["group_position", "group_size", "group_legs0_n_segments", "group_legs1_n_segments", "is_shortest_duration",
+             "is_min_segments", "is_min_segments_leg0", "is_direct_shortest", "is_top3_cheapest", "is_cheaper_than_avg",
+             "is_expensive_outlier"]
+    six = ["group_size_log", "price_relative_to_min", "group_price_mean", "group_price_range", "group_dur_range",
+           "rank_interaction_sum", "rank_interaction_sub"]
+    five = ["price_zscore_from_median", "group_dur_std", "rank_interaction_ratio"]
+    return rounded(rounded(out.select("Id", *exact, *six, *five), *six), *five, places=5)
+
+
 @query("selected_features")
 def selected_features(spark, sf_dir):
     """How many values each selected feature has after the null fill, over all options."""
