@@ -139,7 +139,8 @@ def test_hot_keys_are_split_when_statistics_join_back(spark, settings, name):
 
 QUICK = [n for n in entry.queries() if n not in
          ("train_ranker", "search_params", "score_options", "feature_importance", "learning_curve", "evaluate_ranker",
-          "selected_features", "build_features", "ranked_options")]
+          "selected_features", "build_features", "ranked_options", "feature_history", "feature_sessions", "halving_search",
+          "ranking_curve")]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -158,7 +159,7 @@ def test_rows_are_not_expanded(spark, name):
 def test_all_keys_of_a_history_share_an_exchange(spark):
     """Thirty statistics of ten keys: the past is read once, and one table is stored."""
     df = options(spark, DATA)
-    past = groups_of = df.where("selected = 1")
+    past = df.where("selected = 1")
     keys = ["carrier", "company_id", "profile_id", "tariff_code", "search_route", "operating_carrier", "cabin", "split"]
     specs = [history.HistorySpec([k], [history.Stat(f"{k}_n", F.count(F.lit(1)), 0),
                                        history.Stat(f"{k}_m", F.avg("total_price"), history.GLOBAL)], history=past)
@@ -169,8 +170,8 @@ def test_all_keys_of_a_history_share_an_exchange(spark):
     out = history.with_history(df, *specs)
     want = df
     for k in keys:
-        own = groups_of.groupBy(k).agg(F.count(F.lit(1)).alias("a"), F.avg("total_price").alias("b")).dropna(subset=[k])
-        overall = groups_of.agg(F.avg("total_price")).first()[0]
+        own = past.groupBy(k).agg(F.count(F.lit(1)).alias("a"), F.avg("total_price").alias("b")).dropna(subset=[k])
+        overall = past.agg(F.avg("total_price")).first()[0]
         want = want.join(own, k, "left").withColumns({f"{k}_n": F.coalesce("a", F.lit(0)).cast("bigint"),
                                                       f"{k}_m": F.coalesce("b", F.lit(overall))}).drop("a", "b")
     names = ["option_id", *[f"{k}_{x}" for k in keys for x in "nm"]]
