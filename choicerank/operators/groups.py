@@ -342,7 +342,7 @@ def column_quantiles(df: DataFrame, value: str, picks: Mapping[str, float | str]
         return dict.fromkeys(picks)
     places = {name: _places(q, n) for name, q in picks.items()}
     ends = dict(zip(every, near))
-    state = {}  # place: rows up to and at the lower end that are surely before it, the ends, whether they are candidates
+    state = {}  # the ends that bracket each place
     for name, found in places.items():
         a, b = (ends[min(1.0, max(0.0, fractions[name] + d))] for d in _AROUND)
         state |= {p: (a, b) for p in found}
