@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +135,8 @@ _RESULT = ("key bigint, n_chars bigint, edited_sha256 string, fingerprint string
 _RESULT_TYPES = [("key", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
                  ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
                  ("near_next", pa.float64())]
-_SEAM = [("part", pa.int32()), ("kind", pa.string()), ("seam_text", pa.string())]
+#: Ranges of the key a shuffle partition, so that partitions are even and adaptive execution can join small ones.
+RANGES = 4
 
 
 def edited(text: str, following: str) -> str:
@@ -150,61 +152,59 @@ def _compared(key, text: str, following: str, own: np.ndarray, other: np.ndarray
             likeness(own, mixed), likeness(own, other))
 
 
+def _in_ranges(rows: DataFrame, ranges: int) -> DataFrame:
+    """Column ``part``: the range of a row's key, higher for higher keys; -1 without a key.
+
+    The bounds are approximate quantiles of all keys, at most ``ranges`` of them. Whatever they are, the rows of a part lie
+    together in the order of the key.
+    """
+    places = [i / ranges for i in range(1, ranges)]
+    bounds = rows.agg(F.percentile_approx("key", places, 100 * ranges)).first()[0]
+    splits = [-np.inf, *sorted(set(map(float, bounds or [0]))), np.inf]
+    value = F.coalesce(F.col("key").cast("double"), F.lit(0.0))
+    found = Bucketizer(splits=splits, inputCol="value", outputCol="range").transform(rows.withColumn("value", value))
+    part = F.when(F.col("key").isNull(), -1).otherwise(F.col("range").cast("int"))
+    return found.select("key", "text", part.alias("part"))
+
+
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its own edited text and against the next document in descending order of the key.
 
     Gives ``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and
     ``near_next``. The first document follows the last one, so a lone document follows itself. Null texts are empty; rows
-    with equal keys are ordered by text, rows without a key come last. Texts are shuffled once, by ranges of the key; a
-    task walks over its sorted rows, and only its first and last texts are matched with those of other tasks.
+    with equal keys are ordered by text, rows without a key come last.
+
+    Texts are shuffled once, by ranges of the key, and nothing is stored. Each range also gets the first document of the
+    range that follows it, found by two scans of the keys and one of the texts, so that a task that walks over the sorted
+    rows of a range has all that it compares.
     """
-    work = Work(docs.sparkSession)
-    types = [*_RESULT_TYPES, *_SEAM]
-    schema = pa.schema(types)
+    spark = docs.sparkSession
+    rows = _in_ranges(texts(docs, key, text).select(F.col(key).cast("bigint").alias("key"), "text"),
+                      RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A row a range, without texts: the windows are over as many rows as there are ranges.
+    tops = rows.groupBy("part").agg(F.max("key").alias("top"))
+    before = F.lag("part").over(Window.orderBy(F.desc("part")))
+    tops = tops.select(F.col("part").alias("of"), "top", F.coalesce(before, F.min("part").over(Window.partitionBy()))
+                       .alias("to"))
+    heads = (rows.join(F.broadcast(tops), (F.col("part") == F.col("of")) & F.col("key").eqNullSafe(F.col("top")))
+             .groupBy("to", "key").agg(F.max("text").alias("text")))
+    walked = rows.select("part", F.lit(0).alias("tail"), "key", "text").union(
+        heads.select(F.col("to").alias("part"), F.lit(1).alias("tail"), "key", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last = TaskContext.get().partitionId(), None
-
-        def seam(kind: str, row: tuple) -> dict:
-            return {"key": row[0], "part": part, "kind": kind, "seam_text": row[1]}
-
+        last = None
         for batch in batches:
             for piece in slices(batch):
                 out = []
-                for k, t in zip(piece.column("key").to_pylist(), piece.column("text").to_pylist()):
-                    row = (k, t, signatures(t))
-                    if last is None:
-                        out.append(seam("first", row))
-                    else:
-                        out.append(dict(zip(_NAMES, _compared(last[0], last[1], t, last[2], row[2]))))
-                    last = row
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if last is not None:
-            yield pa.RecordBatch.from_pylist([seam("last", last)], schema=schema)
-
-    rows = texts(docs, key, text).select(F.col(key).cast("bigint").alias("key"), "text")
-    order = [F.desc("key"), F.desc("text")]
-    walked = rows.repartitionByRange(F.desc("key")).sortWithinPartitions(*order)
-    found = work.store(walked.mapInArrow(run, f"{_RESULT}, part int, kind string, seam_text string"), "walked")
-    # One row a task and end: what follows a task's last document is the next task's first one.
-    heads = found.filter("kind = 'first'").select("part", F.col("seam_text").alias("following"))
-    parts = heads.select("part")
-    around = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.lit(-1))
-    smallest = parts.agg(F.min("part")).first()[0]
-    next_part = parts.select("part", around.alias("then")).replace(-1, smallest, "then")
-    tails = found.filter("kind = 'last'").select("key", F.col("seam_text").alias("text"), "part")
-    tails = tails.join(next_part, "part").join(heads.withColumnRenamed("part", "then"), "then")
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [dict(zip(_NAMES, _compared(r["key"], r["text"], r["following"], signatures(r["text"]),
-                                              signatures(r["following"])))) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(_RESULT_TYPES))
-
-    joined = tails.select("key", "text", "following").mapInArrow(ends, _RESULT)
-    return found.filter("kind is null").select(*_NAMES).union(joined).withColumnRenamed("key", key)
-
-
-_NAMES = [name for name, _ in _RESULT_TYPES]
+                for tail, k, t in zip(*(piece.column(c).to_pylist() for c in ("tail", "key", "text"))):
+                    own = signatures(t)
+                    if last is not None:
+                        out.append(_compared(last[0], last[1], t, last[2], own))
+                    last = None if tail else (k, t, own)
+                columns = list(zip(*out)) or [()] * len(_RESULT_TYPES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _RESULT_TYPES)],
+                                                 [name for name, _ in _RESULT_TYPES])
+
+    # The row with a tail ends its range, so a walk never goes from one range to another.
+    walked = walked.repartition("part").sortWithinPartitions("part", "tail", F.desc("key"), F.desc("text"))
+    return walked.mapInArrow(run, _RESULT).withColumnRenamed("key", key)
