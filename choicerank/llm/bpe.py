@@ -187,12 +187,21 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def learn(self, units: set[str]) -> None:
-        cut = {u: self.pattern.findall(u) for u in units}
-        new = list({w for pieces in cut.values() for w in pieces if w not in self.words})
-        self.words.update(zip(new, self.replay.encode([w.encode() for w in new])))
+        several: dict[str, list[str]] = {}
+        wanted = set()
+        find = self.pattern.findall
+        for unit in units:
+            pieces = find(unit)
+            if len(pieces) == 1 and pieces[0] == unit:
+                wanted.add(unit)
+            else:
+                several[unit] = pieces
+                wanted.update(pieces)
+        new = list(wanted.difference(self.words))
         words = self.words
-        for unit, pieces in cut.items():
-            self.known[unit] = words[pieces[0]] if len(pieces) == 1 else b"".join([words[w] for w in pieces])
+        words.update(zip(new, self.replay.encode([w.encode() for w in new])))
+        self.known.update((unit, words[unit]) for unit in units if unit not in several)
+        self.known.update((unit, b"".join([words[w] for w in pieces])) for unit, pieces in several.items())
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -200,9 +209,10 @@ class Encoder:
         distinct = set().union(*cut)
         fresh = distinct.difference(self.known)
         if len(self.known) + len(fresh) > self.keep:
-            self.known.clear()
-            self.words.clear()
-            fresh = distinct
+            # What has come again stays: most units come once, and the others make up most of every text.
+            again = distinct.difference(fresh)
+            self.known = {u: self.known[u] for u in again}
+            self.words = {u: self.words[u] for u in again if u in self.words}
         if fresh:
             self.learn(fresh)
         look = self.known.__getitem__
@@ -231,30 +241,48 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return map_texts(texts(docs, key, text), make, "ids binary", key)
 
 
+def worker_bytes(path: str) -> list[bytes]:
+    """What each id stands for, once a Python worker."""
+    memory = held("bpe")
+    if ("bytes", path) not in memory:
+        ranks = read_ranks(path)
+        table = [b""] * (max(ranks.values()) + 1)
+        for word, i in ranks.items():
+            table[i] = word
+        memory["bytes", path] = table
+    return memory["bytes", path]
+
+
+def _decoded(table: list[bytes], ids: list[bytes]) -> list[bytes]:
+    look = table.__getitem__
+    return [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, ``ids``, ``bytes``: what the ids stand for. Null ids give no bytes."""
     def make() -> Callable[[list[bytes]], dict[str, list]]:
-        memory = held("bpe")
-        if ("bytes", path) not in memory:
-            ranks = read_ranks(path)
-            table = [b""] * (max(ranks.values()) + 1)
-            for word, i in ranks.items():
-                table[i] = word
-            memory["bytes", path] = table
-        look = memory["bytes", path].__getitem__
-
-        def run(batch: list[bytes]) -> dict[str, list]:
-            return {"ids": batch, "bytes": [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in batch]}
-
-        return run
+        table = worker_bytes(path)
+        return lambda batch: {"ids": batch, "bytes": _decoded(table, batch)}
 
     rows = tokens.select(key, F.coalesce(F.col(ids), F.lit(b"")).alias("given"))
     return map_texts(rows, make, "ids binary, bytes binary", key, "given")
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens``, ``ids``, ``bytes``: a text's ids, and the bytes read back from them."""
-    tokens = decode(encode(docs, path, pattern, key, text), path, key)
+    """``key``, ``n_tokens``, ``ids``, ``bytes``: a text's ids, and the bytes read back from them.
+
+    One pass: the same worker encodes a slice of texts and decodes its ids. Rows and nulls as in ``encode``.
+    """
+    def make() -> Callable[[list[str]], dict[str, list]]:
+        encoder, table = worker_encoder(path, pattern), worker_bytes(path)
+
+        def run(batch: list[str]) -> dict[str, list]:
+            ids = encoder(batch)
+            return {"ids": ids, "bytes": _decoded(table, ids)}
+
+        return run
+
+    tokens = map_texts(texts(docs, key, text), make, "ids binary, bytes binary", key)
     return tokens.select(key, F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", "bytes")
 
 
