@@ -3,7 +3,8 @@
 An item of m characters that stands in a text with at most k edits shares at least m - q + 1 - k q of its q-grams with it,
 and all of them lie within k diagonals (place in the text minus place in the item). So for each item the shared q-grams are
 counted in bands of 2k + 1 diagonals that overlap by k; bands that meet the bound are aligned inside the band, with
-free ends in the text.
+free ends in the text. Of any k q + t q-grams of the item, t are left in the same way, so the rarest of them are counted
+first, and all q-grams only for items that these leave.
 
 An item may also stand in a text in part: without a sentence, or cut by the text's end. So of items longer than ``WINDOW``
 characters, windows of that size that overlap by half, the last at the item's end, are searched in the same way.
@@ -28,6 +29,9 @@ Q = 6
 EDITS = 0.12
 #: Characters of an item that count as its passage also without the rest.
 WINDOW = 80
+#: Of the q-grams that the lemma asks for, the share that the rarest q-grams of an entry must have before all are counted.
+#: It decides how much is counted, never what is found.
+SURE = 0.5
 #: Bytes of items in one index.
 CHUNK_BYTES = 4_000_000
 
@@ -47,9 +51,13 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(q):
-        total = total * np.uint64(0x100000001B3) + codes[k:k + n]
+    total, size, power = codes.astype(np.uint64), 1, np.uint64(0x100000001B3)
+    for bit in bin(q)[3:]:  # runs of twice as many characters, and one more where q has the bit
+        with np.errstate(over="ignore"):
+            total, size, power = total[:-size] * power + total[size:], 2 * size, power * power
+            if bit == "1":
+                base = np.uint64(0x100000001B3)
+                total, size, power = total[:-1] * base + codes[size:], size + 1, power * base
     return (total * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(8)
 
 
@@ -58,10 +66,54 @@ def budget(size: int, edits: float, q: int) -> int:
     return max(0, min(int(edits * size), (size - q) // q))
 
 
+class Postings:
+    """Where q-grams stand in the entries of an index."""
+
+    BITS = 19
+
+    def __init__(self, grams: np.ndarray, item: np.ndarray, place: np.ndarray):
+        order = np.argsort(grams, kind="stable")
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.r_[starts, len(grams)]
+        self.item, self.place = item[order], place[order]
+        # The q-grams of a slot stand together, so a slot's first one and the most that a slot has are all that is needed.
+        slots = self._slot(self.grams)
+        self.first = np.full(1 << self.BITS, -1, np.int32)
+        self.first[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.deepest = int(np.bincount(slots).max()) if len(slots) else 0
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(56 - self.BITS)).astype(np.int64)
+
+    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings that a text's q-grams meet, in the order of the text; the q-grams' places, and how many each meets."""
+        first = self.first[self._slot(grams)]
+        at = np.flatnonzero(first >= 0)
+        slot, wanted = first[at], grams[at]
+        for _ in range(self.deepest - 1):
+            slot += (self.grams[slot] < wanted) & (slot < len(self.grams) - 1)
+        same = self.grams[slot] == wanted if len(at) else np.empty(0, bool)
+        at, slot = at[same], slot[same]
+        if not len(at):
+            return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
+        low, many = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
+        ends = np.cumsum(many)
+        hit = np.repeat((low - ends + many).astype(np.int32), many)
+        hit += np.arange(len(hit), dtype=np.int32)
+        return hit, at.astype(np.int32), many
+
+    def of(self, grams: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Entry, place in the entry and diagonal of the hits that ``wanted`` marks by their entries."""
+        hit, at, many = self.hits(grams)
+        item = self.item[hit]
+        stay = np.flatnonzero(wanted(item))
+        place = self.place[hit[stay]]
+        return item[stay], place, at[np.searchsorted(np.cumsum(many), stay, "right")] - place
+
+
 class Index:
     """The q-grams of a chunk of items."""
 
-    BITS = 22
     #: Bands counted in an array; more are sorted instead.
     CELLS = 4_000_000
 
@@ -85,49 +137,63 @@ class Index:
                 place.append(np.arange(len(grams[-1]), dtype=np.int32))
                 self.items.append((key, codes, budget(len(codes), edits, q)))
         grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        order = np.argsort(grams, kind="stable")
-        self.grams, starts = np.unique(grams[order], return_index=True)
-        self.starts = np.r_[starts, len(grams)]
-        self.item = np.concatenate(item)[order] if item else np.empty(0, np.int32)
-        self.place = np.concatenate(place)[order] if place else np.empty(0, np.int32)
-        self.seen = np.zeros(1 << self.BITS, bool)
-        self.seen[self._slot(grams)] = True
+        item = np.concatenate(item) if item else np.empty(0, np.int32)
+        place = np.concatenate(place) if place else np.empty(0, np.int32)
         self.sizes = np.array([len(c) for _, c, _ in self.items], np.int64)
         self.budgets = np.array([k for _, _, k in self.items], np.int64)
         self.need = self.sizes - q + 1 - self.budgets * q
+        self.all = Postings(grams, item, place)
+        # Of k q + t of an entry's q-grams, k edits leave at least t.
+        self.least = np.maximum(1, (SURE * self.need).astype(np.int64))
+        common = np.diff(self.all.starts)[np.searchsorted(self.all.grams, grams)] if len(grams) else item
+        order = np.lexsort((place, common, item))
+        first = np.searchsorted(item[order], np.arange(len(self.items)))
+        rarity = np.arange(len(order)) - first[item[order]]
+        chosen = order[rarity < (self.budgets * q + self.least)[item[order]]]
+        self.rare = Postings(grams[chosen], item[chosen], place[chosen])
         # An item shorter than q characters has no q-gram: it is looked for as it is, between other characters.
         self.short = [(key, codes) for key, codes, _ in self.items if len(codes) < q]
 
-    def _slot(self, grams: np.ndarray) -> np.ndarray:
-        return (grams >> np.uint64(56 - self.BITS)).astype(np.int64)
+    def _cells(self, item: np.ndarray, diagonal: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+        """The two bands (numbers from ``base`` on) that a hit may lie in: always the first, the second where ``reach``.
 
-    def bands(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of item, lowest diagonal of a band: those with as many shared q-grams as the lemma asks for."""
-        grams = _grams(codes, self.q)
-        at = np.flatnonzero(self.seen[self._slot(grams)])
-        if not len(at):
-            return np.empty((0, 2), np.int64)
-        slot = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
-        same = self.grams[slot] == grams[at]
-        at, slot = at[same], slot[same]
-        if not len(at):
-            return np.empty((0, 2), np.int64)
-        low, many = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
-        hit = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        item, diagonal = self.item[hit], np.repeat(at.astype(np.int32), many) - self.place[hit]
-        # Bands begin at multiples of k + 1 and are 2k + 1 wide, so any k + 1 diagonals lie in one of them.
+        Bands begin at multiples of k + 1 and are 2k + 1 wide, so any k + 1 diagonals lie in one of them.
+        """
         step = self.budgets + 1
-        least = self.sizes // step + 2
-        base = np.r_[0, np.cumsum(least + len(codes) // step + 2)]  # a cell for every band of every item
+        below = self.sizes // step + 2
+        base = np.r_[0, np.cumsum(below + size // step + 2)]  # a cell for every band of every entry
         width = step.astype(np.int32)[item]
-        shifted = diagonal + (least * step).astype(np.int32)[item]  # not negative
+        shifted = diagonal + (below * step).astype(np.int32)[item]  # not negative
         band = shifted // width
         reach = shifted - band * width <= width - 2
         key = base[item] + band
-        key = np.concatenate([key, key[reach] - 1])
-        if base[-1] <= self.CELLS:
+        return np.concatenate([key, key[reach] - 1]), reach, base, below * step, step
+
+    def _possible(self, grams: np.ndarray, size: int) -> np.ndarray:
+        """A mark an entry: does a band hold enough of its rarest q-grams?"""
+        found = np.zeros(len(self.items), bool)
+        item, _, diagonal = self.rare.of(
+            grams, lambda item: (np.bincount(item, minlength=len(found)) >= self.least)[item])
+        if not len(item):
+            return found
+        key, _, base, _, _ = self._cells(item, diagonal, size)
+        cells, counts = np.unique(key, return_counts=True)
+        owner = np.searchsorted(base, cells, "right") - 1
+        found[owner[counts >= self.least[owner]]] = True
+        return found
+
+    def bands(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of item, lowest diagonal of a band: those with as many shared q-grams as the lemma asks for."""
+        none = np.empty((0, 2), np.int64)
+        grams = _grams(codes, self.q)
+        possible = self._possible(grams, len(codes))
+        if not possible.any():
+            return none
+        item, place, diagonal = self.all.of(grams, lambda item: possible[item])
+        key, reach, base, shift, step = self._cells(item, diagonal, len(codes))
+        if base[-1] <= min(self.CELLS, 4 * len(key)):
             counts = np.bincount(key, minlength=base[-1])
-            cells = np.flatnonzero(counts >= max(1, self.need.min()))
+            cells = np.flatnonzero(counts >= max(1, self.need[possible].min()))
             counts = counts[cells]
         else:
             cells, counts = np.unique(key, return_counts=True)
@@ -135,16 +201,16 @@ class Index:
         good = counts >= self.need[owner]
         cells, owner = cells[good], owner[good]
         if not len(cells):
-            return np.empty((0, 2), np.int64)
+            return none
         # A q-gram of the item counts once, however often the band has it.
         which = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
         chosen = cells[which] == key
-        place = np.concatenate([self.place[hit], self.place[hit][reach]])
+        place = np.concatenate([place, place[reach]])
         width = int(self.sizes.max()) + 1
         once = np.unique(which[chosen] * width + place[chosen]) // width
         good = np.bincount(once, minlength=len(cells)) >= self.need[owner]
         cells, owner = cells[good], owner[good]
-        return np.stack([owner, (cells - base[owner] - least[owner]) * step[owner]], 1)
+        return np.stack([owner, (cells - base[owner]) * step[owner] - shift[owner]], 1)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Item, begin, end, edits of every passage, in places of the normalized text.
