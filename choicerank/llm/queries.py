@@ -131,8 +131,8 @@ with l as (select doc_id, cast(line as int) as line, words,
            from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as line,
                         unnest(string_split(text, chr(10))) as words from documents where doc_id is not null)),
 c as (select tokens, len(tokens) as n, min((doc_id, line)) as spot, row_number() over () as class
-      from l where len(tokens) >= 5 group by tokens),
-t as (select class, n, spot, unnest(tokens) as token from c),
+      from l where len(tokens) > 0 group by tokens),
+t as (select class, n, spot, unnest(tokens) as token from c where n >= 5),
 f as (select token, count(*) as f from t group by token),
 r as (select class, n, spot, token, row_number() over (partition by class order by f, token) as place from t join f using (token)),
 x as (select * from r where place <= n - ceil(n * 80 / 100.0) + 1),

@@ -109,11 +109,12 @@ def plain_repeats(rows, percent=80, least=5):
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             own = frozenset(line.lower().split())
-            if len(own) < least:
+            if not own:
                 continue
             for other in seen:
                 n = len(own & other)
-                if 100 * n >= percent * (len(own) + len(other) - n):
+                long = min(len(own), len(other)) >= least
+                if own == other or long and 100 * n >= percent * (len(own) + len(other) - n):
                     out.add((i, k))
                     break
             seen.append(own)
@@ -134,7 +135,7 @@ def test_lines_against_plain_search(spark, monkeypatch, crowd):
                 line[draw.randrange(len(line))] = f"w{draw.randrange(60)}"
             own.append("  ".join(line))
         rows.append((i, "\n".join(own)))
-    rows += [(70, None), (71, ""), (72, "\n\n"), (73, "to be or not")]
+    rows += [(70, None), (71, ""), (72, "\n\n"), (73, "to be or not"), (74, "not or be to"), (75, "to be or")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as line", "2 as doc", "3 as gone")
     want = plain_repeats(rows)
     assert {(r.doc, r.line) for r in lines.repeated_lines(frame).collect()} == want and len(want) >= 20
@@ -156,9 +157,9 @@ def test_short_lines_with_equal_sets(spark):
     long = "one two three four five six"
     frame = spark.createDataFrame([(1, f"All rights reserved.\n\n{long}"), (2, "new\n\nall  RIGHTS reserved."),
                                    (3, f"All rights\n{long}\nreserved. all rights all")], "doc_id long, text string")
-    found = {r.doc_id: r.text for r in lines.dedup_lines(frame, short=True).collect()}
+    found = {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()}
     assert found == {1: f"All rights reserved.\n\n{long}", 2: "new\n", 3: "All rights"}
-    assert {r.doc for r in lines.repeated_lines(frame).collect()} == {3}
+    assert {r.doc for r in lines.repeated_lines(frame, short=False).collect()} == {3}
 
 
 def test_documents_against_the_next(spark):
