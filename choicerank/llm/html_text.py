@@ -1,16 +1,17 @@
 """Main text of web pages by wrapper induction: simple tree matching of the pages of a host.
 
 A page becomes a tree of its blocks. Elements that say what they are (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments) are left out, and where a page has an article, the article is the page. First the pages of a
-host are counted on which a text stands below the same path of elements; only texts that reach the share of the pages go
-on, all others are content. The trees of these texts are aligned by simple tree matching, child by child, and folded into
-one wrapper: a tree of slots, each with its text and the pages it was seen on. Texts are only aligned with equal ones, so
-that constant texts hold their places however much text that varies lies between them. Slots seen on most pages of the
-host are template and are cut out, unless nothing of the host's pages varies at all.
-
-Texts are counted with a shuffle of their hashes. Wrappers are folded in each task, and folds of the same host are merged in two steps, so no task sees more of a host than
-its share of pages or a bounded number of folds. Pages are not shuffled unless the table of wrappers that have template
-slots is too large to broadcast.
+forms, scripts, comments) are left out, and where a page has an article, the article is the page. Elements more than
+``DEPTH`` levels down add their blocks to the one above. First the pages of a host are counted on which a text stands below
+the same path of elements; only texts that reach the share of the pages go on, all others are content. Pages of a host with
+the same sequence of blocks are copies and count as one. The trees of these texts are aligned by simple tree matching, child
+by child, and folded into one wrapper: a tree of slots, each with its text and the pages it was seen on. Texts are only
+aligned with equal ones, so that constant texts hold their places however much text that varies lies between them. Slots
+seen on most pages of the host are template and are cut out, unless nothing of the host's pages varies at all.
+
+What is shuffled are hashes of texts, and the trees of the texts that are frequent. Wrappers are folded in each task, and
+folds of the same host are merged in two steps, so no task sees more of a host than its share of pages or a bounded number
+of folds. Pages are not shuffled unless the table of wrappers that have template slots is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,16 +34,18 @@ from choicerank.llm.urls import host
 SUPPORT, SHARE = 5, 0.5
 #: Hosts a task folds at a time, and parts into which the folds of a host are merged first.
 HOSTS, PARTS = 2_000, 32
-#: Texts a task counts at a time.
-COUNTED = 200_000
+#: Levels of elements that are told apart; deeper ones lose their place in the tree, not their text.
+DEPTH = 100
 
 # Elements by their role in a page.
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby "
-                    "s samp small span strike strong sub sup time tt u var wbr").split())
+                    "s samp small span strike strong sub sup svg time tt u var wbr canvas audio video object math mi mn mo ms mrow "
+                    "mtext msup msub msubsup mfrac msqrt mroot mfenced mstyle mpadded mphantom semantics annotation "
+                    "g path text tspan circle ellipse rect polygon polyline defs use").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
-LEFT_OUT = frozenset(("head script style noscript template textarea title iframe object svg math canvas nav header footer aside "
-                      "form button select input dialog menu noembed noframes audio video").split())
+LEFT_OUT = frozenset(("head script style noscript template textarea title iframe nav header footer aside form "
+                      "button select input dialog menu noembed noframes").split())
 NOISE = frozenset(("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
                    "cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
                    "popup promo promoted related reply replies respond share sharing sidebar skip social sponsor sponsored "
@@ -77,7 +81,8 @@ def parse(source: str) -> Node:
     """The tree of blocks. Inline elements are part of their block's text; left-out elements are not in it."""
     root: Node = ["#page", []]
     stack: list[tuple[str, Node, bool]] = [("#page", root, True)]  # tag, block it adds to, shown
-    at = 0
+    opened: Counter[str] = Counter()
+    at, deepest = 0, 1
     text: list[str] = []
 
     def flush() -> None:
@@ -93,8 +98,13 @@ def parse(source: str) -> Node:
             tag, _, shown = stack[-1]
             if shown and tag not in INLINE:
                 flush()
+            opened[tag] -= 1
             stack.pop()
 
+    def enter(tag: str, block: Node, shown: bool) -> None:
+        opened[tag] += 1
+        stack.append((tag, block, shown))
+
     size = len(source)
     while at < size:
         found = _TAG.search(source, at)
@@ -109,7 +119,7 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if found[1] or found[4]:  # an end tag
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -143,9 +153,9 @@ def parse(source: str) -> Node:
         if noise:
             if shown and tag not in INLINE:
                 flush()
-            stack.append((tag, block, False))
+            enter(tag, block, False)
         elif tag in INLINE:
-            stack.append((tag, block, True))
+            enter(tag, block, True)
         else:
             flush()
             names = " ".join(sorted(set(given.get("class", "").split())))
@@ -155,10 +165,11 @@ def parse(source: str) -> Node:
                 tag_label = tag
             node: Node = [f"{tag_label}.{names}" if names else tag_label, []]
             block[1].append(node)
-            stack.append((tag, node, True))
+            enter(tag, node, True)
+        deepest = max(deepest, len(stack))
     close(1)
     flush()
-    return _main(root)
+    return _shallow(_main(root)) if deepest >= DEPTH else _main(root)
 
 
 def _main(root: Node) -> Node:
@@ -178,7 +189,34 @@ def _main(root: Node) -> Node:
 
 
 def _has_text(node: Node) -> bool:
-    return any(isinstance(c, str) or _has_text(c) for c in node[1])
+    todo = [node]
+    while todo:
+        for child in todo.pop()[1]:
+            if isinstance(child, str):
+                return True
+            todo.append(child)
+    return False
+
+
+def _shallow(root: Node) -> Node:
+    """The same texts in the same order, at most ``DEPTH`` levels down: deeper ones move to the last element above them."""
+    out: Node = [root[0], []]
+    stack = [(out, iter(root[1]))]
+    while stack:
+        node, children = stack[-1]
+        for child in children:
+            if isinstance(child, str):
+                node[1].append(child)
+                continue
+            inner = node
+            if len(stack) < DEPTH:
+                inner = [child[0], []]
+                node[1].append(inner)
+            stack.append((inner, iter(child[1])))
+            break
+        else:
+            stack.pop()
+    return out
 
 
 # A slot is [label, pages, text, slots, place]; of an element, text tells whether other texts were left out below it.
@@ -186,15 +224,20 @@ def _has_text(node: Node) -> bool:
 Slot = list
 
 
-def _code(path: str, text: str) -> int:
+def _code(path: int, text: str) -> int:
     import xxhash
 
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def text_codes(node: Node, path: str = "") -> Iterator[int]:
-    """A hash of each text with the path of elements it lies below."""
-    path = f"{path}/{node[0]}"
+def _below(path: int, label: str) -> int:
+    """The code of a path of elements that goes on."""
+    return _code(path, f"/{label}")
+
+
+def text_codes(node: Node, path: int = 0) -> Iterator[int]:
+    """A hash of each text with the path of elements it lies below, in page order."""
+    path = _below(path, node[0])
     for child in node[1]:
         if isinstance(child, str):
             yield _code(path, child)
@@ -202,10 +245,10 @@ def text_codes(node: Node, path: str = "") -> Iterator[int]:
             yield from text_codes(child, path)
 
 
-def wrapper_of(node: Node, wanted: Callable[[str, str], bool] = lambda path, text: True, path: str = "",
+def wrapper_of(node: Node, wanted: Callable[[int, str], bool] = lambda path, text: True, path: int = 0,
                place: int = 0) -> Slot:
     """The tree of the texts that are wanted, by path and text."""
-    path = f"{path}/{node[0]}"
+    path = _below(path, node[0])
     slots, left_out = [], False
     for i, child in enumerate(node[1]):
         if not isinstance(child, str):
@@ -350,33 +393,37 @@ def main_text(source: str, wrapper: Slot | None = None) -> str:
     return "\n".join(blocks(parse(source or ""), wrapper))
 
 
+def page_code(node: Node) -> bytes:
+    """A hash of the sequence of a page's blocks: equal for copies."""
+    import xxhash
+
+    digest = xxhash.xxh3_128()
+    for code in text_codes(node):
+        digest.update((code + (1 << 63)).to_bytes(8, "little"))
+    return digest.digest()
+
+
 def frequent_texts(rows: DataFrame, work: Work) -> DataFrame:
     """``host``, ``codes`` of the texts that stand on enough pages of the host to be template; hosts with such texts.
 
-    ``rows`` has ``host`` and ``html``. The codes of a host are about twice as many as its pages have texts, at most.
+    ``rows`` has ``host`` and ``html``. Copies of a page count once: what is shuffled is a hash a page and one a text, and
+    of copies only one goes on. The codes of a host are about twice as many as its pages have texts, at most.
     """
-    schema = "host string, code bigint, pages bigint"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int | None], int] = {}
-
-        def out() -> pa.RecordBatch:
-            rows = {"host": [k[0] for k in held], "code": [k[1] for k in held], "pages": list(held.values())}
-            held.clear()
-            return pa.RecordBatch.from_pydict(rows, pa.schema([("host", pa.string()), ("code", pa.int64()),
-                                                               ("pages", pa.int64())]))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "html"):
-                for name, source in zip(piece.column("host").to_pylist(), piece.column("html").to_pylist()):
-                    for code in (None, *set(text_codes(parse(source)))):  # None counts the pages
-                        held[name, code] = held.get((name, code), 0) + 1
-                    if len(held) >= COUNTED:
-                        yield out()
-        yield out()
-
-    found = rows.select("host", "html").mapInArrow(count, schema).groupBy("host", "code").agg(F.sum("pages").alias("pages"))
-    found = work.store(found.filter(F.col("pages") >= SUPPORT), "texts")
+                trees = [parse(source) for source in piece.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("host"), pa.array([page_code(t) for t in trees], pa.binary()),
+                     pa.array([sorted(set(text_codes(t))) for t in trees], pa.list_(pa.int64()))], ["host", "page", "codes"])
+
+    distinct = rows.select("host", "html").mapInArrow(cut, "host string, page binary, codes array<bigint>").dropDuplicates(
+        ["host", "page"])
+    # A null code counts the pages.
+    found = distinct.select("host", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "codes")).alias("code"))
+    found = found.groupBy("host", "code").agg(F.count("*").alias("pages")).filter(F.col("pages") >= SUPPORT)
+    found = work.store(found, "texts")
     every = found.filter("code is null").select("host", F.col("pages").alias("every"))
     return (found.filter("code is not null").join(every, "host").filter(F.col("pages") >= SHARE * F.col("every"))
             .groupBy("host").agg(F.collect_list("code").alias("codes")))
@@ -385,12 +432,28 @@ def frequent_texts(rows: DataFrame, work: Work) -> DataFrame:
 def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> DataFrame:
     """``host``, ``wrapper`` (as JSON) of all hosts whose pages share template slots."""
 
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, frozenset[int]] = {}
+        for batch in batches:
+            for piece in slices(batch, "html"):
+                pages, trees = [], []
+                for k, (name, source) in enumerate(zip(piece.column("host").to_pylist(), piece.column("html").to_pylist())):
+                    if name not in codes:
+                        if len(codes) >= HOSTS:
+                            codes.clear()
+                        codes[name] = frozenset(piece.column("codes")[k].as_py())
+                    own, tree = codes[name], parse(source)
+                    pages.append(page_code(tree))
+                    trees.append(json.dumps(wrapper_of(tree, lambda path, text: _code(path, text) in own)))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("host"), pa.array(pages, pa.binary()), pa.array(trees, pa.string())],
+                    ["host", "page", "tree"])
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() % PARTS
         held: dict[str, Slot] = {}
-        codes: dict[str, frozenset[int]] = {}
 
         def out() -> pa.RecordBatch:
             rows = {"host": list(held), "part": [part] * len(held), "wrapper": [json.dumps(w) for w in held.values()]}
@@ -399,17 +462,11 @@ def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> D
                                                                ("wrapper", pa.string())]))
 
         for batch in batches:
-            for piece in slices(batch, "html"):
-                for k, (name, source) in enumerate(zip(piece.column("host").to_pylist(), piece.column("html").to_pylist())):
-                    if name not in codes:
-                        if len(codes) >= HOSTS:
-                            codes.clear()
-                        codes[name] = frozenset(piece.column("codes")[k].as_py())
-                    own = codes[name]
-                    page = wrapper_of(parse(source), lambda path, text: _code(path, text) in own)
-                    held[name] = merged(held[name], page) if name in held else page
-                    if len(held) >= HOSTS:
-                        yield out()
+            for name, tree in zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist()):
+                page = json.loads(tree)
+                held[name] = merged(held[name], page) if name in held else page
+                if len(held) >= HOSTS:
+                    yield out()
         yield out()
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -422,7 +479,8 @@ def induce(pages: DataFrame, html_column: str = "html", site: str = "host") -> D
     schema = "host string, part int, wrapper string"
     work = Work(pages.sparkSession)
     frequent = work.store(frequent_texts(rows, work), "frequent")
-    folds = rows.join(frequent, "host").mapInArrow(fold, schema)
+    trees = rows.join(frequent, "host").mapInArrow(prune, "host string, page binary, tree string")
+    folds = trees.dropDuplicates(["host", "page"]).mapInArrow(fold, schema)
     folds = folds.groupBy("host", "part").applyInPandas(merge, schema).groupBy("host").applyInPandas(merge, schema)
 
     def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +494,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_colum
     """``key``, ``url``, ``text`` (blocks joined by a line feed), ``n_chars`` of every page.
 
     A null html is empty; a page without main text has an empty one. Pages without a host are a host of their own,
-    the empty one. Repeated rows stay; other columns are not read.
+    the empty one. Repeated rows stay, and count as one page where template is learned; other columns are not read.
     """
     work = Work(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host(F.col(url)).alias("host"),

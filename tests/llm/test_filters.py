@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -92,6 +93,76 @@ def test_more_template_slots_than_a_cap(spark):
     assert found == {k: "\n".join(f"text {k} {i}" for i in range(90)) for k in range(12)}
 
 
+def test_deep_pages(spark):
+    deep = "<div>" * 100_000 + "deep" + "</div>" * 99_999 + "end"
+    inline = "<p>" + "<b>" * 20_000 + "bold" + "</i>" * 20_000
+    article = "<section>" * 3_000 + "<article>" + "<div>" * 3_000 + "<p>in</p>it" + "</div>" * 3_000 + "</article>out"
+    found = [html_text.main_text(page) for page in (deep, inline, article)]
+    assert found == ["deep\nend", "bold", "in\nit"]
+    pages = [(k, f"http://h/{k}", "<div>" * 2_000 + f"<p>text {k}</p><p>All rights</p>") for k in range(6)]
+    texts = html_text.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()
+    assert sorted(r.text for r in texts) == [f"text {k}" for k in range(6)]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    copy = "<article><h1>Name</h1><p>One</p><p>Two</p><script>{}</script></article>"
+    pages = [(k, f"http://h/{k}", copy.format(k)) for k in range(40)]
+    pages += [(k, f"http://h/{k}", f"<article><h1>{k}</h1><p>Other {k}</p></article>") for k in range(40, 48)]
+    frame = spark.createDataFrame(pages, "page_id int, url string, html string").repartition(4)
+    found = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert found == {**{k: "Name\nOne\nTwo" for k in range(40)}, **{k: f"{k}\nOther {k}" for k in range(40, 48)}}
+
+
+def test_elements_inside_a_sentence():
+    page = "<p>If <math><mi>x</mi><mo>&gt;</mo><mn>1</mn></math> holds <svg><g><text>a</text></g></svg> <audio>b</audio>.</p>"
+    assert html_text.main_text(page) == "If x>1 holds a b."
+
+
+class PlainTexts(HTMLParser):
+    """Texts with the path of elements above them; the pages of the test have nothing but texts in well-formed elements."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.found = [], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.path.append(tag)
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.found.append((tuple(self.path), data))
+
+
+def test_template_against_plain_counts(spark):
+    """Constant texts in one order on random pages: what stands on five and half of a host's different pages is template."""
+    rng = random.Random(5)
+    pages = []
+    for site, n in [("a", 30), ("b", 9), ("c", 4), ("d", 40), ("e", 12)]:
+        fixed = [(rng.choice(["p", "div", "li"]), f"fixed {i}", rng.random()) for i in range(8)]
+        for k in range(n):
+            items = []
+            for tag, text, share in fixed:
+                items += [f"<p>own {site} {rng.random()}</p>" for _ in range(rng.randrange(3))]
+                if rng.random() < 0.3 + share:
+                    items.append(f"<{tag}>{text}</{tag}>")
+            html = "<body><section>" + "".join(items) + "</section></body>"
+            pages += [(site, html)] * rng.choice([1, 1, 3])
+    wanted = []
+    for site, html in pages:
+        distinct = {tuple(PlainTexts(h).found) for s, h in pages if s == site}
+        own = PlainTexts(html).found
+        many = {t: sum(t in d for d in distinct) for t in own}
+        cut = {t for t in own if many[t] >= 5 and many[t] >= 0.5 * len(distinct)}
+        wanted.append("\n".join(text for path, text in own if (path, text) not in cut))
+    frame = spark.createDataFrame([(k, f"http://{s}/{k}", h) for k, (s, h) in enumerate(pages)],
+                                  "page_id int, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert [found[k] for k in range(len(pages))] == wanted
+
+
 def test_toxicity_on_held_out_rows():
     rows = duckdb.sql("""select doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet'
                          join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by hash(doc_id)""").fetchall()
