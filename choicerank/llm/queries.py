@@ -44,37 +44,81 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(spark, folder)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _lower(value: str) -> str:
+    return f"translate({value}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _host(url: str) -> str:
+    return _lower(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _plain(url: str) -> str:
+    """A url without fragment and dot segments."""
+    return rf"""({_lower(f"regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)")}
+        || case when contains({_path(url)}, '/.') then
+             list_reduce(string_split({_path(url)}, '/'), lambda done, part: case when part = '.' then done
+                 when part = '..' then regexp_replace(done, '(?s)/[^/]*$', '') else done || '/' || part end)
+             || case when regexp_matches({_path(url)}, '/\.\.?\z') then '/' else '' end
+           else {_path(url)} end
+        || regexp_extract({url}, '(?s)^.*?://[^?#]*(\?[^#]*)', 1))"""
+
+
+_REFERENCE = " ".join(f"when piece = '&{name};' then {_text(mark)}" for name, mark in urls.NAMED.items())
+
 # Urls of a class: canonical links and refresh redirects, followed in both directions.
-URL_SQL = r"""
+URL_SQL = rf"""
 with recursive
 p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-u as (select *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                          'abcdefghijklmnopqrstuvwxyz') as host,
-             regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '(?s)^([^#]*)', 1) as name
+u as (select *, {_host('url')} as host, {_path('url')} as path, case when contains(url, '://') then {_plain('url')} end as name
       from p),
-tags as (select name, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from u where contains(url, '://')),
-links as (select distinct name as a, target as b from (
-            select name, regexp_extract(regexp_replace(tag, '&amp;', '&', 'g'),
-                '(?is)(?:href\s*=\s*["'']?|content\s*=\s*["'']?[^"'']*url\s*=\s*)([a-z]+://[^"''\s>#]*)', 1) as target
-            from tags where regexp_matches(tag, '(?is)rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh'))
-          where target <> '' and target <> name),
+tags as (select url, name, unnest(regexp_extract_all(regexp_replace(html, {_text(urls.NO_MARKUP)}, ' ', 'g'),
+                                                     {_text(urls.TAG)})) as tag from u where name is not null),
+codes as (select url, name, list_transform(regexp_extract_all(
+                     case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, {_text(urls.HREF)}, 1)
+                          else regexp_extract(tag, {_text(urls.REFRESH)}, 1) end, {_text(urls.PIECE)}), lambda piece:
+                 struct_pack(piece := piece, code := case
+                     when regexp_matches(piece, '^&#[xX]')
+                     then try_cast('0x' || regexp_extract(piece, '([0-9a-fA-F]+);?$', 1) as bigint)
+                     when starts_with(piece, '&#') then try_cast(regexp_extract(piece, '([0-9]+)', 1) as bigint) end)) as parts
+          from tags where regexp_matches(tag, {_text(urls.IS_ALIAS)})),
+decoded as (select url, name, array_to_string(list_transform(parts, lambda x: case
+                     when x.code between 1 and 1114111 and not x.code between 55296 and 57343 then chr(x.code::int)
+                     {_REFERENCE.replace('piece =', 'x.piece =')} else x.piece end), '') as link
+            from codes where len(parts) > 0),
+whole as (select name, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link
+                            when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:|^#') then null
+                            when starts_with(link, '//') then regexp_extract(url, '(?s)^(.*?):', 1) || ':' || link
+                            when starts_with(link, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+                            when starts_with(link, '?') then regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || link
+                            when {_path('url')} = '' then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || '/' || link
+                            else regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) || link end as target
+          from decoded),
+links as (select distinct name as a, {_plain('target')} as b from whole where target is not null and {_plain('target')} <> name),
 both_ways as (select a, b from links union select b, a from links),
 reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
 rules(verdict, host, path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
     ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-named as (select distinct name, host, path from u union
-          select b, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                              'abcdefghijklmnopqrstuvwxyz'), regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) from links),
-own as (select n.name, n.host, n.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule,
+named as (select name, {_host('name')} as host, {_path('name')} as path
+          from (select a as name from both_ways union select b from both_ways)),
+spots as (select distinct host, path from u union select host, path from named),
+own as (select n.host, n.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule,
                arg_max(r.verdict, length(r.host || r.path)) as verdict
-        from named n join rules r on (n.host = r.host or ends_with(n.host, '.' || r.host)) and starts_with(n.path, r.path)
-        group by n.name, n.host, n.path),
+        from spots n join rules r on (n.host = r.host or ends_with(n.host, '.' || r.host)) and starts_with(n.path, r.path)
+        group by n.host, n.path),
 around as (select reach.a as name, bool_or(own.verdict = 'allow') as allowed, bool_or(own.verdict = 'block') as blocked
-           from reach join own on own.name = reach.b group by reach.a)
+           from reach join named on named.name = reach.b join own on own.host = named.host and own.path = named.path
+           group by reach.a)
 select u.page_id, u.host, u.path, own.rule,
        coalesce(own.verdict, case when around.allowed then 'allow' when around.blocked then 'block' end, 'allow') as verdict
-from u left join own on own.name = u.name and own.host = u.host and own.path = u.path
-       left join around on around.name = u.name
+from u left join own on own.host = u.host and own.path = u.path left join around on around.name = u.name
 """
 
 

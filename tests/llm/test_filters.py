@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from choicerank.llm import decontaminate, html_text, toxicity, urls
+from choicerank.llm import decontaminate, html_text, queries, toxicity, urls
 from choicerank.llm.common import on_workers
 
 
@@ -38,6 +38,45 @@ def test_block_follows_aliases_and_allow_outranks(spark):
     assert urls.judge(spark.createDataFrame([], "page_id int, url string, html string, host int")).count() == 0
 
 
+LINKS = [("/p?x=1", "?x=2", "http://s.net/p?x=2"), ("/a/b", "../z", "http://s.net/z"), ("/a/b/c", "./../../../q/.", "http://s.net/q/"),
+         ("/a", "mailto:me@com/de/", None), ("/d/x.html", "#top", None), ("/a", "/a&#x2F;b&#47;c&sol;d&amp;e&#0;", "http://s.net/a/b/c/d&e&"),
+         ("/a", "//T.net/x/./y", "http://t.net/x/y"), ("", "k", "http://s.net/k"), ("/a/b/", "k?u=/../v", "http://s.net/a/b/k?u=/../v"),
+         ("/a", "HTTP://W.net/..", "http://w.net/"), ("/\u00e9/b", "&#233;&#x1F600;", "http://s.net/\u00e9/\u00e9\U0001f600"),
+         ("/a", "javascript:x", None), ("/a", "", None), ("/a?u=/b", "c", "http://s.net/c")]
+
+
+def test_links_are_resolved(spark):
+    pages = [(f"http://S.net{base}", f"<head><link href='{link}' rel='me canonical'>") for base, link, _ in LINKS]
+    found = {r.target for r in urls.alias_links(spark.createDataFrame(pages, "url string, html string")).collect()}
+    assert found == {target for *_, target in LINKS if target}
+    tags = ["<!-- <link rel=canonical href='http://com/de/'> -->", "<script>'<link rel=canonical href=/x>'</script >",
+            "<textarea><meta http-equiv=refresh content='0;url=/x'>", "<link data-rel=canonical href=/x>",
+            "<link rel=canonicals href=/x>", "<link rel=canonical data-href=/x>", "<a rel=canonical href=/x>"]
+    for tag in tags:
+        assert urls.alias_links(spark.createDataFrame([("http://s.net/", tag)], "url string, html string")).isEmpty()
+    assert not urls.alias_links(spark.createDataFrame([("http://s.net/", "<title><!--</title>" + "<link rel=canonical href=/x>")],
+                                                      "url string, html string")).isEmpty()
+
+
+def test_aliases_against_sql(spark):
+    rng = random.Random(3)
+    bases = ["http://com/de/1", "http://a.com/fr/", "http://b.net", "http://b.net/x/../y?q#z", "HTTPS://Q.net/k", "http://example.org/es/",
+             "http://x.net/a/b/c", None, "no url", "http://org/"]
+    links = [link for _, link, _ in LINKS] + ["http://com/de/1", "http://b.net/y?q", "/k", "//q.net/k", "http://x.net/a/b/c", "c"]
+    wraps = ["<link rel=canonical href='{}'>", "<META content=\"0; URL='{}'\" http-equiv='Refresh'>", "<!--<link rel=canonical href='{}'>-->"]
+    pages = [(k, rng.choice(bases) if k % 3 else f"http://n.net/{k}/x", "<head>" + "".join(
+        rng.choice(wraps).format(rng.choice(links)) for _ in range(1 if k % 3 == 0 or k < 12 else 0))) for k in range(150)]
+    db = duckdb.connect()
+    db.execute("create table pages (page_id int, url varchar, html varchar)")
+    db.executemany("insert into pages values (?, ?, ?)", pages)
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    wanted = db.sql(queries.SQL["op3_url_filter"]).select(*columns).fetchall()
+    found = [tuple(r) for r in urls.judge(spark.createDataFrame(pages, "page_id int, url string, html string")).select(
+        *columns).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+    assert {r[4] for r in found if r[3] is None} == {"allow", "block"}
+
+
 PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><nav>a</nav><div id=cookie-notice>c</div>
 <main><article><h1>T &amp; U</h1><p class=lead>One <a href=x>two</a>&nbsp;three<span class="ad">AD</span><p>Four<br>five
 <ul><li>six<li>seven</ul><form><input>q</form><script>if(a<b){"</p>"}</script><div class="share">s</div><p>eight <b>nine
