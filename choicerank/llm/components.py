@@ -3,7 +3,7 @@
 Each round points every node's larger neighbours at the smallest node it knows, then every node and its smaller
 neighbours at the smallest of these. Rounds end when the links form stars, after about log(n) of them. A round is a
 minimum by node (pre-aggregated before the shuffle) joined back to the links, never a list of a node's neighbours, and is
-written to the shared folder.
+written to the shared folder. A node with a large share of the links is split in that join at run time.
 """
 
 from __future__ import annotations
@@ -25,11 +25,9 @@ def components(links: DataFrame, work: Work, name: str, a: str = "a", b: str = "
     state, step = _state(edges), 0
     while True:
         both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = (both.join(least, "hi").filter("lo > hi and lo != m")
+        large = (_with_least(both).withColumn("m", F.least("hi", "m")).filter("lo > hi and lo != m")
                  .select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (large.join(low, "hi").select(F.explode(F.array(
+        small = (_with_least(large).select(F.explode(F.array(
             F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))))
             .select("col.*").filter("hi != lo").distinct())
         step += 1
@@ -40,6 +38,16 @@ def components(links: DataFrame, work: Work, name: str, a: str = "a", b: str = "
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """With ``m``, the smallest ``lo`` of the same ``hi``.
+
+    Compared null-safely, the keys of the minima are not those they were grouped by, so both sides are shuffled for the
+    join and adaptive execution can split a hot node's links over tasks.
+    """
+    least = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
+    return links.join(least, links["hi"].eqNullSafe(least["node"])).drop("node")
+
+
 def _state(edges: DataFrame) -> tuple:
     """Equal for equal sets of links."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")),

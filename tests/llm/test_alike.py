@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from choicerank.llm import forest, lines, spotsigs
 from choicerank.llm.common import Work, on_workers
-from choicerank.llm.components import components
+from choicerank.llm.components import _with_least, components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -104,6 +104,26 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}, 201: 200}
 
 
+def test_hot_node_is_split(spark):
+    """Half of the links lead to one node: the join with the minima cuts them into several tasks."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        links = spark.range(60_000).repartition(8).selectExpr("if(id % 2 = 0, -1, id) as hi", "id * 7 as lo")
+        joined = _with_least(links)
+        rows = {(r.hi, r.lo): r.m for r in joined.collect()}
+        assert len(rows) == 60_000 and all(m == (0 if hi == -1 else lo) for (hi, lo), m in rows.items())
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def plain_repeats(rows, percent=80, least=5):
     seen, out = [], set()
     for i, text in rows:
