@@ -177,6 +177,22 @@ def attach(df: DataFrame, keys: str | Sequence[str], aggregates: Mapping[str, Co
     return join_on(df, stats, keys, null_keys=True)
 
 
+def distinct_counts(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """For each ``{output: column}`` the different values of the column per group, null being one.
+
+    Each row gives a narrow row a column; these are made distinct and then counted. A group's values are
+    spread over tasks, columns of one type share a field, and one exchange serves all of them.
+    """
+    types = {c: df.schema[c].dataType for c in columns.values()}
+    values = {t: scratch("value") for t in types.values()}
+    what = scratch("what")
+    tags = [F.struct(*[F.col(k) for k in keys], F.lit(i).alias(what), *[
+        (F.col(column) if types[column] == t else F.lit(None).cast(t)).alias(name) for t, name in values.items()])
+        for i, column in enumerate(columns.values())]
+    rows = df.select(F.inline(F.array(*tags))).distinct()
+    return rows.groupBy(*keys).agg(*[F.count(F.when(F.col(what) == i, 1)).alias(n) for i, n in enumerate(columns)])
+
+
 def known(value: Column, keys: Sequence[str]) -> Column:
     """The value where no key is null."""
     return F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), value) if keys else value

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from choicerank.operators.groups import (as_list, attach, dense_positions, group_quantiles, has_hot_groups, join_on, known,
-                                         long, measured, over_group, quantile_position, running, scratch, together)
+from choicerank.operators.groups import (as_list, attach, dense_positions, distinct_counts, group_quantiles, has_hot_groups, join_on,
+                                         known, long, measured, over_group, quantile_position, running, scratch, together)
 
 
 @dataclass
@@ -57,11 +58,12 @@ def with_group(df: DataFrame, keys: str | Sequence[str], *specs: GroupSpec,
 
 def _joined_back(df: DataFrame, keys: list[str], spec: GroupSpec, null_keys: bool, source: DataFrame) -> DataFrame:
     source = source if null_keys else source.dropna(subset=keys)
-    stats = source.groupBy(*keys).agg(*[e.alias(n) for n, e in spec.aggregates.items()],
-                                      *[distinct_count(c).alias(n) for n, c in spec.distinct.items()])
-    for value, picks in spec.quantiles.items():
-        stats = join_on(stats, group_quantiles(source, keys, value, picks), keys, null_keys=True)
-    return join_on(df, stats, keys, null_keys=True)
+    stats = [group_quantiles(source, keys, value, picks) for value, picks in spec.quantiles.items()]
+    if spec.distinct:
+        stats.insert(0, distinct_counts(source, keys, spec.distinct))
+    if spec.aggregates:
+        stats.insert(0, source.groupBy(*keys).agg(*[e.alias(n) for n, e in spec.aggregates.items()]))
+    return join_on(df, reduce(lambda a, b: join_on(a, b, keys, null_keys=True), stats), keys, null_keys=True)
 
 
 def _windowed(df: DataFrame, keys: list[str], spec: GroupSpec, null_keys: bool) -> DataFrame:
@@ -167,11 +169,6 @@ def count_in_group(df: DataFrame, group: str | Sequence[str], key: str | Sequenc
                   source=source)
 
 
-def distinct_count(key: str) -> Column:
-    """Distinct values, a null counting as one more."""
-    return F.count_distinct(F.col(key)) + F.coalesce(F.max(long(F.col(key).isNull())), long(F.lit(0)))
-
-
 def nunique(keys: Mapping[str, str]) -> GroupSpec:
     names = {output: scratch("distinct") for output in keys.values()}
     return GroupSpec({output: F.col(n) for output, n in names.items()},

@@ -40,6 +40,10 @@ WAYS = {
     "global quantiles": lambda df: groups.group_quantiles(df, [], "total_price", {"a": 0.01, "b": 0.99, "m": "median"}),
     "offers": lambda df: session.same_offer_features(df, "session_id", "carrier", "total_price")
     .select("option_id", "flight_option_count", "flight_price_percentile", "is_flight_cheapest"),
+    "distinct": lambda df: session.nunique_in_group(
+        df.withColumn("half", F.when(F.col("total_price") > 0, F.col("total_price"))), "session_id",
+        {"carrier": "carriers", "half": "prices", "cabin": "cabins", "profile_id": "profiles"})
+    .select("option_id", "carriers", "prices", "cabins", "profiles"),
     "mmr": lambda df: rerank.mmr_rerank(df.withColumn("score", -F.col("total_price") / 50000), "session_id",
                                         "option_id", "score", ["departure_at", "return_at"], ["carrier", "cabin"], 5),
     "split": lambda df: tables.with_split(df, "request_ts", {"train": 0.5, "val": 0.8}, "test", "part")
@@ -128,3 +132,14 @@ def test_partition_count_does_not_matter(spark, skewed, partitions):
         assert report() == expected
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_distinct_counts_of_nulls_zeros_and_repeats(spark, settings):
+    rows = [(1, 0.0, "a", None), (1, -0.0, "b", None), (1, float("nan"), "a", 5), (1, float("nan"), None, 5), (None, 1.0, "a", 5),
+            (None, None, None, None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, x double, s string, i int")
+    settings(hotRows=1)
+    counted = session.nunique_in_group(df, "k", {"x": "n_x", "s": "n_s", "i": "n_i"})
+    assert {tuple(r) for r in counted.select("k", "n_x", "n_s", "n_i").collect()} == {(1, 2, 3, 2), (None, 2, 2, 2), (2, 1, 1, 1)}
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert session.nunique_in_group(df.limit(0), "k", {"x": "n_x"}).count() == 0
