@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.feature_queries import features
+from checks import fixture
 from checks.fixture import options, table
-from choicerank.operators import groups, history, rerank, session
+from choicerank.operators import enrich, groups, history, metrics, model, rerank, session
 from choicerank.plans.catalogue import FAMILIES, feature_lists
 from choicerank.operators.encode import select_features
 from choicerank.operators.rerank import top_k_per_group
@@ -205,3 +206,17 @@ def test_feature_job_keeps_rows_and_names(spark):
                 "group_total_options", "route_aircraft_ratio", "flight_price_percentile", "price_per_tax"}
     assert expected <= set(out.columns)
     assert len(set(out.columns)) == len(out.columns)
+
+
+def planned(df):
+    """The plan as a tree, before adaptive execution changes it."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_are_not_broadcast_by_their_files(spark, settings):
+    settings(broadcastRows=10)
+    numbered = session.group_position(fixture.flights(spark, DATA).select("ranker_id", "Id"), "ranker_id", [F.col("Id")], "place")
+    plan = planned(enrich.label_join(numbered, fixture.labels(spark, DATA).withColumnRenamed("row_id", "row"), "ranker_id",
+                                     "place", row_id="row").select("Id", "category"))
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(joins) <= 1, plan  # suppliers
