@@ -220,3 +220,11 @@ def test_large_tables_are_not_broadcast_by_their_files(spark, settings):
                                      "place", row_id="row").select("Id", "category"))
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert len(joins) <= 1, plan  # suppliers
+
+
+def test_order_lines_are_joined_with_orders_once(spark, settings):
+    settings(broadcastRows=10)
+    plan = planned(fixture.options(spark, DATA).select("session_id", "company_id", "total_price"))
+    assert sum("BroadcastHashJoin" in line for line in plan.splitlines()) <= 1, plan  # suppliers
+    assert plan.count("SortMergeJoin") == 2, plan
+    assert sum("Exchange hashpartitioning(l_" in line for line in plan.splitlines()) == 1, plan
