@@ -228,3 +228,23 @@ def test_order_lines_are_joined_with_orders_once(spark, settings):
     assert sum("BroadcastHashJoin" in line for line in plan.splitlines()) <= 1, plan  # suppliers
     assert plan.count("SortMergeJoin") == 2, plan
     assert sum("Exchange hashpartitioning(l_" in line for line in plan.splitlines()) == 1, plan
+
+
+def test_rounds_share_one_exchange_of_the_rows(spark, settings):
+    rows = spark.range(400).select(
+        (F.col("id") % 7).cast("string").alias("g"), F.when(F.col("id") % 5 > 0, F.lit("train")).otherwise("val").alias("split"),
+        F.col("id").alias("row"), (F.col("id") % 11 == 0).cast("int").alias("hit"),
+        F.array(*[F.when(F.col("id") % (17 + i) > 0, F.pmod(F.hash("id", F.lit(i)), F.lit(9))) for i in range(12)]).alias("m"))
+    rows = rows.union(rows.limit(9).withColumn("g", F.lit(None).cast("string")).withColumn("hit", F.lit(None).cast("int")))
+    rounds = [3 * i + 1 for i in range(12)]
+    staged = metrics.staged_metrics(rows, "g", "m", "hit", ["row"], rounds=rounds, more_than=8)
+    plan = planned(staged)
+    assert "Generate explode" not in plan and "WindowGroupLimit" not in plan
+    found = {(r["split"], r["round"]): r for r in staged.collect()}
+    settings(hotRows=2)
+    wide = metrics.staged_metrics(rows, "g", "m", "hit", ["row"], rounds=rounds, more_than=8).collect()
+    assert len(wide) == len(found) == 24
+    for row in wide:
+        mine = found[row["split"], row["round"]]
+        assert list(mine.asDict()) == list(row.asDict())
+        assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(mine, row)), (mine, row)
