@@ -248,3 +248,15 @@ def test_rounds_share_one_exchange_of_the_rows(spark, settings):
         mine = found[row["split"], row["round"]]
         assert list(mine.asDict()) == list(row.asDict())
         assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(mine, row)), (mine, row)
+
+
+
+def test_modes_read_a_copy_of_the_past(spark, monkeypatch):
+    rows = spark.range(60).select((F.col("id") % 6).alias("user"), (F.col("id") % 7).cast("double").alias("p"),
+                                  (F.col("id") % 5).cast("double").alias("d"), (F.col("id") % 3).alias("cabin"),
+                                  F.lit("train").alias("split"), (F.col("id") % 2).alias("selected"))
+    read = []
+    modes = history.density_modes
+    monkeypatch.setattr(history, "density_modes", lambda past, columns: read.append(past) or modes(past, columns))
+    history.profile_stats(rows, "user", price_rank="p", duration_rank="d", cabin="cabin")
+    assert read[0].inputFiles() and sorted(read[0].columns) == ["cabin", "d", "p", "user"]
