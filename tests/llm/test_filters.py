@@ -234,6 +234,30 @@ def test_toxicity_rows(spark):
     assert toxicity.score(docs.limit(0), bare).count() == 0
 
 
+def test_toxicity_learns_from_every_row(spark):
+    # Six texts a word, so that no few rows know all words.
+    rows = [(k, ("vile" if k % 2 else "kind") + f"{chr(97 + k // 12 % 26)}{chr(97 + k // 312)} seen here", k % 2) for k in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.fit(docs, labels, rows=40, words=10_000)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in found) > 0.98 * len(found)
+    whole, few = (toxicity.fit(docs, labels, rows=n) for n in (40, 5_000))
+    ids = [toxicity.word_ids(t) for _, t, _ in rows]
+    assert np.mean([(whole.logit(i) > whole.thresholds[whole.language(i)]) == (few.logit(i) > few.thresholds[few.language(i)])
+                    for i in ids]) > 0.98
+
+
+def test_thresholds_of_a_table_are_those_of_a_list(spark):
+    draw = np.random.default_rng(4)
+    words = [f"{'vile' if draw.random() < 0.4 else 'kind'}{i % 9} the of" if i % 3 else f"der die {i % 5}" for i in range(300)]
+    labels = [int(("vile" in w) != (draw.random() < 0.2)) for w in words]
+    ids = [toxicity.word_ids(w) for w in words]
+    model, other = toxicity.train(ids, np.array(labels)), toxicity.train(ids, np.array(labels))
+    toxicity._calibrate(model, ids, np.array(labels))
+    toxicity._calibrate_spread(other, spark.createDataFrame([(i.tobytes(), y) for i, y in zip(ids, labels)], "ids binary, y int"))
+    assert np.allclose(model.thresholds, other.thresholds)
+
+
 def plain_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, ch in enumerate(item):
