@@ -250,6 +250,13 @@ def test_rounds_share_one_exchange_of_the_rows(spark, settings):
         assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(mine, row)), (mine, row)
 
 
+def test_rows_of_a_fit_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(model, "FIT_ROWS", 20)
+    rows = spark.range(400).select((F.col("id") % 100).alias("g"), F.col("id")).coalesce(1)
+    assert model.spread(rows, "g").rdd.getNumPartitions() == 20
+    monkeypatch.setattr(model, "FIT_ROWS", 400)
+    assert model.spread(rows, "g").rdd.getNumPartitions() == 1
+
 
 def test_modes_read_a_copy_of_the_past(spark, monkeypatch):
     rows = spark.range(60).select((F.col("id") % 6).alias("user"), (F.col("id") % 7).cast("double").alias("p"),
