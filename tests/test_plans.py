@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from checks.feature_queries import features
 from checks import fixture
 from checks.fixture import options, table
-from choicerank.operators import enrich, groups, history, metrics, model, rerank, session
+from choicerank.operators import encode, enrich, groups, history, metrics, model, rerank, session
 from choicerank.plans.catalogue import FAMILIES, feature_lists
 from choicerank.operators.encode import select_features
 from choicerank.operators.rerank import top_k_per_group
@@ -267,3 +267,14 @@ def test_modes_read_a_copy_of_the_past(spark, monkeypatch):
     monkeypatch.setattr(history, "density_modes", lambda past, columns: read.append(past) or modes(past, columns))
     history.profile_stats(rows, "user", price_rank="p", duration_rank="d", cabin="cabin")
     assert read[0].inputFiles() and sorted(read[0].columns) == ["cabin", "d", "p", "user"]
+
+
+def test_a_rung_stores_only_what_its_trials_read(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id % 6 as g", "id as row", "if(id % 6 < 4, 'train', 'val') as split",
+                                      "cast(id % 5 = 0 as int) as hit", "cast(id % 7 as double) as x", "1.0d as w", "'long' as other")
+    rows = encode.assemble(rows, ["x"], "hit", "g", keep=["row", "split", "w", "other"])
+    stored, keep = [], model.checkpointed
+    monkeypatch.setattr(model, "checkpointed", lambda df: stored.append(df.columns) or keep(df))
+    best, _ = model.successive_halving(rows, {"maxDepth": [2]}, "hit", "g", ["row"], n=1, smallest=1.0,
+                                       params={"maxIter": 1, "weightCol": "w"})
+    assert best == {"maxDepth": 2} and stored == [["g", "row", "split", "hit", "features", "w"]]
