@@ -278,3 +278,12 @@ def test_a_rung_stores_only_what_its_trials_read(spark, monkeypatch):
     best, _ = model.successive_halving(rows, {"maxDepth": [2]}, "hit", "g", ["row"], n=1, smallest=1.0,
                                        params={"maxIter": 1, "weightCol": "w"})
     assert best == {"maxDepth": 2} and stored == [["g", "row", "split", "hit", "features", "w"]]
+
+
+def test_a_session_layout_is_packed_by_zstd(spark):
+    name = f"sessions_{uuid.uuid4().hex}"
+    laid = layout.write_groups(spark.range(20).withColumn("g", F.col("id") % 3), name, "g", buckets=2)
+    try:
+        assert laid.count() == 20 and all(file.endswith(".zstd.parquet") for file in laid.inputFiles())
+    finally:
+        spark.sql(f"drop table if exists {name}")
