@@ -287,3 +287,13 @@ def test_a_session_layout_is_packed_by_zstd(spark):
         assert laid.count() == 20 and all(file.endswith(".zstd.parquet") for file in laid.inputFiles())
     finally:
         spark.sql(f"drop table if exists {name}")
+
+
+def test_an_exchange_by_group_gets_the_partitions_its_rows_need(spark, monkeypatch):
+    df = groups.measured(spark.range(2000).selectExpr("id % 90 as k", "cast(id % 7 as double) as x", "id"), "k")
+    usual = session.group_minmax(df, "k", {"x": "scaled"})
+    monkeypatch.setattr(groups, "TASK_ROWS", 100)
+    many = session.group_minmax(df, "k", {"x": "scaled"})
+    assert "hashpartitioning(k#" in plan(many) and ", 20), REPARTITION_BY_NUM" in plan(many)
+    assert "REPARTITION_BY_NUM" not in plan(usual) and plan(many).count("hashpartitioning(k#") == 1
+    assert_same(many.toPandas(), usual.toPandas())
