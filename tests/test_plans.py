@@ -297,3 +297,23 @@ def test_an_exchange_by_group_gets_the_partitions_its_rows_need(spark, monkeypat
     assert "hashpartitioning(k#" in plan(many) and ", 20), REPARTITION_BY_NUM" in plan(many)
     assert "REPARTITION_BY_NUM" not in plan(usual) and plan(many).count("hashpartitioning(k#") == 1
     assert_same(many.toPandas(), usual.toPandas())
+
+
+@pytest.mark.parametrize("metric", [metrics.ndcg_at_k, metrics.hitrate_at_k])
+def test_a_metric_reads_noted_groups_once(spark, settings, metric):
+    rows = [(s, f"{s}-{i}", None if i == 5 else float(i % 4), i % 6 == 0 and s != 3) for s in (1, 2, 3, None) for i in range(13)]
+    df = spark.createDataFrame(rows, "s int, id string, score double, c boolean").withColumn("c", F.col("c").cast("int"))
+    args = ("s", "score", "c", ["id"])
+    noted = groups.note(df, ["s"], groups.ROWS, 13)
+    text = plan(metric(noted, *args))
+    assert "Join" not in text and text.count("hashpartitioning(s#") == 1
+    expected = metric(df, *args).toPandas()
+    assert_same(metric(noted, *args).toPandas(), expected)
+    settings(hotRows=5, parts=4)
+    assert "WindowGroupLimit" in plan(metric(noted, *args))  # a hot group is not ordered by one task
+    assert_same(metric(noted, *args).toPandas(), expected)
+
+
+def test_options_note_their_largest_session(spark):
+    df = options(spark, DATA)
+    assert groups.largest_group(df, "session_id") == df.groupBy("session_id").count().agg(F.max("count")).first()[0]
