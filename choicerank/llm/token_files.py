@@ -15,11 +15,14 @@ shards, of which there are as many as write tasks.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +42,20 @@ FIELDS = ("shard int, block int, doc_ids array<bigint>, width int, n_ids bigint,
 class ChunkEncoder:
     """Encodes texts by a tokenizer whose pre-tokens never cross ASCII white space, chunk by chunk.
 
-    A chunk or word met before is not encoded again; ``KEEP`` bounds what is remembered and changes no result.
+    Arrow cuts the texts of a batch and finds its distinct chunks; words met before are not encoded again. ``KEEP`` bounds
+    what is remembered and changes no result. New words go to the tokenizer many in a string, and are told apart by the ids
+    that end a word.
     """
 
+    #: ASCII marks but the apostrophe, with which pre-tokens may begin.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Words in a string.
+    RUN = 50
+    #: Letters that no normalizer takes apart or joins with their neighbours.
+    PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    #: Marks that may join an ASCII letter. The tokenizer composes before it lower-cases, and not all compose in both cases.
+    JOINS = r"[\x{0300}-\x{036f}]"
+
     def __init__(self, path: str):
         import os
 
@@ -49,49 +63,76 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        # Texts in which case may matter: a special token is one in its own case only.
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cased = "|".join([self.JOINS, *(f"(?i:{t})" for t in special)])
+        self.words: dict[str, bytes] = {}  # other chunks under a space before them
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
 
-    @staticmethod
-    def parts(chunk: bytes) -> list[str]:
-        """A word and the marks after it are pre-tokens of their own; other chunks stay whole.
-
-        ASCII words are one in either case, as the tokenizer lower-cases them.
-        """
-        core = chunk.rstrip(b".,;:!?")
-        word = core.decode()
-        if not word.isalpha():
-            return [chunk.decode()]
-        if word.isascii():
-            word = word.lower()
-        return [word] if len(core) == len(chunk) else [word, chunk[len(core):].decode()]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        cut = {c: self.parts(c) for c in chunks}
-        new = list({p for parts in cut.values() for p in parts if p not in self.words})
-        self.words.update(zip(new, self._encode(new)))
-        look = self.words.__getitem__
-        self.known.update((c, b"".join(map(look, parts))) for c, parts in cut.items())
-
-    def __call__(self, batch: list[str], end: int) -> list[bytes]:
-        cut = [text.encode().split() for text in batch]
-        distinct = set().union(*cut)
-        fresh = distinct.difference(self.known)
-        if len(self.known) + len(fresh) > KEEP:
-            # Words stay longer, as most of the next chunks are made of them.
-            self.known.clear()
-            if len(self.words) > 2 * KEEP:
-                self.words.clear()
-            fresh = distinct
-        if fresh:
-            self.learn(fresh)
-        look, last = self.known.__getitem__, end.to_bytes(self.width, "little")
-        return [b"".join([*map(look, chunks), last]) for chunks in cut]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words of plain letters, each a pre-token."""
+        out: list[bytes] = []
+        runs = [words[i:i + self.RUN] for i in range(0, len(words), self.RUN)]
+        found = self.tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, found):
+            ids = np.array(e.ids, f"<u{self.width}")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(run) or ends[-1] != len(ids):  # a tokenizer that marks no ends
+                out += self._encode(run)
+                continue
+            raw, at = ids.tobytes(), (ends * self.width).tolist()
+            out += map(raw.__getitem__, map(slice, [0, *at], at))
+        return out
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """A word and the marks after it are pre-tokens of their own; other chunks stay whole."""
+        if len(self.words) + len(chunks) > 3 * KEEP:
+            self.words.clear()
+        words, marks = self.words, self.MARKS
+        cores = [c.rstrip(marks) for c in chunks]
+        plain, whole, simple = [], [], self.PLAIN.fullmatch
+        for word in set(cores).difference(words):
+            if simple(word):
+                plain.append(word)
+            elif word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha():  # else a mark could join its end
+                whole.append(word)
+        words.update(zip(plain, self._encode_words(plain)))
+        words.update(zip(whole, self._encode(whole)))
+        found = list(map(words.get, cores))
+        tails = [c[len(core):] for c, core in zip(chunks, cores)]
+        each = list(set(tails))
+        tail = dict(zip(each, self._encode(each)))
+        odd = [" " + c for c, ids in zip(chunks, found) if ids is None]
+        fresh = list(set(odd).difference(words))
+        words.update(zip(fresh, self._encode([c[1:] for c in fresh])))
+        others = map(words.__getitem__, odd)
+        return [next(others) if ids is None else ids + tail[t] if t else ids for ids, t in zip(found, tails)]
+
+    def __call__(self, batch: pa.Array, end: int) -> list[bytes]:
+        lower = pc.if_else(pc.match_substring_regex(batch, self.cased), batch, pc.ascii_lower(batch))
+        cut = pc.ascii_split_whitespace(lower)
+        chunks = cut.flatten().dictionary_encode()
+        kind = f"<u{self.width}"
+        ids = self.ids_of(chunks.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), kind)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        which = chunks.indices.to_numpy()
+        many = sizes[which]
+        ends = np.r_[0, np.cumsum(many)]
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], many)
+        at += np.arange(len(at))
+        raw, last = flat[at].tobytes(), end.to_bytes(self.width, "little")
+        bounds = (ends[np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())]] * self.width).tolist()
+        return [raw[a:b] + last for a, b in zip(bounds, bounds[1:])]
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id", text: str = "text",
@@ -120,7 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "
 
         for batch in batches:
             for part in slices(batch):
-                for k, x in zip(part.column("key").to_pylist(), encoder(part.column("text").to_pylist(), end)):
+                for k, x in zip(part.column("key").to_pylist(), encoder(part.column("text"), end)):
                     n = len(x) // encoder.width
                     if keys and total + n > block_ids:
                         yield flush()

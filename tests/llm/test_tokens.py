@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -81,6 +82,22 @@ def test_files_read_back(spark, docs, rows):
     assert token_files.read_blocks(spark, folder).count() > 3
 
 
+def test_chunks_of_odd_letters_equal_the_library(monkeypatch):
+    """Letters that come apart before marks, ASCII letters that compose in one case only, and a memory that is always full."""
+    draw = random.Random(3)
+    letters = list("abTHWtwhjyIK's’.,;:!?-_$(\" \t\n\x0b\x1c\x85\xa0éÉßÅİıΣς中12½ﬁ가😀") + [chr(c) for c in (
+        0x300, 0x301, 0x307, 0x308, 0x30a, 0x30c, 0x331, 0x338, 0x345, 0x1100, 0x1161, 0x1c5, 0xfb1d)]
+    texts = ["", " ", "İ) İ.", "Ṯ ṯ T\u0331 H\u0331 J\u030c", "'. x'. don't.", "a" * 300]
+    texts += ["".join(draw.choice(letters) for _ in range(draw.randint(1, 60))) for _ in range(3000)]
+    texts += ["".join(draw.choice("abcdeAB'.,$ ") for _ in range(60)) for _ in range(1000)]
+    expected = [e.ids + [2] for e in Tokenizer.from_file(FILES).encode_batch(texts, add_special_tokens=False)]
+    for keep in (token_files.KEEP, 10):
+        monkeypatch.setattr(token_files, "KEEP", keep)
+        encoder = token_files.ChunkEncoder(FILES)
+        found = [ids for k in range(0, len(texts), 700) for ids in encoder(pa.array(texts[k:k + 700]), 2)]
+        assert [np.frombuffer(ids, f"<u{encoder.width}").tolist() for ids in found] == expected
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert bpe.encode_decode(none, RANKS, public_tokenizers.PATTERN).count() == 0
