@@ -75,7 +75,9 @@ class Postings:
         order = np.argsort(grams, kind="stable")
         self.grams, starts = np.unique(grams[order], return_index=True)
         self.starts = np.r_[starts, len(grams)]
-        self.item, self.place = item[order], place[order]
+        self.many = np.diff(self.starts)
+        self.item, self.place = item[order].astype(np.intp), place[order].astype(np.intp)
+        self.ended = np.append(self.grams, np.uint64(0xFFFFFFFFFFFFFFFF))  # no q-gram is above the last
         # The q-grams of a slot stand together, so a slot's first one and the most that a slot has are all that is needed.
         slots = self._slot(self.grams)
         self.first = np.full(1 << self.BITS, -1, np.int32)
@@ -89,26 +91,23 @@ class Postings:
         """Postings that a text's q-grams meet, in the order of the text; the q-grams' places, and how many each meets."""
         first = self.first[self._slot(grams)]
         at = np.flatnonzero(first >= 0)
-        slot, wanted = first[at], grams[at]
+        slot, wanted = first[at].astype(np.intp), grams[at]
         for _ in range(self.deepest - 1):
-            slot += (self.grams[slot] < wanted) & (slot < len(self.grams) - 1)
-        same = self.grams[slot] == wanted if len(at) else np.empty(0, bool)
+            slot += self.ended[slot] < wanted
+        same = np.flatnonzero(self.ended[slot] == wanted)
         at, slot = at[same], slot[same]
-        if not len(at):
-            return np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64)
-        low, many = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
-        ends = np.cumsum(many)
-        hit = np.repeat((low - ends + many).astype(np.int32), many)
-        hit += np.arange(len(hit), dtype=np.int32)
-        return hit, at.astype(np.int32), many
+        many = self.many[slot]
+        hit = np.repeat(self.starts[slot] - np.cumsum(many) + many, many)
+        hit += np.arange(len(hit))
+        return hit, at, many
 
     def of(self, grams: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Entry, place in the entry and diagonal of the hits that ``wanted`` marks by their entries."""
+        """Entry, place in the entry and diagonal of the hits of the entries that ``wanted`` marks, given all hits' entries."""
         hit, at, many = self.hits(grams)
         item = self.item[hit]
-        stay = np.flatnonzero(wanted(item))
+        stay = np.flatnonzero(wanted(item)[item])
         place = self.place[hit[stay]]
-        return item[stay], place, at[np.searchsorted(np.cumsum(many), stay, "right")] - place
+        return item[stay], place, np.repeat(at, many)[stay] - place
 
 
 class Index:
@@ -116,6 +115,8 @@ class Index:
 
     #: Bands counted in an array; more are sorted instead.
     CELLS = 4_000_000
+    #: Bands are first counted by the last bits of their numbers: what is too few there is too few in the band.
+    SLOTS = 1 << 16
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS, window: int = 0):
         """With ``window``, windows of so many characters of longer items are entries as well."""
@@ -142,6 +143,9 @@ class Index:
         self.sizes = np.array([len(c) for _, c, _ in self.items], np.int64)
         self.budgets = np.array([k for _, _, k in self.items], np.int64)
         self.need = self.sizes - q + 1 - self.budgets * q
+        self.step = self.budgets + 1
+        self.below = self.sizes // self.step + 2
+        self.shift = self.below * self.step
         self.all = Postings(grams, item, place)
         # Of k q + t of an entry's q-grams, k edits leave at least t.
         self.least = np.maximum(1, (SURE * self.need).astype(np.int64))
@@ -159,24 +163,28 @@ class Index:
 
         Bands begin at multiples of k + 1 and are 2k + 1 wide, so any k + 1 diagonals lie in one of them.
         """
-        step = self.budgets + 1
-        below = self.sizes // step + 2
-        base = np.r_[0, np.cumsum(below + size // step + 2)]  # a cell for every band of every entry
-        width = step.astype(np.int32)[item]
-        shifted = diagonal + (below * step).astype(np.int32)[item]  # not negative
-        band = shifted // width
-        reach = shifted - band * width <= width - 2
+        base = np.zeros(len(self.step) + 1, np.int64)  # a cell for every band of every entry
+        np.cumsum(self.below + size // self.step + 2, out=base[1:])
+        width = self.step[item]
+        shifted = diagonal + self.shift[item]  # not negative
+        band = ((shifted + 0.5) / width).astype(np.int64)  # half a diagonal from a whole number: rounding decides nothing
+        reach = np.flatnonzero(shifted - band * width <= width - 2)
         key = base[item] + band
-        return np.concatenate([key, key[reach] - 1]), reach, base, below * step, step
+        return np.concatenate([key, key[reach] - 1]), reach, base, self.shift, self.step
 
     def _possible(self, grams: np.ndarray, size: int) -> np.ndarray:
         """A mark an entry: does a band hold enough of its rarest q-grams?"""
         found = np.zeros(len(self.items), bool)
         item, _, diagonal = self.rare.of(
-            grams, lambda item: (np.bincount(item, minlength=len(found)) >= self.least)[item])
+            grams, lambda item: np.bincount(item, minlength=len(found)) >= self.least)
         if not len(item):
             return found
-        key, _, base, _, _ = self._cells(item, diagonal, size)
+        key, reach, base, _, _ = self._cells(item, diagonal, size)
+        slot = key & (self.SLOTS - 1)
+        least = self.least[item]
+        key = key[np.bincount(slot, minlength=self.SLOTS)[slot] >= np.concatenate([least, least[reach]])]
+        if not len(key):
+            return found
         cells, counts = np.unique(key, return_counts=True)
         owner = np.searchsorted(base, cells, "right") - 1
         found[owner[counts >= self.least[owner]]] = True
@@ -189,7 +197,7 @@ class Index:
         possible = self._possible(grams, len(codes))
         if not possible.any():
             return none
-        item, place, diagonal = self.all.of(grams, lambda item: possible[item])
+        item, place, diagonal = self.all.of(grams, lambda item: possible)
         key, reach, base, shift, step = self._cells(item, diagonal, len(codes))
         if base[-1] <= min(self.CELLS, 4 * len(key)):
             counts = np.bincount(key, minlength=base[-1])

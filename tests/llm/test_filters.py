@@ -288,6 +288,19 @@ def test_passages_with_edits_against_plain_search():
         assert bool(found) == (edits <= allowed) and (not found or found[0][3] == edits)
 
 
+def test_slots_of_bands_decide_nothing(monkeypatch):
+    draw = random.Random(5)
+    items = [(i, "".join(draw.choice("abcdef ") for _ in range(draw.choice([20, 90, 200])))) for i in range(40)]
+    index = decontaminate.Index(items, window=decontaminate.WINDOW)
+    texts = ["".join(draw.choice("abcdef ") for _ in range(draw.choice([30, 900]))) + item[draw.choice([0, 9]):]
+             for _, item in items]
+    found = [index.find(text) for text in texts]
+    assert sum(map(bool, found)) > 20
+    for slots in (1, 64, 1 << 24):
+        monkeypatch.setattr(decontaminate.Index, "SLOTS", slots)
+        assert [index.find(text) for text in texts] == found
+
+
 def test_decontamination_rows(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     passage = items.orderBy("item_id").first().text
