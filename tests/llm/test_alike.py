@@ -1,13 +1,15 @@
 """Near-duplicate documents, lines and fingerprints against plain versions; the pipeline's stages."""
 
+import glob
 import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from choicerank.llm import forest, lines, spotsigs
-from choicerank.llm.common import Work, on_workers
+from choicerank.llm.common import CLEANUP, Work, on_workers
 from choicerank.llm.components import _with_least, components
 
 DATA = "/root/testdata/sf0.001"
@@ -89,6 +91,19 @@ def test_near_duplicates_of_small_families_in_a_crowd(spark):
     assert len({c for _, c in found.values()}) == 400
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for folder in folders for f in glob.glob(f"{folder}/**/shuffle_*", recursive=True)}
+
+    work, before, setting = Work(spark), files(), spark.conf.get(CLEANUP)
+    frame = spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").agg(F.count("*").alias("n"))
+    stored = work.store(frame.join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k"), "counted")
+    assert files() <= before and spark.conf.get(CLEANUP) == setting
+    assert stored.agg(F.sum("n")).first()[0] == 1000
+
+
 def test_near_duplicates_rows(spark):
     frame = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")],
                                   "doc_id long, text string")
@@ -166,6 +181,24 @@ def test_lines_against_plain_search(spark, monkeypatch, crowd):
     assert lines.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_bitmaps_of_long_lines_differ(spark):
+    """Unlike lines of 100 tokens that share their rarest ones are told apart without their sets; alike ones never are."""
+    draw = random.Random(4)
+    rare = [f"r{i}" for i in range(8)]
+    common = [f"c{i}" for i in range(4000)]
+    texts = [" ".join(rare + draw.sample(common, 92)) for _ in range(40)]
+    base = texts[0].split()
+    texts += [" ".join(base[:-k] + [f"x{k}-{i}" for i in range(k)]) for k in (1, 5, 9)]
+    tokens = lines._tokens(F.col("text"))
+    sets = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").select(
+        "doc", F.transform(tokens, lambda t: F.xxhash64(t)).alias("t"))
+    marks = sets.select("doc", F.lit(0).alias("line"), F.size("t").alias("n"), *(
+        lines._bitmap(F.col("t"), half).alias(name) for half, name in enumerate(("low", "high"))))
+    pairs = spark.createDataFrame([(b, 0, a, 0) for b in range(43) for a in range(b)], "b_doc int, b_line int, a_doc int, a_line int")
+    left = {(r.b_doc, r.a_doc) for r in lines._likely(pairs, marks, 80).collect()}
+    assert {(b, 0) for b in (40, 41, 42)} <= left and left <= {(b, a) for b in (40, 41, 42) for a in (0, 40, 41)}
+
+
 def test_lines_of_equal_and_missing_keys(spark):
     line = "one two three four five six"
     frame = spark.createDataFrame([(1, line), (1, line), (None, line), (2, line + "\nrest")], "doc_id long, text string")
