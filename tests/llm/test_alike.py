@@ -181,6 +181,36 @@ def test_lines_against_plain_search(spark, monkeypatch, crowd):
     assert lines.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_prefixes_of_lines_are_exchanged_once(spark, monkeypatch):
+    """Both sides of the join of prefixes read one exchange, and no prefixes are stored for their common words."""
+    found = {}
+    store = Work.store
+
+    def kept(self, df, name, *args):
+        found[name] = df
+        return store(self, df, name, *args)
+
+    monkeypatch.setattr(Work, "store", kept)
+    monkeypatch.setattr(lines, "CROWD", 1)
+    texts = [" ".join(f"w{(i * 7 + k * k) % 40}" for k in range(12)) for i in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(Work, "release", lambda self, *names: None)
+    lines.repeated_lines(rows)
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in fixed}
+    try:
+        for name, value in fixed.items():
+            spark.conf.set(name, value)
+        plan = found["pairs"].select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    token = [line for line in plan.splitlines() if "hashpartitioning(token" in line]
+    assert sum("ReusedExchange" not in line for line in token) == 1, plan
+    assert "ReusedExchange" in plan and "array(band" not in plan
+    assert "crowded" not in found  # prefixes of common words are not stored
+
+
 def test_bitmaps_of_long_lines_differ(spark):
     """Unlike lines of 100 tokens that share their rarest ones are told apart without their sets; alike ones never are."""
     draw = random.Random(4)
