@@ -148,10 +148,13 @@ def at_anchors(prints: DataFrame, extra: int, name: str) -> DataFrame:
 
 
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in at most ``bits`` bits, each once."""
+    """Pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in at most ``bits`` bits, each once.
+
+    Always joined by shuffle: Spark sizes the replicas like the fingerprints they come from and would broadcast them.
+    """
     homes, replicas = at_anchors(prints, 0, "a"), at_anchors(prints, bits, "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return homes.join(replicas, (homes.anchor == replicas.anchor) & close).select("a", "b")
+    return homes.join(replicas.hint("merge"), (homes.anchor == replicas.anchor) & close).select("a", "b")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:

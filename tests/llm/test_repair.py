@@ -331,6 +331,12 @@ def test_links_of_random_fingerprints(spark):
     assert got == sorted(want) and want
 
 
+def test_replicas_are_not_broadcast(spark):
+    frame = spark.range(50).selectExpr("xxhash64(id) as fp")
+    plan = anchors.links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_fingerprints_of_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(anchors, "PIECE", 7)
     for text in ("", " a ", "a b", "The quick\tbrown\x0bfox  jumps", "é ü x y z" * 9):
