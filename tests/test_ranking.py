@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import feature_queries
 from checks.feature_queries import FEATURES, features, fitted
 from checks.fixture import options
 from choicerank.operators import metrics, model, rerank
@@ -143,3 +144,18 @@ def test_trials_are_different_and_repeatable():
     trials = model.trial_params(space, 10)
     assert len({str(t) for t in trials}) == 10 and trials == model.trial_params(space, 10)
     assert len(model.trial_params(space, 100)) == 18
+
+
+def test_the_ranker_is_trained_with_all_rounds(spark, monkeypatch):
+    """The query asks for the whole fit; the fit itself is shortened here."""
+    train, asked = model.train_ranker, []
+
+    def short(df, label, group, params, centred):
+        asked.append(dict(params))
+        return train(df, label, group, params | {"maxIter": 2, "maxDepth": 2}, centred)
+
+    monkeypatch.setattr(model, "train_ranker", short)
+    found = feature_queries.train_ranker(options(spark, DATA)).collect()
+    assert sorted(r["scorer"] for r in found) == ["price", "ranker"] and all(0 < r["ndcg"] <= 1 for r in found)
+    (params,) = asked
+    assert (params["maxIter"], params["maxDepth"], params["minInstancesPerNode"]) == (1000, 14, 26)
