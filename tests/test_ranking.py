@@ -159,3 +159,19 @@ def test_the_ranker_is_trained_with_all_rounds(spark, monkeypatch):
     assert sorted(r["scorer"] for r in found) == ["price", "ranker"] and all(0 < r["ndcg"] <= 1 for r in found)
     (params,) = asked
     assert (params["maxIter"], params["maxDepth"], params["minInstancesPerNode"]) == (1000, 14, 26)
+
+
+def test_the_search_tries_all_ranges(spark, monkeypatch):
+    """The query asks for the whole search; one combination is tried here, with few rounds."""
+    search, asked = model.search_params, []
+
+    def short(df, grid, label, group, ties, k=3, folds=3, params=None):
+        asked.append((grid, folds, dict(params)))
+        return search(df, {"maxDepth": [2]}, label, group, ties, k, 2, params | {"maxIter": 1})
+
+    monkeypatch.setattr(model, "search_params", short)
+    (trial,) = feature_queries.search_params(options(spark, DATA)).collect()
+    assert 0 < trial["ndcg"] <= 1
+    ((grid, folds, params),) = asked
+    assert grid == {"maxDepth": [6, 18], "stepSize": [0.01, 0.1], "subsamplingRate": [0.6, 1.0], "maxIter": [500, 1500]}
+    assert folds == 3 and params["minInstancesPerNode"] == 26
