@@ -317,3 +317,8 @@ def test_a_metric_reads_noted_groups_once(spark, settings, metric):
 def test_options_note_their_largest_session(spark):
     df = options(spark, DATA)
     assert groups.largest_group(df, "session_id") == df.groupBy("session_id").count().agg(F.max("count")).first()[0]
+
+
+def test_methods_of_the_feature_job_are_compiled(spark):
+    features(spark, DATA)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
