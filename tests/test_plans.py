@@ -1,5 +1,6 @@
 """Plans: pruning, pushdown, shuffles, and what must not appear."""
 
+import re
 import uuid
 
 import pytest
@@ -319,6 +320,27 @@ def test_options_note_their_largest_session(spark):
     assert groups.largest_group(df, "session_id") == df.groupBy("session_id").count().agg(F.max("count")).first()[0]
 
 
+def test_labels_are_joined_while_sessions_lie_together(spark, settings):
+    settings(broadcastRows=10)
+    text = planned(features(spark, DATA).select("Id", "category", "legs0_Carrier_code_user_diversity"))
+    (join,) = [line for line in text.splitlines() if "Join [ranker_id#" in line]
+    assert "group_position#" in join and "LeftOuter" in join
+    assert not re.search(r"Exchange hashpartitioning\(ranker_id#\d+, group_position#", text), text
+
+
+def test_tables_joined_by_shuffle_come_first(spark, settings):
+    settings(broadcastRows=10)
+    rows = spark.range(50).selectExpr("id % 20 as user", "id % 3 as kind", "id")
+    users = spark.range(20).selectExpr("id as user", "id * 2 as twice")
+    kinds = spark.range(3).selectExpr("id as kind", "id * 5 as many")
+    sides = [groups.Side(kinds, {"kind": F.col("kind")}), groups.Side(users, {"user": F.col("user")})]
+    out = groups.join_sides(rows, sides, {"many": sides[0].columns["many"], "twice": sides[1].columns["twice"]})
+    text = planned(out)
+    assert text.index("BroadcastHashJoin") < text.index("SortMergeJoin")
+    assert out.columns == ["user", "kind", "id", "many", "twice"]
+    assert out.where("twice = 2 * user and many = 5 * kind").count() == 50
+
+
 def test_methods_of_the_feature_job_are_compiled(spark):
     features(spark, DATA)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
