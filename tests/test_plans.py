@@ -14,6 +14,7 @@ from choicerank.operators import encode, enrich, groups, history, metrics, model
 from choicerank.plans.catalogue import FAMILIES, feature_lists
 from choicerank.operators.encode import select_features
 from choicerank.operators.rerank import top_k_per_group
+from choicerank.settings import long_methods
 from choicerank.sources import layout
 from tests.compare import assert_same
 from tests.conftest import DATA
@@ -344,3 +345,20 @@ def test_tables_joined_by_shuffle_come_first(spark, settings):
 def test_methods_of_the_feature_job_are_compiled(spark):
     features(spark, DATA)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_small_partitions_of_a_fit_are_not_dealt_again(spark, monkeypatch):
+    rows = spark.range(0, 400, 1, 8).select((F.col("id") % 100).alias("g"), F.col("id"))
+    monkeypatch.setattr(model, "FIT_ROWS", 60)
+    assert "Exchange" not in planned(model.spread(rows, "g"))
+    assert "Exchange" in planned(model.spread(rows, "g", by_group=True))
+    monkeypatch.setattr(model, "FIT_ROWS", 40)
+    assert "Exchange" in planned(model.spread(rows, "g"))
+
+
+def test_long_methods_are_for_wide_rows_only(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    with long_methods(spark):
+        assert spark.conf.get(name) == "65535"
+    assert spark.conf.get(name) == before
