@@ -362,3 +362,14 @@ def test_long_methods_are_for_wide_rows_only(spark):
     with long_methods(spark):
         assert spark.conf.get(name) == "65535"
     assert spark.conf.get(name) == before
+
+
+def test_a_layout_does_not_count_noted_groups(spark):
+    df = spark.range(20).withColumn("g", F.col("id") % 3)
+    noted = groups.note(groups.note(df, ["g"], groups.ROWS, 9), ["g"], groups.ALL, 20)
+    name = f"sessions_{uuid.uuid4().hex}"
+    laid = layout.write_groups(noted, name, "g", buckets=2)
+    try:
+        assert laid.count() == 20 and groups.largest_group(laid, "g") == 9  # counted it would be 7
+    finally:
+        spark.sql(f"drop table if exists {name}")
